@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from sparkprep.llm.common import table
 from sparkprep.llm.exact_dedup import exact_dedup
+from sparkprep.llm.html_extract import extract
+from sparkprep.llm.license_scan import license_scan
 from sparkprep.llm.line_dedup import line_dedup
 from sparkprep.llm.mixing import mix
 from sparkprep.llm.packing import pack
 from sparkprep.llm.quality import quality
 from sparkprep.llm.sharding import shard_rows
 from sparkprep.llm.simhash import near_duplicates
+from sparkprep.llm.toxicity import toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +34,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,7 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
