@@ -54,24 +54,17 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) ->
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("position")]
     runs = materialise(lines.repartitionByRange(*order).sortWithinPartitions(*order), "runs")
     frequent = runs.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("survivor")).where(F.col("n") >= min_docs)
-    gone = runs.join(frequent.drop("n"), ["h1", "h2"]).where("doc_id <> survivor")
+    gone = runs.join(frequent.drop("n"), ["h1", "h2"]).where("not doc_id <=> survivor")
     word = F.shiftright("position", 6)
     bit = F.expr("shiftleft(1L, position & 63)")
     words = gone.groupBy("doc_id", "mark", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
-def apply_bitmaps(rows: DataFrame) -> DataFrame:
-    """Adds n_lines, n_dropped and kept_text to rows with text and dropped (null: nothing goes)."""
-    lines = lines_of(F.col("text"))
-    gone = lambda i: F.exists("dropped", lambda x: (x["word"] == F.shiftright(i, 6)) & (F.getbit(x["bits"], i.bitwiseAND(F.lit(63))) == 1))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~gone(i)), "\n")
-    counted = F.aggregate("dropped", F.lit(0), lambda n, x: n + F.bit_count(x["bits"]))
-    return rows.withColumns({
-        "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.coalesce(counted, F.lit(0)).cast("long"),
-        "kept_text": F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept),
-    })
+def kept_text(dropped: str) -> F.Column:
+    """The lines of ``text`` that the bitmap in column ``dropped`` lets stay."""
+    gone = lambda i: F.exists(dropped, lambda x: (x["word"] == F.shiftright(i, 6)) & (F.getbit(x["bits"], i.bitwiseAND(F.lit(63))) == 1))
+    return F.array_join(F.filter(lines_of(F.coalesce("text", F.lit(""))), lambda x, i: ~gone(i)), "\n")
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -89,4 +82,10 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text): one row for each row of ``docs``."""
     rows = texts(docs).join(dropped_bitmaps(docs, min_chars, min_docs), ["doc_id", "mark"], "left")
-    return apply_bitmaps(rows).select("doc_id", "n_lines", "n_dropped", "kept_text")
+    counted = F.aggregate("dropped", F.lit(0), lambda n, x: n + F.bit_count(x["bits"]))
+    return rows.select(
+        "doc_id",
+        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
+        F.coalesce(counted, F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept_text("dropped")).alias("kept_text"),
+    )

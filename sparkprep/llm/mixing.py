@@ -33,6 +33,7 @@ MAX_PATTERNS = 4096
 SEED = 42
 #: Buckets of the selecting hash for each pattern.
 BUCKET_BITS = 12
+KEYS = ["copies", "cut_bucket", "cut_r", "cut_doc", "fill_r", "fill_doc"]
 
 
 def targets(sizes: list[int], weights: list[int], total: int, most: int = MAX_COPIES) -> list[Fraction]:
@@ -182,3 +183,12 @@ def mix(docs: DataFrame, members: F.Column | None = None, weights: tuple[int, ..
     """(doc_id, size, source_size, target, taken): one row for each row of ``docs``; taken counts words with repeats."""
     rows = materialise(sized(docs, members, seed), "sized")
     return with_copies(rows, plan(rows, weights)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` by source, each as often as the mix takes it, with the columns it has."""
+    planned = plan(materialise(sized(docs, None, seed), "sized"), weights).select("pattern", *KEYS)
+    own = {"pattern": F.to_json(F.array(F.col("source").cast("string"))), "r": seeded("doc_id", seed), "doc_id": F.col("doc_id").cast("long")}
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), *(x.alias(c) for c, x in own.items()))
+    taken = with_copies(rows, planned).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -74,15 +74,15 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the ``COLUMNS`` of each row."""
+    """doc_id, lang, source, mark (a hash of the text) and the ``COLUMNS`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
-            found = np.array([measure(x) for x in batch.column(3).to_pylist()], np.int64).reshape(-1, len(COLUMNS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, i]) for i in range(len(COLUMNS)))], ["doc_id", "lang", "source", *COLUMNS])
+            found = np.array([measure(x) for x in batch.column(4).to_pylist()], np.int64).reshape(-1, len(COLUMNS))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(found[:, i]) for i in range(len(COLUMNS)))], ["doc_id", "lang", "source", "mark", *COLUMNS])
 
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COLUMNS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), text_bytes()).mapInArrow(run, schema)
+    schema = "doc_id long, lang string, source string, mark long, " + ", ".join(f"{c} long" for c in COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), text_bytes()).mapInArrow(run, schema)
 
 
 def rates() -> dict[str, F.Column]:
