@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sparkprep.llm.common import arrow_rows, materialise, text_bytes
 
 #: The directory's depth at most, and the entries of a bucket that make it split.
-MAX_DEPTH, CAPACITY = 12, 20_000
+MAX_DEPTH, CAPACITY = 16, 200
 #: Bytes of different texts that a task gathers before it lets its carriers go.
 GATHERED = 64 << 20
 #: Bits of a hash that tell which texts can have a copy: a filter of 2 MB, whatever the input.
@@ -76,7 +76,7 @@ def directory(counts: dict[int, int], capacity: int = CAPACITY, max_depth: int =
 def build_directory(spark: SparkSession, hashes: DataFrame) -> DataFrame:
     """(slot, bucket, depth): the directory over prefixes of MAX_DEPTH bits, written to the shared folder."""
     prefix = F.shiftrightunsigned("h", 64 - MAX_DEPTH)
-    counts = {r[0]: r[1] for r in hashes.groupBy(prefix.alias("p")).count().collect()}  # 4,096 rows at most
+    counts = {r[0]: r[1] for r in hashes.groupBy(prefix.alias("p")).count().collect()}  # 65,536 rows at most
     depth, slots = directory(counts)
     first = {bucket: i for i, bucket in reversed(list(enumerate(slots)))}
     rows = [(slot, first[b := slots[slot >> (MAX_DEPTH - depth)]], b[1]) for slot in range(1 << MAX_DEPTH)]
