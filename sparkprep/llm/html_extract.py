@@ -215,6 +215,10 @@ SAMPLES: list[list[tuple[int, str]]] = [
     [(1, "<main><p><a>{3}</a></p><p>{1}</p><p>{40}</p><p>{1}</p></main>"), (0, "<footer>{1}</footer><footer><a>{1}</a></footer>")],
     [(0, "<div><a>{4}</a></div>"), (1, "<article><h1>{1}</h1><p>{3}</p><ul><li><a>{1}</a></li><li><a>{2}</a></li><li>{1}</li></ul><p>{2}</p><p>{3}</p></article>"), (0, "<div>{3}</div><div>{2}</div>")],
     [(1, "<article><p><a>{6}</a></p></article>"), (0, "<div><a>{6}</a></div><div>{2}</div>"), (1, "<article><p>{5}</p><p>{1}</p></article>"), (0, "<div><a>{1}</a></div>")],
+    [(0, "<div><a>{1}</a></div>"), (1, "<h1>{4}</h1><p>{30}</p><p>{41}</p><p>{52}</p>"), (0, "<div><a>{1}</a> <a>{1}</a></div>")],
+    [(0, "<div><a>{2}</a></div><div><a>{1}</a></div>"), (1, "<p>{80}</p><p>{12}</p><p>{64}</p>"), (0, "<div>{1}</div><div><a>{1}</a></div>")],
+    [(0, "<p><a>{1}</a></p>"), (1, "<h2>{5}</h2><p>{22}</p><p>{47}</p>"), (0, "<p><a>{2}</a></p>")],
+    [(1, "<p>{200}</p><p>{75}</p>")],
     [(1, "<p>{14}</p>")],
     [(1, "<h1>{5}</h1><p>{12}</p><p>{26}</p>"), (0, "<footer>{9}</footer>")],
 ]
