@@ -115,8 +115,11 @@ def has_bad_value(a: Column, most: float = 1000.0) -> Column:
 def runs(a: Column) -> Column:
     """Runs of equal neighbours as array<struct<start, end, value>>, end exclusive."""
     starts = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.element_at(a, i) != F.element_at(a, F.greatest(i - 1, F.lit(1)))))
-    ends = lambda k: F.coalesce(F.try_element_at(starts, (k + 2).cast("int")) - 1, F.size(a))
-    found = F.transform(starts, lambda i, k: F.struct(long(i - 1).alias("start"), long(ends(k)).alias("end"), F.element_at(a, i).alias("value")))
+    # The starts are bound once; a lambda that named them would work them out again for each run.
+    spans = lambda s: F.transform(
+        s, lambda i, k: F.struct(long(i - 1).alias("start"), long(F.coalesce(F.try_element_at(s, (k + 2).cast("int")) - 1, F.size(a))).alias("end"), F.element_at(a, i).alias("value"))
+    )
+    found = F.transform(F.array(starts), spans)[0]
     return F.when(F.size(a) > 0, found).otherwise(F.slice(found, 1, 0))
 
 
