@@ -1,6 +1,6 @@
 """Queries over the standard tables, one for each operator, with their SQL."""
 
-from sparkprep.plans import array_queries, metric_queries, record_queries, sampling_queries
+from sparkprep.plans import array_queries, metric_queries, record_queries, sampling_queries, source_queries
 from sparkprep.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "array_queries", "metric_queries", "record_queries", "sampling_queries"]
+__all__ = ["ORACLES", "QUERIES", "array_queries", "metric_queries", "record_queries", "sampling_queries", "source_queries"]
