@@ -12,6 +12,11 @@ def long(x: Column) -> Column:
     return x.cast("long")
 
 
+def upto(n: Column) -> Column:
+    """1 to n; nothing for an n under 1 (a sequence would run backwards)."""
+    return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
 def ceil_to_multiple(n: Column, multiple: int) -> Column:
     """The least multiple that is not under ``n``."""
     return long(F.ceil(n / multiple)) * multiple
@@ -62,14 +67,14 @@ def masked_labels(labels: Column, mask: Column, ignore: int = IGNORE) -> Column:
 
 def find_array(needle: Column, haystack: Column) -> Column:
     """First 0-based place of ``needle`` in ``haystack``, -1 if there is none."""
-    places = F.sequence(F.lit(1), F.size(haystack) - F.size(needle) + 1)
+    places = upto(F.size(haystack) - F.size(needle) + 1)
     hits = F.filter(places, lambda p: F.slice(haystack, p, F.size(needle)) == needle)
     return F.when(F.size(needle) > F.size(haystack), F.lit(-1).cast("long")).otherwise(long(F.coalesce(F.try_element_at(hits, F.lit(1)) - 1, F.lit(-1))))
 
 
 def find_array_last(needle: Column, haystack: Column) -> Column:
     """Last 0-based place of ``needle`` in ``haystack``, -1 if there is none."""
-    places = F.sequence(F.lit(1), F.size(haystack) - F.size(needle) + 1)
+    places = upto(F.size(haystack) - F.size(needle) + 1)
     hits = F.filter(places, lambda p: F.slice(haystack, p, F.size(needle)) == needle)
     return F.when(F.size(needle) > F.size(haystack), F.lit(-1).cast("long")).otherwise(long(F.coalesce(F.try_element_at(hits, F.lit(-1)) - 1, F.lit(-1))))
 
@@ -81,7 +86,7 @@ def running_sums(lengths: Column) -> Column:
 
 def boundary_lengths(boundaries: Column) -> Column:
     """Differences of neighbouring boundaries."""
-    return F.transform(F.sequence(F.lit(1), F.size(boundaries) - 1), lambda i: F.element_at(boundaries, (i + 1).cast("int")) - F.element_at(boundaries, i.cast("int")))
+    return F.transform(upto(F.size(boundaries) - 1), lambda i: F.element_at(boundaries, (i + 1).cast("int")) - F.element_at(boundaries, i.cast("int")))
 
 
 def cut_at_padding(boundaries: Column, pad: int = -1) -> Column:
@@ -92,7 +97,7 @@ def cut_at_padding(boundaries: Column, pad: int = -1) -> Column:
 
 def positions_by_segment(boundaries: Column) -> Column:
     """Position ids that restart at each boundary."""
-    return F.flatten(F.transform(boundary_lengths(boundaries), lambda n: F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda x: x)))
+    return F.flatten(F.transform(boundary_lengths(boundaries), lambda n: F.transform(upto(n.cast("int")), lambda x: long(x) - 1)))
 
 
 def zigzag_rank(position: Column, n: Column | int, ranks: int) -> Column:
@@ -114,16 +119,15 @@ def has_bad_value(a: Column, most: float = 1000.0) -> Column:
 
 def runs(a: Column) -> Column:
     """Runs of equal neighbours as array<struct<start, end, value>>, end exclusive."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.element_at(a, i) != F.element_at(a, F.greatest(i - 1, F.lit(1)))))
+    starts = F.filter(upto(F.size(a)), lambda i: (i == 1) | (F.element_at(a, i) != F.element_at(a, F.greatest(i - 1, F.lit(1)))))
     # The starts are bound once; a lambda that named them would work them out again for each run.
     spans = lambda s: F.transform(
         s, lambda i, k: F.struct(long(i - 1).alias("start"), long(F.coalesce(F.try_element_at(s, (k + 2).cast("int")) - 1, F.size(a))).alias("end"), F.element_at(a, i).alias("value"))
     )
-    found = F.transform(F.array(starts), spans)[0]
-    return F.when(F.size(a) > 0, found).otherwise(F.slice(found, 1, 0))
+    return F.transform(F.array(starts), spans)[0]
 
 
 def valid_row(input_ids: Column, loss_mask: Column, starts: Column) -> Column:
     """Whether a packed row holds: equal lengths, the first boundary 0, boundaries rising within the row."""
-    rising = F.forall(F.sequence(F.lit(1), F.size(starts)), lambda i: F.element_at(starts, i) >= F.element_at(starts, F.greatest(i - 1, F.lit(1))))
-    return (F.size(input_ids) == F.size(loss_mask)) & (F.size(starts) > 0) & (F.element_at(starts, 1) == 0) & rising & (F.element_at(starts, -1) < F.size(input_ids))
+    rising = F.forall(upto(F.size(starts)), lambda i: F.element_at(starts, i) >= F.element_at(starts, F.greatest(i - 1, F.lit(1))))
+    return (F.size(input_ids) == F.size(loss_mask)) & (F.size(starts) > 0) & (F.try_element_at(starts, F.lit(1)) == 0) & rising & (F.try_element_at(starts, F.lit(-1)) < F.size(input_ids))
