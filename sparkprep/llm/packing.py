@@ -116,12 +116,13 @@ def shuffled_fit(counts: dict[int, int], capacity: int, random: np.random.Genera
 
 
 def solve(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, seed: int = 42) -> Bins:
-    """The best plan that the islands find. Plans have a few thousand patterns at most, as lengths are bounded."""
+    """The best plan that the islands find; they stop early at a number of bins that no plan can beat.
+
+    Plans have a few thousand patterns at most, as lengths are bounded, so islands may hand theirs to the driver.
+    """
     least = -(-sum(n * c for n, c in counts.items()) // capacity)
-    first = best_fit(counts, capacity)
-    if number(first) <= max(least, sum(c for n, c in counts.items() if 2 * n > capacity)):
-        return first
-    elites: list[list[Bins]] = [[first] for _ in range(ISLANDS)]
+    least = max(least, sum(c for n, c in counts.items() if 2 * n > capacity))
+    elites: list[list[Bins]] = [[best_fit(counts, capacity)] for _ in range(ISLANDS)]
     for round_ in range(ROUNDS):
         sent = [elites[i] + elites[i - 1][:1] for i in range(ISLANDS)]  # each island gets its neighbour's elite
 
@@ -141,7 +142,10 @@ def solve(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY,
                 bins.append((tuple(flat[at + 2 : at + 2 + flat[at]]), flat[at + 1]))
                 at += 2 + flat[at]
             elites[row["island"]].append(bins)
-    return max((x for island in elites for x in island), key=lambda x: fitness(x, capacity))
+        best = max((x for island in elites for x in island), key=lambda x: fitness(x, capacity))
+        if number(best) == least:  # no plan has fewer
+            break
+    return best
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
