@@ -129,10 +129,9 @@ def judged(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     keep = [f"{m}_limit" for m in SLACK]
     own = found.where("level = 0").select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("rows").alias("own_rows"), *(F.col(c).alias(f"own_{c}") for c in keep))
     mid = found.where("level = 1").select(F.col("lang").alias("l"), F.col("rows").alias("mid_rows"), *(F.col(c).alias(f"mid_{c}") for c in keep))
-    top = found.where("level = 2").select(*(F.col(c).alias(f"top_{c}") for c in keep))
-    # The limits of every group, resolved once; joined to the rows as a table of one row for each group.
-    own = own.join(mid.withColumnRenamed("l", "ml"), F.col("l").eqNullSafe(F.col("ml")), "left").drop("ml").join(top)
-    chosen = lambda c: F.when(F.col("own_rows") >= min_rows, F.col(f"own_{c}")).when(F.col("mid_rows") >= min_rows, F.col(f"mid_{c}")).otherwise(F.col(f"top_{c}")).alias(c)
+    top = found.where("level = 2").first()  # one row: the limits of the whole
+    own = own.join(mid.withColumnRenamed("l", "ml"), F.col("l").eqNullSafe(F.col("ml")), "left").drop("ml")
+    chosen = lambda c: F.when(F.col("own_rows") >= min_rows, F.col(f"own_{c}")).when(F.col("mid_rows") >= min_rows, F.col(f"mid_{c}")).otherwise(F.lit(top[c] if top else None)).cast("long").alias(c)
     rules = materialise(own.select("l", "s", *(chosen(c) for c in keep)), "rules")
     joined = measured.join(rules, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT) * F.col("n_words"))
