@@ -40,8 +40,10 @@ def convergence(pairs: DataFrame, a: str, b: str, tolerance: float = 0.05) -> Da
     """One row: correlation, share of steps within a relative tolerance, share of differences over three deviations."""
     difference = F.col(a) - F.col(b)
     totals = pairs.agg(F.corr(a, b).alias("correlation"), F.avg((F.abs(difference) <= tolerance * F.abs(F.col(a))).cast("double")).alias("within"), F.avg(difference).alias("mean"), F.stddev_pop(difference).alias("deviation"))
-    outliers = pairs.crossJoin(F.broadcast(totals)).agg(F.avg((F.abs(difference - F.col("mean")) > 3 * F.col("deviation")).cast("double")).alias("outliers"))  # one row of totals
-    return totals.crossJoin(F.broadcast(outliers)).select("correlation", "within", "deviation", "outliers")
+    found = totals.first()  # one row
+    odd = F.abs(difference - F.lit(found["mean"])) > 3 * F.lit(found["deviation"])
+    one = pairs.agg(F.avg(odd.cast("double")).alias("outliers"))
+    return one.select(*(F.lit(found[c]).cast("double").alias(c) for c in ("correlation", "within", "deviation")), "outliers")
 
 
 def norms(values: DataFrame, name: str, value: Column) -> DataFrame:
