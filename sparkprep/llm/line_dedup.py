@@ -54,7 +54,9 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) ->
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("position")]
     runs = materialise(lines.repartitionByRange(*order).sortWithinPartitions(*order), "runs")
     frequent = runs.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("survivor")).where(F.col("n") >= min_docs)
-    gone = runs.join(frequent.drop("n"), ["h1", "h2"]).where("not doc_id <=> survivor")
+    # Written, so that both sides of the join come straight from an exchange and a hot line's partition can be split.
+    frequent = materialise(frequent.drop("n"), "frequent")
+    gone = runs.join(frequent, ["h1", "h2"]).where("not doc_id <=> survivor")
     word = F.shiftright("position", 6)
     bit = F.expr("shiftleft(1L, position & 63)")
     words = gone.groupBy("doc_id", "mark", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
