@@ -27,8 +27,8 @@ BITS = 18
 FOLDS = 5
 #: Labelled rows that training reads at most.
 MAX_ROWS = 10_000
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.001
-EPOCHS = 12
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.001
+EPOCHS = 20
 #: Letters of a word that count as its beginning; only longer words have one.
 BEGINNING = 4
 SEED = 42
