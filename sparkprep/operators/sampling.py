@@ -15,6 +15,20 @@ def keyed(*parts: Column | int | str) -> Column:
     return F.md5(F.concat_ws("-", *(x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in parts)))
 
 
+def keyed_rank(rows: DataFrame, group: str, key: Column, tie: str, digits: int = 3) -> DataFrame:
+    """Adds ``rank``: 0-based within ``group`` in the order of a keyed hash, then of ``tie``.
+
+    The hash's first digits cut a group into 16 ** digits even parts that follow one another; each part is ranked by itself
+    and the counts of those before it are added, so a group as large as the whole data spreads over the cluster.
+    """
+    cut = rows.withColumn("key_", key).withColumn("part_", F.substring("key_", 1, digits))
+    counts = cut.groupBy(group, "part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(group, "part_", F.coalesce(before, F.lit(0)).alias("before_"))
+    local = F.row_number().over(Window.partitionBy(group, "part_").orderBy("key_", tie)).cast("long") - 1
+    return cut.withColumn("local_", local).join(starts, [group, "part_"]).withColumn("rank", F.col("before_") + F.col("local_")).drop("key_", "part_", "before_", "local_")
+
+
 def sequential(spark: SparkSession, total: int, consumed: int, micro: int, ranks: int, drop_last: bool = True) -> DataFrame:
     """(idx, step, rank, slot): data-parallel batches in the order of rows, from row ``consumed`` on."""
     batch = micro * ranks
@@ -47,9 +61,9 @@ def random_sharded(spark: SparkSession, total: int, consumed: int, micro: int, r
     active = total - total % batch
     epoch, bucket = consumed // active, total // batch * micro
     offset = consumed % active // ranks
-    rows = spark.range(0, bucket * ranks).select(F.col("id").alias("idx"), F.floor(F.col("id") / bucket).cast("long").alias("rank"))
-    order = Window.partitionBy("rank").orderBy(keyed(F.col("idx"), epoch), "idx")
-    return rows.withColumn("position", F.row_number().over(order).cast("long") - 1).where(F.col("position") >= offset)
+    rows = spark.range(0, bucket * ranks).select(F.col("id").alias("idx"), F.floor(F.col("id") / bucket).cast("long").alias("owner"))
+    placed = keyed_rank(rows, "owner", keyed(F.col("idx"), epoch), "idx")
+    return placed.select("idx", F.col("owner").alias("rank"), F.col("rank").alias("position")).where(F.col("position") >= offset)
 
 
 def block_shuffle(spark: SparkSession, size: int, number: int, block: int, seed: int) -> DataFrame:
@@ -65,8 +79,8 @@ def epoch_shuffle(spark: SparkSession, size: int, most: int, seed: int) -> DataF
     """(position, sample, epoch): as many keyed permutations as give ``most`` samples, one after the other."""
     epochs = -(-most // size)
     rows = spark.range(0, epochs * size).select((F.col("id") % size).alias("sample"), F.floor(F.col("id") / size).cast("long").alias("epoch"))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(keyed(F.col("sample"), F.col("epoch") + seed), "sample"))
-    return rows.select((F.col("epoch") * size + place - 1).alias("position"), "sample", "epoch").where(F.col("position") < most)
+    placed = keyed_rank(rows, "epoch", keyed(F.col("sample"), F.col("epoch") + seed), "sample")
+    return placed.select((F.col("epoch") * size + F.col("rank")).alias("position"), "sample", "epoch").where(F.col("position") < most)
 
 
 def repeat_modulo(rows: DataFrame, number: Column, size: int, target: int) -> DataFrame:

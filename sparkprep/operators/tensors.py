@@ -128,3 +128,53 @@ def shard_files(files: DataFrame, name: str, savers: int) -> DataFrame:
     """Adds ``saver``: file i in the order of names goes to saver i mod savers. A list of files, not of rows."""
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)).cast("long") - 1
     return files.withColumn("saver", place % savers)
+
+
+def head_major_place(row: Column, heads: int, parts: list[int]) -> Column:
+    """Where a row of flat components (each ``heads`` x its size) stands when every head has its part of each together."""
+    each = sum(parts)
+    out, begin, inside = None, 0, 0
+    for size in parts:
+        here = row - begin
+        place = F.floor(here / size) * each + inside + here % size
+        out = F.when(row < begin + heads * size, place) if out is None else out.when(row < begin + heads * size, place)
+        begin, inside = begin + heads * size, inside + size
+    return out.cast("long")
+
+
+def component_shard(row: Column, sizes: list[int], ranks: int) -> tuple[Column, Column]:
+    """(rank, row there) when every component of stacked ones is cut evenly over the ranks by itself."""
+    rank = own = None
+    begin = before = 0
+    for size in sizes:
+        each = size // ranks
+        here = row - begin
+        inside = row < begin + size
+        r, o = F.floor(here / each), before + here % each
+        rank, own = (F.when(inside, r), F.when(inside, o)) if rank is None else (rank.when(inside, r), own.when(inside, o))
+        begin, before = begin + size, before + each
+    return rank.cast("long"), own.cast("long")
+
+
+def global_expert(local: Column, rank: Column, each: int) -> Column:
+    """An expert's number over all ranks."""
+    return (rank * each + local).cast("long")
+
+
+def fanned_out(rows: DataFrame, name: str, targets: list[str]) -> DataFrame:
+    """Each row under several names: the last part of its name replaced by each target."""
+    stem = F.regexp_replace(name, r"[^.]*$", "")
+    return rows.withColumn(name, F.explode(F.array(*(F.concat(stem, F.lit(t)) for t in targets))))
+
+
+def prefixed_adapters(rows: DataFrame, name: str, prefix: str) -> DataFrame:
+    """Adapter parameters alone, under a prefix, with ``place``: their order under each parent."""
+    parent = F.regexp_replace(name, r"\.[^.]*\.[^.]*$", "")
+    place = F.row_number().over(Window.partitionBy(parent).orderBy(name)).cast("long") - 1
+    return rows.where(F.col(name).rlike(r"\.(?:lora|adapter)")).withColumns({"place": place, "full_name": F.concat(F.lit(prefix), name)})
+
+
+def shared_norm(rows: DataFrame, name: str, group: Column, value: Column) -> DataFrame:
+    """(group, norm) over different parameters: one that several ranks hold counts once."""
+    held = rows.groupBy(name, group.alias("group")).agg(F.max(value).alias("v"))
+    return held.groupBy("group").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))

@@ -138,3 +138,36 @@ def test_packed_stream(spark, tmp_path):
     size = {k: n for _, k, n in rows}
     ids = [k for r in found for k in r.ids]
     assert sorted(ids) == list(range(64)) and all(r.total == sum(size[k] for k in r.ids) <= 16 for r in found)
+
+
+def test_builders(spark):
+    from sparkprep.operators import builders as D
+
+    rows = spark.createDataFrame([(i, [1] * (1 + i % 7), [1] * (1 + i % 7)) for i in range(200)], "id long, input_ids array<int>, loss_mask array<int>")
+    parts = D.build(spark, D.TuningData(rows, F.col("id") >= 20, packing=D.PackingConfig(16), seed=1, most={"validation": 3}))
+    assert parts["test"].columns == ["id", "input_ids", "loss_mask"]
+    assert R.checked(parts["train"]).count() == parts["train"].count() > 0
+    assert parts["validation"].agg(F.sum(F.size("seq_start_id"))).first()[0] == 3
+    with pytest.raises(KeyError):
+        D.build(spark, object())
+    with pytest.raises(ValueError, match="idx.parquet"):
+        D.PackingConfig(8, packed_path="rows.parquet")
+    assert (D.source_kind("a/x.idx.parquet"), D.source_kind("x.jsonl", True), D.source_kind("x.jsonl")) == ("packed", "chat", "records")
+    assert (D.split_weights(None), D.split_weights(["a"]), D.split_weights(["a"], True)) == ("1,1,1", "9999,8,2", None)
+
+
+def test_searched_mask_goes_forward(spark):
+    from sparkprep.operators.examples import searched_mask
+
+    ids = longs(1, 2, 3, 1, 2, 9)
+    two = F.array(longs(1, 2), longs(7, 7), longs(1, 2))
+    assert one(spark, searched_mask(ids, two)) == [1, 1, 0, 1, 1, 0]
+
+
+def test_keyed_rank_equals_one_window(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
+    key = S.keyed(F.col("id"), 4)
+    plain = rows.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(key, "id")) - 1)
+    assert S.keyed_rank(plain, "g", key, "id").where("rank <> want").count() == 0
