@@ -16,6 +16,7 @@ from sparkprep.llm.line_dedup import line_dedup
 from sparkprep.llm.mixing import mix
 from sparkprep.llm.packing import pack
 from sparkprep.llm.quality import quality
+from sparkprep.llm.quality_sql import quality_sql
 from sparkprep.llm.sharding import shard_rows
 from sparkprep.llm.simhash import near_duplicates
 from sparkprep.llm.toxicity import toxicity
@@ -78,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op2_quality": quality_sql(),
     "op3_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
