@@ -127,7 +127,13 @@ def sized(docs: DataFrame, members: F.Column | None = None, seed: int = SEED) ->
 
 
 def seeded(doc_id: str, seed: int = SEED) -> F.Column:
-    return F.xxhash64(F.col(doc_id).cast("long"), F.lit(seed).cast("long"))
+    """60 bits of an MD5 of the id and the seed, which SQL engines can repeat."""
+    text = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(f"-{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def bucket_of(r: str) -> F.Column:
+    return F.shiftright(r, 60 - BUCKET_BITS)
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -152,7 +158,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     held = F.broadcast(spark.createDataFrame(cells, "pattern string, source_size long, target double, copies int, rest long"))  # MAX_PATTERNS rows at most
 
     units = rows.join(held, "pattern").where("rest > 0").groupBy("pattern", "r", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")).agg(F.sum("size").alias("size"), F.first("rest").alias("rest")).where("size > 0")
-    units = materialise(units.withColumn("bucket", F.shiftrightunsigned(F.col("r").bitwiseXOR(F.lit(-(1 << 63))), 64 - BUCKET_BITS)), "units")
+    units = materialise(units.withColumn("bucket", bucket_of("r")), "units")
     sums = units.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     running = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket"))  # 4,096 buckets of a pattern at most
     cut = sums.withColumn("before", running - F.col("words")).where("before <= rest and before + words > rest").select("pattern", F.col("bucket").alias("cut_bucket"), "before")
@@ -172,7 +178,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def with_copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """``rows`` (pattern, doc_id, r) with the plan's columns and ``copies`` as each row is taken."""
     doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bucket = F.shiftrightunsigned(F.col("r").bitwiseXOR(F.lit(-(1 << 63))), 64 - BUCKET_BITS)
+    bucket = bucket_of("r")
     before = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & ((F.col("r") < F.col("cut_r")) | ((F.col("r") == F.col("cut_r")) & (doc <= F.col("cut_doc")))))
     added = (F.col("r") == F.col("fill_r")) & (doc == F.col("fill_doc"))
     more = F.coalesce(before, F.lit(False)) | F.coalesce(added, F.lit(False))

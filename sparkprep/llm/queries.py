@@ -14,6 +14,7 @@ from sparkprep.llm.html_extract import extract
 from sparkprep.llm.license_scan import license_scan
 from sparkprep.llm.line_dedup import line_dedup
 from sparkprep.llm.mixing import mix
+from sparkprep.llm.mixing_sql import mixing_sql
 from sparkprep.llm.packing import pack
 from sparkprep.llm.quality import quality
 from sparkprep.llm.quality_sql import quality_sql
@@ -80,6 +81,7 @@ LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality_sql(),
+    "op10_mixing": mixing_sql(),
     "op3_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
