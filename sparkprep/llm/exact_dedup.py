@@ -10,7 +10,7 @@
 4. Carriers of one chain link are added up, and each carrier hands the result to its rows.
 
 A null text counts as empty; empty texts equal each other. Of equal texts the row with the largest doc_id stays; where rows
-repeat that doc_id, just one of them. An empty table gives no rows. Columns other than doc_id and text are not read.
+repeat that doc_id, just one of them. A null doc_id is less than any other. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ MAX_DEPTH, CAPACITY = 16, 200
 GATHERED = 64 << 20
 #: Bits of a hash that tell which texts can have a copy: a filter of 2 MB, whatever the input.
 FILTER_BITS = 24
+#: Stands for a null doc_id among the ids of a carrier; it is less than any other.
+NO_ID = -(1 << 63)
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def carriers(docs: DataFrame, marked: bytes, slots: list[int]) -> DataFrame:
                 if filter_bits[place >> 3] >> (place & 7) & 1:
                     if text not in held:
                         size += len(text)
-                    held.setdefault(text, []).append(-1 if doc_id is None else doc_id)
+                    held.setdefault(text, []).append(NO_ID if doc_id is None else doc_id)
             if size > GATHERED:
                 yield from emptied()
                 size = 0
@@ -165,8 +167,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     links = materialise(chained(owned), "chains")
     top = F.struct(F.col("ids")[0].alias("id"), F.col("carrier"))
     sums = links.groupBy("h", "link").agg(F.max(top).alias("top"), F.sum(F.size("ids")).alias("group_size"))
-    copies = links.join(sums, ["h", "link"]).select("h", F.posexplode("ids").alias("place", "doc_id"), F.col("top.id").alias("keep_id"), "group_size", (F.col("carrier") == F.col("top.carrier")).alias("holds"), "text_sha256")
+    named = lambda x: F.nullif(x, F.lit(NO_ID))
+    copies = links.join(sums, ["h", "link"]).select("h", F.posexplode("ids").alias("place", "id"), named(F.col("top.id")).alias("keep_id"), "group_size", (F.col("carrier") == F.col("top.carrier")).alias("holds"), "text_sha256")
     # The filter also lets through texts without a copy whose hash begins like a crowded one: those have their row below.
-    copies = copies.join(crowded.select("h"), "h", "left_semi").select("doc_id", "keep_id", "group_size", (F.col("holds") & (F.col("place") == 0)).alias("kept"), "text_sha256")
+    copies = copies.join(crowded.select("h"), "h", "left_semi").select(named(F.col("id")).alias("doc_id"), "keep_id", "group_size", (F.col("holds") & (F.col("place") == 0)).alias("kept"), "text_sha256")
     single = index.join(hashes.where("rows = 1").select("h"), "h", "left_semi")
     return single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256").unionByName(copies)

@@ -10,7 +10,7 @@ these sorted runs, which sends one row for each key and task, and the stream of
 survivor's. What returns is a compressed keep bitmap for each document: words of 64 lines, only those that drop a line.
 
 Null and empty texts are one empty line. Rows that share a doc_id are one document for counts and the choice of the survivor;
-each keeps its own text, as bitmaps belong to (doc_id, hash of the text). Every row of ``docs`` returns, repeated ones too. An
+each keeps its own text, as bitmaps belong to (doc_id, hash of the text). A null doc_id counts for no document and survives nowhere. Every row of ``docs`` returns, repeated ones too. An
 empty table gives none. Columns other than doc_id and text are not read.
 """
 
@@ -69,6 +69,12 @@ def kept_text(dropped: str) -> F.Column:
     return F.array_join(F.filter(lines_of(F.coalesce("text", F.lit(""))), lambda x, i: ~gone(i)), "\n")
 
 
+def with_bitmaps(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, mark) with ``dropped``, null for those that lose nothing."""
+    held = bitmaps.select(F.col("doc_id").alias("of_doc"), F.col("mark").alias("of_mark"), "dropped")
+    return rows.join(held, rows["doc_id"].eqNullSafe(held["of_doc"]) & (rows["mark"] == held["of_mark"]), "left").drop("of_doc", "of_mark")
+
+
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, mark, n_lines, keep): each row's lines and its compressed keep bitmap.
 
@@ -76,14 +82,14 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     left out all stay.
     """
     lines = texts(docs).select("doc_id", "mark", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"))
-    return lines.join(dropped_bitmaps(docs, min_chars, min_docs), ["doc_id", "mark"], "left").select(
+    return with_bitmaps(lines, dropped_bitmaps(docs, min_chars, min_docs)).select(
         "doc_id", "mark", "n_lines", F.transform(F.coalesce("dropped", F.array()), lambda x: F.struct(x["word"], F.bitwise_not(x["bits"]).alias("bits"))).alias("keep")
     )
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text): one row for each row of ``docs``."""
-    rows = texts(docs).join(dropped_bitmaps(docs, min_chars, min_docs), ["doc_id", "mark"], "left")
+    rows = with_bitmaps(texts(docs), dropped_bitmaps(docs, min_chars, min_docs))
     counted = F.aggregate("dropped", F.lit(0), lambda n, x: n + F.bit_count(x["bits"]))
     return rows.select(
         "doc_id",

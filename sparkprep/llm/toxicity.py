@@ -87,8 +87,8 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.
 
 
 def in_training(doc_id: str = "doc_id") -> F.Column:
-    """Whether labels of a doc_id may be learnt from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS != 0
+    """Whether labels of a doc_id may be learnt from; those of a null one may not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS != 0, F.lit(False))
 
 
 def model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, float]:

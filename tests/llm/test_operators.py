@@ -343,3 +343,17 @@ def test_flow_repeats_only_when_fresh_words_are_short():
     assert mixing.flow([(100, [0]), (20, [1]), (10, [0, 1])], [60, 60]) == [60, 40, 20]
     assert mixing.flow([(100, [0]), (20, [1])], [60, 70]) == [60, 60]
     assert mixing.flow([], []) == []
+
+
+def test_null_ids(spark):
+    long = "a line of more than forty code points that all of these documents hold"
+    rows = [(None, long, None, None)] * 2 + [(i, long.upper() if i % 2 else long, "en", "s") for i in range(6)] + [(None, "alone here", "en", "s"), (None, None, None, None)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    dedup = exact_dedup.exact_dedup(docs).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in dedup) == Counter([(i, 5, 8) for i in (None, None, *range(6))] + [(None, None, 1)] * 2)
+    assert [r.doc_id for r in dedup if r.kept and r.group_size == 8] == [5]
+    lines = Counter((r.doc_id, r.n_dropped) for r in line_dedup.line_dedup(docs).collect())
+    assert lines == Counter([(None, 1)] * 2 + [(i, int(i != 5)) for i in range(6)] + [(None, 0)] * 2)
+    assert all(r.held_out for r in toxicity.toxicity(docs, spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")).collect() if r.doc_id is None)
+    for found in (simhash.near_duplicates(docs), quality.quality(docs), license_scan.license_scan(docs), packing.pack(docs, TOKENIZER), sharding.shard_rows(docs), mixing.mix(docs)):
+        assert found.count() == len(rows)
