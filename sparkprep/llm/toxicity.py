@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sparkprep.llm.common import arrow_rows, materialise, text_bytes
 from sparkprep.llm.license_scan import words_of
 
-BITS = 18
+BITS = 22
 FOLDS = 5
 #: Labelled rows that training reads at most.
 MAX_ROWS = 10_000
@@ -32,6 +32,8 @@ EPOCHS = 20
 #: Letters of a word that count as its beginning; only longer words have one.
 BEGINNING = 4
 SEED = 42
+#: Features of fewer training rows are left out: they can't earn a weight that holds for other rows.
+SEEN = 3
 
 
 class Features:
@@ -57,33 +59,40 @@ class Features:
             begins.clear()
         mixed = lambda a, b, k: ((a * np.uint64(0x9E3779B97F4A7C15)) ^ (a >> np.uint64(31))) + b * np.uint64(2 * k + 0xC2B2AE3D27D4EB4F)
         pairs, skips = mixed(h[:-1], h[1:], 1), mixed(h[:-2], h[2:], 2)
-        flags = np.zeros(1 << BITS, bool)
-        for values in (h, starts, pairs, skips):
-            flags[((values ^ (values >> np.uint64(32))) & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-        return np.flatnonzero(flags)
+        values = np.concatenate([h, starts, pairs, skips])
+        return np.unique(((values ^ (values >> np.uint64(32))) & np.uint64((1 << BITS) - 1)).astype(np.int64))
 
 
 def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """FTRL-proximal over (features, label) rows, in their order: the weights, and the bias (which L1 leaves alone)."""
     size = 1 << BITS
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    shrink = np.full(size + 1, L1)
-    shrink[size] = 0.0
-
-    def weights(at: np.ndarray | slice) -> np.ndarray:
-        over = np.abs(z[at]) - shrink[at]
-        return np.where(over > 0, -np.sign(z[at]) * over / ((BETA + np.sqrt(n[at])) / ALPHA + L2), 0.0)
+    seen = np.zeros(size, np.int64)
+    for features, _ in rows:
+        seen[features] += 1
+    kept = np.flatnonzero(seen >= SEEN)
+    dense = np.cumsum(seen >= SEEN) - 1
+    rows = [(np.append(dense[features[seen[features] >= SEEN]], len(kept)), label) for features, label in rows]
+    z, n = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    shrink = np.full(len(kept) + 1, L1)
+    shrink[-1] = 0.0  # the bias
+
+    def weights(z: np.ndarray, root: np.ndarray, shrink: np.ndarray) -> np.ndarray:
+        over = np.maximum(np.abs(z) - shrink, 0.0)
+        return -np.copysign(over, z) / ((BETA + root) / ALPHA + L2)
 
     for _ in range(epochs):
-        for features, label in rows:
-            at = np.append(features, size)
-            w = weights(at)
+        for at, label in rows:
+            own, count = z[at], n[at]
+            root = np.sqrt(count)
+            w = weights(own, root, shrink[at])
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - sigma * w
-            n[at] += g * g
-    w = weights(slice(None))
-    return w[:size], float(w[size])
+            count += g * g
+            z[at] = own + g - (np.sqrt(count) - root) / ALPHA * w
+            n[at] = count
+    out = np.zeros(size)
+    w = weights(z, np.sqrt(n), shrink)
+    out[kept] = w[:-1]
+    return out, float(w[-1])
 
 
 def in_training(doc_id: str = "doc_id") -> F.Column:
