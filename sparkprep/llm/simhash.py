@@ -146,12 +146,13 @@ def ball_links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     sub_bits = min(sub_bits, 18 - bits) if bits < 18 else 0
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.unique(syndromes(masks_within(radius // 2), bits))
+        # A bucket is the high bits of the syndromes that it is searched by.
+        codes = np.unique(syndromes(masks_within(radius // 2), bits + sub_bits) >> np.uint32(sub_bits))
         reached = np.zeros(1 << bits, bool)
         reached[codes] = True
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own = syndromes(values, bits)
+            own = syndromes(values, bits + sub_bits) >> np.uint32(sub_bits)
             buckets, blobs = [], []
             for bucket in range(1 << bits):
                 chosen = values if reached.all() else values[reached[own ^ np.uint32(bucket)]]

@@ -91,6 +91,24 @@ def test_ball_links_find_all_pairs_within_the_radius():
         assert [x.tolist() for x in have] == [x.tolist() for x in want]
 
 
+def test_ball_links_with_several_blocks_and_buckets_left_out(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "BUCKET", 300)
+    monkeypatch.setattr(simhash, "BLOCK", 150)
+    rnd = np.random.default_rng(4)
+    base = np.unique(rnd.integers(0, 1 << 63, 600, np.uint64))
+    places = [rnd.choice(64, 1 + i % 4, replace=False) for i in range(len(base))]
+    fps = np.unique(np.concatenate([base, base ^ np.array([sum(1 << int(p) for p in x) for x in places], np.uint64)]))
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    found = simhash.ball_links(df, len(fps)).collect()
+    pairs = {tuple(sorted((np.int64(r.u).view(np.uint64), np.int64(r.v).view(np.uint64)))) for r in found}
+    have = simhash.star_components(*(np.array([p[k] for p in pairs], np.uint64) for k in (0, 1)))
+    want = simhash.star_components(fps[i], fps[j])
+    assert [x.tolist() for x in have] == [x.tolist() for x in want]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     found = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()))
