@@ -112,7 +112,9 @@ def lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("pack_histogram", f"WITH l AS ({LENGTHS}), h AS (SELECT unnest(range(20001)) AS length) SELECT h.length, count(l.id) AS n FROM h LEFT JOIN l ON h.length = l.length GROUP BY h.length")
 def histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return P.length_histogram(lengths(spark, folder), F.col("length"), 20000)
+    """Every length from 0 to 20,000, or to the longest document's where that is longer."""
+    rows = lengths(spark, folder)
+    return P.length_histogram(rows, F.col("length"), max(20000, rows.agg(F.max("length")).first()[0] or 0))
 
 
 def packed(spark: SparkSession, folder: str) -> DataFrame:
