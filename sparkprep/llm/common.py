@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or a default where it is unset."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where it is unset and everything runs in one process, as in tests, it is set to a local folder; elsewhere that is an error,
+    as executors would write to their own disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/sparkprep-shared"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

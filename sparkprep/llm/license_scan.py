@@ -1,19 +1,23 @@
 """License scans by diagonal voting.
 
-Every word 3-gram of a text is hashed and joined to the positions where license templates hold it. A match at text position
+Every word k-gram of a text is hashed and joined to the positions where license templates hold it. A match at text position
 p and template position t votes for the diagonal p - t. A template without changes fills one diagonal; words put in or left
-out shift the rest to a neighbouring one, so diagonals near each other whose stretches follow one another are merged. A
-merged span is verified: it begins and ends as the template does, its length fits, and it holds a share of ``MIN_SHARE`` or
-more of the template's 3-grams.
+out shift the rest to a neighbouring one, so diagonals within ``SHIFT`` of each other are merged. Where the merged votes hold
+enough of a template's k-grams to leave room for no more than the edits that its length allows, the span is verified on the
+words of the text: by the least number of words put in, left out or replaced, at either end too.
+
+Short templates get shorter k-grams, so that an edit in their middle leaves votes. Two rules keep similar licenses apart: a
+span must hold the words that set its template apart from another label's (such as the version), and of overlapping spans of
+different labels one with fewer edits wins. Phrases count exactly where their words stand; hashes find them, words confirm.
 
-Hashes are 64-bit sums over the words' XXH64, so a vote stands for equal words but for a chance of about 2 ** -64 each.
 Texts without words or matches return with no labels. A null text is empty. Each row of ``docs`` is scanned by itself, also where
-rows are equal. An empty table gives no rows. Columns other than doc_id and text are not read.
+rows are equal, whole however long. An empty table gives no rows. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 
 from sparkprep.llm.common import arrow_rows, materialise, text_bytes
 
-K = 3
-MIN_SHARE = 0.8
-#: Diagonals further apart than this many words aren't merged; a span may be longer than its template by this factor.
-SHIFT, STRETCH = 8, 1.3
+#: Words of a gram, and of those of templates so short that one edit could hit all of theirs.
+K, SHORT_K, SHORT = 3, 2, 5
+#: Words for each edit that a span may differ from its template by; one edit is always allowed.
+WORDS_PER_EDIT = 10
+#: Diagonals next to each other in order and further apart than this many words aren't merged.
+SHIFT = 4
 
 #: Phrases that count wherever their words stand one after the other: (label, words).
 PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
@@ -63,37 +69,97 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Grams:
-    """Hashes of word k-grams; the hashes of words are kept, up to a bound."""
+    """Hashes of word k-grams; the hashes of words are kept, up to a bound. Grams of different k differ."""
 
-    def __init__(self, k: int = K) -> None:
-        self.k, self.known = k, {}
-        self.factors = np.random.default_rng(11).integers(0, 1 << 63, k, np.uint64) * np.uint64(2) + np.uint64(1)
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.factors = np.random.default_rng(11).integers(0, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(words) < self.k:
-            return np.zeros(0, np.int64)
+    def hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         for word in set(words).difference(known):
             known[word] = xxhash.xxh64_intdigest(word)
-        hashes = np.array([known[w] for w in words], np.uint64)
+        out = np.array([known[w] for w in words], np.uint64)
         if len(known) > 500_000:
             known.clear()
-        n = len(words) - self.k + 1
-        out = np.zeros(n, np.uint64)
-        for i, factor in enumerate(self.factors):
-            out = (out ^ (out >> np.uint64(29))) + hashes[i : i + n] * factor
-        return out.view(np.int64)
+        return out
 
-
-def templates(phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> list[tuple[int, str, bool, list[bytes]]]:
-    """(number, label, whether it is a base phrase, words)."""
-    return [(i, label, i < len(phrases), words_of(text.encode())) for i, (label, text) in enumerate([*phrases, *notices])]
+    def of(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        n = len(hashes) - k + 1
+        if n < 1:
+            return np.zeros(0, np.int64)
+        out = np.full(n, k, np.uint64)
+        for i in range(k):
+            out = (out ^ (out >> np.uint64(29))) + hashes[i : i + n] * self.factors[i]
+        return out.view(np.int64)
 
 
-def template_grams(spark: SparkSession, held: list[tuple[int, str, bool, list[bytes]]]) -> DataFrame:
+class Template(NamedTuple):
+    number: int
+    label: str
+    base: bool  # a phrase, which must stand as it is
+    words: list[bytes]
+
+    @property
+    def k(self) -> int:
+        """A base phrase of fewer than K words is one gram."""
+        return min(len(self.words), K if self.base or len(self.words) > SHORT else SHORT_K)
+
+    @property
+    def edits(self) -> int:
+        return 0 if self.base else max(1, len(self.words) // WORDS_PER_EDIT)
+
+    @property
+    def needed(self) -> int:
+        """Different grams that votes must hold: an edit takes k of them at most."""
+        return max(1, len(self.words) - self.k + 1 - self.k * self.edits)
+
+
+def templates(phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> list[Template]:
+    return [t for i, (label, text) in enumerate([*phrases, *notices]) if (t := Template(i, label, i < len(phrases), words_of(text.encode()))).words]
+
+
+def nearest(words: list[bytes], template: list[bytes]) -> tuple[int, int, int]:
+    """(edits, first, last): where in ``words`` the template stands with the fewest edits, by words put in, left out or replaced."""
+    n = len(template)
+    cost, start = list(range(n + 1)), [0] * (n + 1)
+    best = (n, 0, -1)
+    for at, word in enumerate(words):
+        diagonal, begun = 0, at
+        cost[0], start[0] = 0, at + 1
+        for j in range(1, n + 1):
+            changed = diagonal + (word != template[j - 1])
+            diagonal, before = cost[j], start[j]
+            if changed <= cost[j] + 1 and changed <= cost[j - 1] + 1:
+                cost[j], start[j] = changed, begun
+            elif cost[j] <= cost[j - 1]:
+                cost[j] += 1
+            else:
+                cost[j], start[j] = cost[j - 1] + 1, start[j - 1]
+            begun = before
+        if cost[n] < best[0]:
+            best = (cost[n], start[n], at)
+    return best
+
+
+def telling(held: list[Template]) -> dict[int, frozenset[bytes]]:
+    """For each notice the words that set it apart from another label's template within reach of its edits."""
+    out = {}
+    for t in held:
+        words: set[bytes] = set()
+        for other in held:
+            if other.label != t.label and not t.base:
+                edits, first, last = nearest(other.words, t.words)
+                if edits <= t.edits:
+                    words |= set(t.words) - set(other.words[first : last + 1])
+        out[t.number] = frozenset(words)
+    return out
+
+
+def template_grams(spark: SparkSession, held: list[Template]) -> DataFrame:
     """(gram, template, place): a few thousand rows at most, as the templates are a parameter."""
     grams = Grams()
-    rows = [(int(h), number, place) for number, _, _, words in held for place, h in enumerate(grams.of(words))]
+    rows = [(int(h), t.number, place) for t in held for place, h in enumerate(grams.of(grams.hashes(t.words), t.k))]
     return spark.createDataFrame(rows, "gram long, template int, place int")
 
 
@@ -101,45 +167,82 @@ def template_grams(spark: SparkSession, held: list[tuple[int, str, bool, list[by
 PRESENT, NO_TEMPLATE = 0, -1
 
 
-def text_grams(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, grams): the hashes of all 3-grams of each whole text, and PRESENT."""
+def text_grams(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(row, doc_id, mark, n_words, k, grams): for each k of ``sizes`` the hashes of all k-grams of each whole text; with the first, PRESENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, row = Grams(), TaskContext.get().partitionId() << 36
         for batch in arrow_rows(batches):
             counts, found = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = words_of(text)
                 counts.append(len(words))
-                found += [grams.of(words), [PRESENT]]
-            ends = np.cumsum([len(x) for x in found])[1::2]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.concatenate(found).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(counts))), batch.column(0), pa.array(counts, pa.int64()), lists], ["row", "doc_id", "n_words", "grams"])
+                hashes = grams.hashes(words)
+                found.append([np.append(grams.of(hashes, k), np.full(int(i == 0), PRESENT)) for i, k in enumerate(sizes)])
+            rows = np.arange(row, row + len(counts))
+            for i, k in enumerate(sizes):
+                held = [x[i] for x in found]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate(held)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *batch.columns[:2], pa.array(counts, pa.int64()), lists], ["row", "doc_id", "mark", "n_words", "grams"])
             row += len(counts)
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "row long, doc_id long, n_words long, grams array<long>")
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+    return docs.select(F.col("doc_id").cast("long"), mark, text_bytes()).mapInArrow(run, "row long, doc_id long, mark long, n_words long, grams array<long>")
 
 
-def matches(docs: DataFrame, held: list[tuple[int, str, bool, list[bytes]]]) -> DataFrame:
-    """(row, doc_id, n_words, position, template, place): all 3-grams joined to the templates, and one NO_TEMPLATE for each row."""
+def matches(docs: DataFrame, held: list[Template]) -> DataFrame:
+    """(row, doc_id, mark, n_words, position, template, place): all grams joined to the templates, and one NO_TEMPLATE for each row."""
     spark = docs.sparkSession
     known = template_grams(spark, held).unionByName(spark.createDataFrame([(PRESENT, NO_TEMPLATE, 0)], "gram long, template int, place int"))
-    return text_grams(docs).select("row", "doc_id", "n_words", F.posexplode("grams").alias("position", "gram")).join(F.broadcast(known), "gram").drop("gram")
+    found = text_grams(docs, sorted({t.k for t in held}, reverse=True) or [K])
+    return found.select("row", "doc_id", "mark", "n_words", F.posexplode("grams").alias("position", "gram")).join(F.broadcast(known), "gram").drop("gram")
+
+
+def candidates(votes: DataFrame, held: list[Template]) -> DataFrame:
+    """(doc_id, mark, spans): array<struct<template, low, high>> of the least and greatest diagonals that neighbours merge to."""
+    of = lambda name: F.element_at(docs_map({t.number: getattr(t, name) for t in held}), F.col("template"))
+    order = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.when(of("base"), 0).otherwise(SHIFT), F.lit(True))
+    lines = votes.where(F.col("template") != NO_TEMPLATE).groupBy("row", "doc_id", "mark", "template", (F.col("position") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
+    # A diagonal has one place for each gram of its template at most; so has a span, after its places are made distinct.
+    spans = lines.withColumn("span", F.sum(apart.cast("long")).over(order)).groupBy("row", "doc_id", "mark", "template", "span").agg(
+        F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n")
+    )
+    likely = spans.where(F.col("n") >= of("needed")).select("doc_id", "mark", F.struct("template", "low", "high").alias("span")).distinct()
+    return likely.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
+
+
+def verified(texts: DataFrame, held: list[Template]) -> DataFrame:
+    """(doc_id, mark, n_base, first_word, last_word, base_labels, labels, score) of texts (doc_id, mark, text, spans), on their words."""
+    by_number, guards = {t.number: t for t in held}, telling(held)
+
+    def judge(text: bytes, spans: list[dict]) -> tuple:
+        words = words_of(text)
+        starts, base, found = [], set(), []
+        for span in sorted({(s["template"], s["low"], s["high"]) for s in spans}):
+            t = by_number[span[0]]
+            if t.base:
+                if words[span[1] : span[1] + len(t.words)] == t.words:
+                    starts.append(span[1])
+                    base.add(t.label)
+                continue
+            begin = max(0, span[1] - SHIFT)
+            edits, first, last = nearest(words[begin : span[2] + len(t.words) + SHIFT], t.words)
+            # The words that tell may stand just outside of one of several equally good spans.
+            near = words[max(0, begin + first - t.edits) : begin + last + 1 + t.edits]
+            if edits <= t.edits and guards[t.number] <= set(near):
+                found.append((t.label, begin + first, begin + last, edits, 1 - edits / len(t.words)))
+        good = [x for x in found if not any(y[0] != x[0] and y[3] < x[3] and y[1] <= x[2] and x[1] <= y[2] for y in found)]
+        score = 1.0 if starts else max((x[4] for x in good), default=0.0)
+        return len(starts), min(starts, default=None), max(starts, default=None), sorted(base), sorted(base | {x[0] for x in good}), score
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.float64()]
+        for batch in arrow_rows(batches):
+            rows = [judge(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "mark", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-def spans(found: DataFrame, held: list[tuple[int, str, bool, list[bytes]]]) -> DataFrame:
-    """(row, template, first, last, share): stretches of neighbouring diagonals and how much of the template they hold."""
-    votes = found.where(F.col("template") != NO_TEMPLATE)
-    diagonal = (F.col("position") - F.col("place")).alias("diagonal")
-    lines = votes.groupBy("row", "template", diagonal).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
-    order = Window.partitionBy("row", "template").orderBy("first", "diagonal")
-    # The stretch goes on if this diagonal is near the last one and neither text nor template steps back.
-    follows = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= SHIFT) & (F.col("low") > F.lag("high").over(order)) & (F.col("first") > F.lag("last").over(order))
-    group = F.sum(F.when(follows, 0).otherwise(1)).over(order)
-    merged = lines.withColumn("group", group).groupBy("row", "template", "group").agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    sizes = docs_map({number: len(words) for number, _, _, words in held})
-    size = F.element_at(sizes, F.col("template"))
-    return merged.select("row", "template", "first", "last", (F.col("votes") / (size - K + 1)).alias("share"), size.alias("size"), "low", "high").where((F.col("low") == 0) & (F.col("high") == F.col("size") - K) & (F.col("share") >= MIN_SHARE) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("size")))
+    return texts.select("doc_id", "mark", text_bytes(), "spans").mapInArrow(run, "doc_id long, mark long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double").distinct()
 
 
 def docs_map(values: dict[int, object]) -> F.Column:
@@ -150,31 +253,17 @@ def license_scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, noti
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score): one row for each row of ``docs``.
 
     n_base counts the places of base phrases, first_word and last_word are their least and greatest start (else null). labels
-    are those of base phrases and verified notices; score is the greatest share of a template found, 1 for a base phrase.
+    are those of base phrases and verified notices; score is the greatest share of a template's words that no edit touches, 1 for a base phrase.
     """
     held = templates(phrases, notices)
     found = materialise(matches(docs, held), "votes")
-    base_numbers = [number for number, _, base, _ in held if base]
-    labels = docs_map({number: label for number, label, _, _ in held})
-    votes = found.where(F.col("template").isin(base_numbers)).groupBy("row", "template", (F.col("position") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    full = docs_map({number: len(words) - K + 1 for number, _, base, words in held if base})
-    # A base phrase stands where a single diagonal has the votes of all its 3-grams.
-    places = votes.where(F.col("n") == F.element_at(full, F.col("template")))
-    base = places.groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set(F.element_at(labels, F.col("template"))).alias("base_set")
-    )
-    more = spans(found, held).groupBy("row").agg(F.collect_set(F.element_at(labels, F.col("template"))).alias("more_set"), F.max("share").alias("share"))
-    rows = found.where(F.col("template") == NO_TEMPLATE).select("row", "doc_id", "n_words")
-    joined = rows.join(base, "row", "left").join(more, "row", "left")
+    likely = materialise(candidates(found, held), "candidates")
+    rows = found.where(F.col("template") == NO_TEMPLATE).select("doc_id", "mark", "n_words")
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["id"]) & (x["mark"] == y["of"])
+    keyed = lambda x: x.withColumnsRenamed({"doc_id": "id", "mark": "of"})
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    spans = keyed(likely)
+    judged = keyed(materialise(verified(texts.join(spans, same(texts, spans)), held), "judged"))
     none = F.array().cast("array<string>")
-    text = lambda x: F.array_join(F.array_sort(x), ",")
-    return joined.select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        F.col("first_word").cast("long").alias("first_word"),
-        F.col("last_word").cast("long").alias("last_word"),
-        text(F.coalesce("base_set", none)).alias("base_labels"),
-        text(F.array_union(F.coalesce("base_set", none), F.coalesce("more_set", none))).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("share", F.lit(0.0)))).alias("score"),
-    )
+    joined = lambda c: F.array_join(F.coalesce(c, none), ",").alias(c)
+    return rows.join(judged, same(rows, judged), "left").select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", joined("base_labels"), joined("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

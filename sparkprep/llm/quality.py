@@ -4,10 +4,14 @@ Base measures come from the whole text in one Arrow pass. The thresholds of the
 sketches: a sketch is a histogram over logarithmic buckets with 64 steps for each power of two (relative error under 1/64),
 so merging is adding counts. It is built by a partial aggregation for each (lang, source), merged upwards to each lang and
 to the whole, and a group of fewer than ``MIN_ROWS`` rows takes its parent's sketch. Its size is bounded by the buckets, not
-by the rows. A rule's limit is ``median + max(SPREAD * (median - lower decile), slack)``: the lower half of a group sets the
-spread, so junk in up to half of a group can't raise its own limit, and the slack keeps ordinary documents of uniform groups.
+by the rows. Rows that fail the base rules take no part in it.
+
+A rule's limit is ``q75 + SPREAD * max(q75 - q25, one)``: quartiles of the group's rates, so junk in up to a quarter of a group
+can't raise its own limit, and ``one``, the rate that one occurrence makes in the group's median document. The latter keeps
+the spread of a rate that most documents don't show at all from being 0; it follows the sizes of the group's documents.
 
 Null texts have no words. Null languages and sources are groups of their own. Rows that repeat a doc_id are judged one by one.
+Very long texts are measured whole. An empty table gives no rows; other columns are not read, or pass through in ``good``.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep.llm.common import arrow_rows, materialise, text_bytes
 
@@ -25,9 +30,10 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 0.5
 #: A group's own sketch is used from so many rows.
 MIN_ROWS = 100
-SPREAD = 6
-#: In parts of 10,000: the least distance of a limit above the median.
-SLACK = {"symbol_rate": 3000, "bang_rate": 4000, "upper_rate": 4000, "dup_line_rate": 5000, "repeat_rate": 4000}
+SPREAD = 8
+#: A rule's rate is a count in 10,000 of a size; an occurrence changes the count by so much at least.
+RULES = {"symbol_rate": ("n_symbols", "n_words", 1), "bang_rate": ("n_bangs", "n_words", 1), "upper_rate": ("n_upper", "word_chars", 1), "dup_line_rate": ("n_dup_lines", "n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 6)}
+SIZES = ["n_words", "word_chars", "n_lines"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COLUMNS = [*BASE, "n_lines", "n_upper", "n_bangs"]
 
@@ -73,33 +79,34 @@ def measure(text: bytes) -> tuple[int, ...]:
     )
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, mark (a hash of the text) and the ``COLUMNS`` of each row."""
+def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each row, as k0, k1, ..., with its lang, source and ``COLUMNS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
-            found = np.array([measure(x) for x in batch.column(4).to_pylist()], np.int64).reshape(-1, len(COLUMNS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(found[:, i]) for i in range(len(COLUMNS)))], ["doc_id", "lang", "source", "mark", *COLUMNS])
+            texts = (batch.column(batch.num_columns - 1)).to_pylist()
+            found = np.array([measure(x) for x in texts], np.int64).reshape(-1, len(COLUMNS))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[:, i]) for i in range(len(COLUMNS)))], names)
+
+    held = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text_bytes())
+    schema = T.StructType([*held.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COLUMNS)])
+    names = schema.names
+    return held.mapInArrow(run, schema)
+
 
-    schema = "doc_id long, lang string, source string, mark long, " + ", ".join(f"{c} long" for c in COLUMNS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), text_bytes()).mapInArrow(run, schema)
+def failed() -> F.Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT) * F.col("n_words"))
 
 
 def rates() -> dict[str, F.Column]:
     """The adaptive rules' measures as whole parts of 10,000."""
-    part = lambda a, b: F.floor(F.lit(10_000) * F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    return {
-        "symbol_rate": part("n_symbols", "n_words"),
-        "bang_rate": part("n_bangs", "n_words"),
-        "upper_rate": part("n_upper", "word_chars"),
-        "dup_line_rate": part("n_dup_lines", "n_lines"),
-        "repeat_rate": part("n_repeat_words", "n_words"),
-    }
+    return {name: F.floor(F.lit(10_000) * F.col(a) / F.greatest(F.col(b), F.lit(1))) for name, (a, b, _) in RULES.items()}
 
 
-def sketches(measured: DataFrame) -> DataFrame:
+def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, level, metric, bucket, n): level 0 for a language and source, 1 for a language, 2 for all rows."""
-    cells = measured.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, rates())), F.array(*rates().values()))).alias("metric", "value"))
+    values = rates() | {c: F.col(c) for c in SIZES}
+    cells = rows.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))).alias("metric", "value"))
     shift = F.greatest(F.length(F.bin("value")) - 7, F.lit(0))
     bucket = F.expr("shiftleft(shiftright(value, s), s)")
     fine = cells.withColumn("s", shift).groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -108,40 +115,50 @@ def sketches(measured: DataFrame) -> DataFrame:
     return level(0, F.col("lang"), F.col("source")).unionByName(level(1, F.col("lang"), none)).unionByName(level(2, none, none))
 
 
-def limits(measured: DataFrame) -> DataFrame:
-    """(lang, source, level, rows, and a limit for each adaptive rule) from the sketches."""
+def limits(rows: DataFrame) -> DataFrame:
+    """(lang, source, level, rows, and a limit for each adaptive rule) from the sketches of ``rows`` (``COLUMNS``)."""
     group = ["lang", "source", "level", "metric"]
     # A group's histogram has at most a few hundred buckets, as a rate is bounded by the bytes of a text.
-    held = sketches(measured).groupBy(group).agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("histogram"))
+    held = sketches(rows).groupBy(group).agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("histogram"))
     rank = lambda q: F.expr(
         f"aggregate(histogram, named_struct('seen', 0L, 'at', cast(null as long)), (s, x) -> named_struct('seen', s.seen + x.n, 'at', if(s.at is null and (s.seen + x.n) * 100 >= rows * {q}, x.bucket, s.at)), s -> s.at)"
     )
-    slack = F.element_at(F.create_map(*(F.lit(x) for pair in SLACK.items() for x in pair)), F.col("metric"))
-    limit = F.col("mid") + F.greatest(SPREAD * (F.col("mid") - F.col("low")), slack)
-    found = held.withColumn("mid", rank(50)).withColumn("low", rank(10)).select(*group, "rows", limit.cast("long").alias("limit"))
-    return found.groupBy("lang", "source", "level").agg(F.max("rows").alias("rows"), *(F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"{m}_limit") for m in SLACK))
-
-
-def judged(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The base measures of each row, ``base_failed``, the adaptive rates, their limits and ``kept``."""
-    measured = materialise(measures(docs), "measures")
-    found = materialise(limits(measured), "limits")
-    keep = [f"{m}_limit" for m in SLACK]
-    own = found.where("level = 0").select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("rows").alias("own_rows"), *(F.col(c).alias(f"own_{c}") for c in keep))
-    mid = found.where("level = 1").select(F.col("lang").alias("l"), F.col("rows").alias("mid_rows"), *(F.col(c).alias(f"mid_{c}") for c in keep))
+    quartiles = held.select(*group, "rows", *(rank(q).alias(f"q{q}") for q in (25, 50, 75)))
+    of = lambda metric, q: F.max(F.when(F.col("metric") == metric, F.col(f"q{q}")))
+    limit = {}
+    for name, (_, size, least) in RULES.items():
+        one = F.floor(F.lit(10_000 * least) / F.greatest(of(size, 50), F.lit(1)))
+        limit[f"{name}_limit"] = of(name, 75) + SPREAD * F.greatest(of(name, 75) - of(name, 25), one)
+    return quartiles.groupBy("lang", "source", "level").agg(F.max("rows").alias("rows"), *(x.cast("long").alias(name) for name, x in limit.items()))
+
+
+def judged(docs: DataFrame, keep: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
+    """``measured`` with ``base_failed``, the adaptive rates, their limits and ``kept``; it is written once, then read by the sketches and the filter."""
+    rows = materialise(measured(docs, keep).withColumn("base_failed", failed()), "measures")
+    found = materialise(limits(rows.where("not base_failed")), "limits")
+    names = [f"{m}_limit" for m in RULES]
+    own = found.where("level = 0").select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("rows").alias("own_rows"), *(F.col(c).alias(f"own_{c}") for c in names))
+    mid = found.where("level = 1").select(F.col("lang").alias("ml"), F.col("rows").alias("mid_rows"), *(F.col(c).alias(f"mid_{c}") for c in names))
     top = found.where("level = 2").first()  # one row: the limits of the whole
-    own = own.join(mid.withColumnRenamed("l", "ml"), F.col("l").eqNullSafe(F.col("ml")), "left").drop("ml")
+    own = own.join(mid, F.col("l").eqNullSafe(F.col("ml")), "left").drop("ml")
     chosen = lambda c: F.when(F.col("own_rows") >= min_rows, F.col(f"own_{c}")).when(F.col("mid_rows") >= min_rows, F.col(f"mid_{c}")).otherwise(F.lit(top[c] if top else None)).cast("long").alias(c)
-    rules = materialise(own.select("l", "s", *(chosen(c) for c in keep)), "rules")
-    joined = measured.join(rules, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT) * F.col("n_words"))
-    joined = joined.withColumns({**rates(), "base_failed": failed})
+    rules = materialise(own.select("l", "s", *(chosen(c) for c in names)), "rules")
+    joined = rows.join(rules, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     over = F.lit(False)
-    for metric in SLACK:
-        over = over | (F.col(metric) > F.col(f"{metric}_limit"))
-    return joined.withColumn("kept", ~(F.col("base_failed") | F.coalesce(over, F.lit(False))))
+    for metric, rate in rates().items():
+        over = over | (rate > F.col(f"{metric}_limit"))
+    return joined.withColumns({**rates(), "kept": ~(F.col("base_failed") | F.coalesce(over, F.lit(False)))})
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the base measures, base_failed, kept, and the rates with their limits."""
-    return judged(docs).select("doc_id", *BASE, "base_failed", "kept", *SLACK, *(f"{m}_limit" for m in SLACK))
+    """One row for each row of ``docs``: doc_id, the base measures, base_failed, kept, and the rates with their limits.
+
+    A group all of whose rows fail the base rules has no limits.
+    """
+    return judged(docs, ["doc_id"]).select(F.col("k0").cast("long").alias("doc_id"), *BASE, "base_failed", "kept", *RULES, *(f"{m}_limit" for m in RULES))
+
+
+def good(docs: DataFrame) -> DataFrame:
+    """The rows that the rules keep, with all their columns: rules come to the rows, which aren't shuffled."""
+    found = judged(docs, docs.columns).where("kept")
+    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
