@@ -5,11 +5,14 @@ every distinct fingerprint emits all values within half the linking radius (2,08
 one bucket, and what meets is linked. Whatever shares a value lies within ``2 r`` of each other by the triangle inequality,
 so a star to the smallest member keeps every link of a group without its pairs.
 
-Shipping 2,081 rows for each fingerprint would cost far more disk than the corpus. A linear hash over GF(2) (a syndrome)
-avoids that: ``syndrome(fp ^ mask) = syndrome(fp) ^ syndrome(mask)``, so a bucket of values can be enumerated from the
-fingerprint alone. Fingerprints go to the buckets that hold any of their values and expand there, a bounded block at a time.
-
-Nulls and texts without words have fingerprint zero and link like any other. Rows with equal doc_id count as one node.
+Shipping 2,081 rows for each fingerprint would cost far more disk than the corpus. So a bucket holds all values with the same
+bits at some places, and fingerprints are shipped to it in their stead: a ball of radius 2 reaches 1 + b + b (b - 1) / 2 of
+the 2 ** b buckets, 79 of 4,096 for b = 12. A bucket enumerates its own values from the fingerprints, as a value's bits at the
+places are those of the fingerprint and a known mask; a linear hash of the other bits cuts them into bounded blocks. The
+number of places grows with the fingerprints, until the fullest bucket, counted beforehand, is within a bound.
+
+Nulls and texts without words have fingerprint zero and link like any other. Rows with equal doc_id count as one node; a null
+doc_id joins no rows. Texts of any length count whole. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from sparkprep.llm.common import arrow_rows, materialise, text_bytes
 
 SEED = 42
-#: Values that one task sorts at once, and fingerprints that one bucket holds.
-BLOCK, BUCKET = 4_000_000, 16_000_000
+#: Values that one task sorts at once, and fingerprints that one bucket gets; places that buckets are told by, at least and at most.
+BLOCK, BUCKET = 4_000_000, 8_000_000
+MIN_PLACES, MAX_PLACES = 6, 20
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
@@ -64,9 +68,8 @@ def masks_within(radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in bits) for n in range(radius + 1) for bits in combinations(range(64), n)], np.uint64)
 
 
-def syndromes(values: np.ndarray, bits: int) -> np.ndarray:
-    """A linear hash of ``bits`` bits: the exclusive or of a fixed random column for each set bit of a value."""
-    columns = np.random.default_rng(SEED).integers(1, 1 << 32, 64, np.uint64) & np.uint64((1 << bits) - 1)
+def linear_hash(values: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The exclusive or of a column for each set bit of a value; ``columns`` are 64 numbers."""
     tables = np.zeros((8, 256), np.uint32)  # one lookup for each byte of a value
     for byte in range(8):
         for bit in range(8):
@@ -78,6 +81,14 @@ def syndromes(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def columns_of(places: list[int], sub_bits: int) -> np.ndarray:
+    """Columns of a hash whose high bits are a value's bits at ``places`` and whose low ``sub_bits`` mix its other bits."""
+    columns = np.random.default_rng(SEED).integers(0, 1 << 32, 64, np.uint64) & np.uint64((1 << sub_bits) - 1)
+    for i, place in enumerate(places):
+        columns[place] |= np.uint64(1 << (sub_bits + i))
+    return columns
+
+
 def star_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node of the edges (a, b) with the smallest node of its component, by hooking and pointer jumping."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -95,16 +106,16 @@ def star_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
         label = new
 
 
-def bucket_links(fps: np.ndarray, bucket: int, bits: int, sub_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fps: np.ndarray, bucket: int, places: list[int], sub_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints by the values of their balls that fall into one bucket: (node, smallest node it reaches there)."""
-    masks = masks_within(radius // 2)
-    codes = syndromes(masks, bits + sub_bits)
+    masks, columns = masks_within(radius // 2), columns_of(places, sub_bits)
+    codes = linear_hash(masks, columns)
     order = np.argsort(codes, kind="stable")
     masks, codes = masks[order], codes[order]
-    slots = np.arange((1 << (bits + sub_bits)) + 1)
+    slots = np.arange((1 << (len(places) + sub_bits)) + 1)
     first = np.searchsorted(codes, slots)
     held = np.diff(first)
-    own = syndromes(fps, bits + sub_bits)
+    own = linear_hash(fps, columns)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     for sub in range(1 << sub_bits):
@@ -134,41 +145,67 @@ def bucket_links(fps: np.ndarray, bucket: int, bits: int, sub_bits: int, radius:
     return nodes[nodes != roots], roots[nodes != roots]
 
 
+def bucket_loads(counts: np.ndarray, bits: int, radius: int) -> np.ndarray:
+    """Fingerprints that each bucket gets, given how many have its bits at the places."""
+    out = np.zeros(1 << bits, np.int64)
+    for n in range(radius // 2 + 1):
+        for flipped in combinations(range(bits), n):
+            out += counts[np.arange(1 << bits) ^ sum(1 << i for i in flipped)]
+    return out
+
+
+def chosen_places(fps: DataFrame, n: int, radius: int) -> tuple[list[int], int, int]:
+    """The places that tell buckets, the fullest bucket, and the fingerprints at its centre.
+
+    Places whose bits are set most evenly come first. 64 sums and at most 2 ** MAX_PLACES counts reach the driver.
+    """
+    sums = fps.agg(*(F.sum(F.getbit("fp", F.lit(i)).cast("long")) for i in range(64))).first()
+    even = sorted(range(64), key=lambda i: (abs(2 * (sums[i] or 0) - n), i))
+    bits = MIN_PLACES
+    while True:
+        places = even[:bits]
+        code = sum((F.shiftleft(F.getbit("fp", F.lit(p)).cast("int"), i) for i, p in enumerate(places)), F.lit(0))
+        counts = np.zeros(1 << bits, np.int64)
+        for at, count in fps.groupBy(code.alias("at")).count().collect():
+            counts[at] = count
+        loads = bucket_loads(counts, bits, radius)
+        if loads.max() <= BUCKET or bits == MAX_PLACES:
+            return places, int(loads.max()), int(counts.max())
+        bits = min(MAX_PLACES, bits + 2)
+
+
 def ball_links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """(u, v), v > u: links that join all of the ``n`` distinct values ``fp`` which differ in at most ``radius`` bits."""
-    balls = len(masks_within(radius // 2))
-    bits = 6
-    while n * min(1, balls / (1 << bits)) > BUCKET:
-        bits += 1
-    sub_bits = 0
-    while n * balls / (1 << (bits + sub_bits)) > BLOCK:
+    places, _, centre = chosen_places(fps, n, radius)
+    balls, sub_bits = len(masks_within(radius // 2)), 0
+    while centre * balls >> sub_bits > BLOCK and sub_bits < 24 - len(places):
         sub_bits += 1
-    sub_bits = min(sub_bits, 18 - bits) if bits < 18 else 0
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A bucket is the high bits of the syndromes that it is searched by.
-        codes = np.unique(syndromes(masks_within(radius // 2), bits + sub_bits) >> np.uint32(sub_bits))
-        reached = np.zeros(1 << bits, bool)
-        reached[codes] = True
+        columns = columns_of(places, 0)
+        reached = np.unique(linear_hash(masks_within(radius // 2), columns))
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own = syndromes(values, bits + sub_bits) >> np.uint32(sub_bits)
-            buckets, blobs = [], []
-            for bucket in range(1 << bits):
-                chosen = values if reached.all() else values[reached[own ^ np.uint32(bucket)]]
-                if len(chosen):
-                    buckets.append(bucket)
-                    blobs.append(chosen.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            buckets = (linear_hash(values, columns)[:, None] ^ reached[None, :]).ravel()
+            order = np.argsort(buckets, kind="stable")
+            shipped, ends = values[order // len(reached)], np.flatnonzero(np.diff(buckets[order], append=-1)) + 1
+            blobs = [shipped[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[order][ends - 1].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def meet(group: pa.Table) -> pa.Table:
         values = np.frombuffer(b"".join(group.column("blob").to_pylist()), np.uint64)
-        nodes, roots = bucket_links(values, group.column("bucket")[0].as_py(), bits, sub_bits, radius)
+        nodes, roots = bucket_links(values, group.column("bucket")[0].as_py(), places, sub_bits, radius)
         return pa.table({"u": roots.view(np.int64), "v": nodes.view(np.int64)})
 
     return fps.select("fp").mapInArrow(ship, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
 
 
+def id_links(marked: DataFrame) -> DataFrame:
+    """(u, v): links between the different values ``fp`` of rows that share a doc_id."""
+    several = marked.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where("u < most").drop("most")
+    return marked.join(several, "doc_id").where("fp > u").select("u", F.col("fp").alias("v"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): each node of ``links`` (u, v) with the least node of its component, by large and small stars.
 
@@ -200,7 +237,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4
     marked = materialise(fingerprints(docs, words_per_shingle), "fingerprints")
     fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "balls")
     n = fps.count()
-    roots = components(ball_links(fps, n, radius))
+    roots = components(ball_links(fps, n, radius).unionByName(id_links(marked)))
     known = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     known = materialise(known, "roots")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -88,8 +88,8 @@ def test_ball_links_find_all_pairs_within_the_radius():
     fps = np.unique(np.concatenate([base, base[:80] ^ near[rnd.integers(0, len(near), 80)], base[:80] ^ near[rnd.integers(0, len(near), 80)]]))
     i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
     want = simhash.star_components(fps[i], fps[j])
-    for bits, sub in ((6, 0), (5, 2)):
-        found = [simhash.bucket_links(fps, b, bits, sub, 4) for b in range(1 << bits)]
+    for places, sub in ((range(6), 0), ([1, 7, 20, 40, 63], 2), (range(9), 3)):
+        found = [simhash.bucket_links(fps, b, list(places), sub, 4) for b in range(1 << len(places))]
         have = simhash.star_components(*(np.concatenate([x[k] for x in found]) for k in (0, 1)))
         assert [x.tolist() for x in have] == [x.tolist() for x in want]
 
@@ -112,6 +112,23 @@ def test_ball_links_with_several_blocks_and_buckets_left_out(spark, monkeypatch)
     assert [x.tolist() for x in have] == [x.tolist() for x in want]
 
 
+def test_simhash_of_rows_that_share_an_id(spark):
+    rnd = random.Random(8)
+    a, b = (" ".join(rnd.choice(WORDS) for _ in range(90)) for _ in range(2))
+    docs = spark.createDataFrame([(5, a), (5, b), (2, a), (3, b), (None, "x y z"), (None, " ".join(f"q{i}" for i in range(70))), (9, "x y z")], "doc_id long, text string")
+    found = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert found == Counter([(5, 2), (5, 2), (2, 2), (3, 2), (9, 9), (None, 9), (None, None)])
+
+
+def test_bucket_loads_count_what_is_shipped():
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    codes = rnd.integers(0, 64, 500)
+    loads = simhash.bucket_loads(np.bincount(codes, minlength=64), 6, 4)
+    assert all(loads[b] == sum(int(c ^ b).bit_count() <= 2 for c in codes) for b in range(64))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     found = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()))
