@@ -1,16 +1,20 @@
 """Exact deduplication by an extendible-hash index in the shared folder.
 
-1. One pass writes the index entries: (doc_id, hash, sha256) of every text with A-Z in lower case.
-2. The directory is built from the entries' counts for each hash prefix: it starts with one bucket, and an overfull bucket
-   splits, which doubles the directory when the bucket is as deep as the directory. Entries that share a hash count once,
-   so a text that a third of all rows hold can't overfill a bucket. The directory is written beside the entries.
-3. Hashes with one entry are settled. For the others, a task gathers equal texts in a dictionary (by their bytes, a bounded
-   number of them at a time) into carriers: one text with the ids of its copies. Carriers go to the task that owns their
-   bucket's key range, sorted by hash; it chains the different texts of one hash and compares bytes.
+1. One pass writes the index entries: (doc_id, hash, sha256) of every text with A-Z in lower case. Hashes with one entry are
+   settled; the others are crowded.
+2. The directory over the crowded hashes is built from their counts by prefix: it starts with one bucket, and an overfull
+   bucket splits, which doubles the directory when the bucket is as deep as the directory. A hash counts once, so a text that
+   a third of all rows hold can't overfill a bucket. The prefixes counted are as long as the number of hashes asks for. The
+   directory also deals the buckets, in their order, to owner tasks: each owns a range of keys with its share of the hashes.
+   It is written beside the entries and joined to the crowded hashes there.
+3. Texts are joined to the crowded hashes; where these are few the planner broadcasts them, so only texts with a copy travel.
+   A task gathers equal texts in a dictionary (by their bytes, a bounded number of them at a time) into carriers: one text with the ids of its
+   copies. Carriers go to the task that owns their bucket, sorted by bucket and hash; it chains the different texts of one hash and compares bytes.
 4. Carriers of one chain link are added up, and each carrier hands the result to its rows.
 
 A null text counts as empty; empty texts equal each other. Of equal texts the row with the largest doc_id stays; where rows
-repeat that doc_id, just one of them. A null doc_id is less than any other. An empty table gives no rows. Columns other than doc_id and text are not read.
+repeat that doc_id, just one of them. A null doc_id is less than any other. Texts of any length are compared whole. An empty
+table gives no rows. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,33 +24,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm.common import arrow_rows, materialise, text_bytes
+from sparkprep.llm.common import arrow_rows, materialise
+from sparkprep.llm.line_dedup import LOWER, UPPER
 
-#: The directory's depth at most, and the entries of a bucket that make it split.
-MAX_DEPTH, CAPACITY = 16, 200
-#: Bytes of different texts that a task gathers before it lets its carriers go.
+#: The directory's depth at most, and the hashes of a bucket that make it split; more where the depth can't hold them.
+MAX_DEPTH, CAPACITY = 20, 200
+#: Hashes that an owner task has in the mean.
+OWNED = 20_000
+#: Bytes of different texts and ids that a task gathers before it lets its carriers go.
 GATHERED = 64 << 20
-#: Bits of a hash that tell which texts can have a copy: a filter of 2 MB, whatever the input.
-FILTER_BITS = 24
 #: Stands for a null doc_id among the ids of a carrier; it is less than any other.
 NO_ID = -(1 << 63)
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, text_sha256) of each row."""
+def lowered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, h): each text with A-Z in lower case, and its hash."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # ``lower`` does the same on ASCII and is much faster than ``translate``.
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("text")).withColumn("h", F.xxhash64("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_rows(batches):
-            texts = [x.lower() for x in batch.column(1).to_pylist()]
-            hashes = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes), pa.array([hashlib.sha256(x).hexdigest() for x in texts])], ["doc_id", "h", "text_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "doc_id long, h long, text_sha256 string")
+def entries(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text_sha256) of each row."""
+    return lowered(docs).select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"))
 
 
 def directory(counts: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[int, list[tuple[int, int]]]:
@@ -75,62 +80,56 @@ def directory(counts: dict[int, int], capacity: int = CAPACITY, max_depth: int =
     return depth, slots
 
 
-def build_directory(spark: SparkSession, hashes: DataFrame) -> DataFrame:
-    """(slot, bucket, depth): the directory over prefixes of MAX_DEPTH bits, written to the shared folder."""
-    prefix = F.shiftrightunsigned("h", 64 - MAX_DEPTH)
-    counts = {r[0]: r[1] for r in hashes.groupBy(prefix.alias("p")).count().collect()}  # 65,536 rows at most
-    depth, slots = directory(counts)
+def build_directory(spark: SparkSession, hashes: DataFrame) -> tuple[DataFrame, int, int]:
+    """(slot, bucket, depth, owner): the directory over prefixes of the hashes, in the shared folder; their bits, and the owners."""
+    n = hashes.count()
+    bits = min(MAX_DEPTH, max(4, (n // CAPACITY).bit_length() + 3))
+    capacity = max(CAPACITY, 8 * n >> bits)
+    counts = {r[0]: r[1] for r in hashes.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("p")).count().collect()}  # 2 ** MAX_DEPTH rows at most
+    depth, slots = directory(counts, capacity, bits)
     first = {bucket: i for i, bucket in reversed(list(enumerate(slots)))}
-    rows = [(slot, first[b := slots[slot >> (MAX_DEPTH - depth)]], b[1]) for slot in range(1 << MAX_DEPTH)]
-    return materialise(spark.createDataFrame(rows, "slot int, bucket int, depth int"), "directory")
-
-
-def possible(spark: SparkSession, crowded: DataFrame) -> bytes:
-    """A filter of 2 ** FILTER_BITS bits with those set that the first bits of the crowded hashes name."""
-    place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    parts = crowded.groupBy(F.floor(place / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(place % 32768).alias("bits")).collect()
-    whole = np.zeros((1 << FILTER_BITS) // 32768 * 4096, np.uint8)
-    for part, bits in parts:
-        whole[part * 4096 : (part + 1) * 4096] = np.frombuffer(bits, np.uint8)
-    return whole.tobytes()
+    owners, before, rows, owner = n // OWNED + 1, 0, [], {}
+    for slot in range(1 << bits):
+        bucket = slots[slot >> (bits - depth)]
+        # A bucket belongs to the owner in whose share of the hashes it begins.
+        own = owner.setdefault(bucket, min(owners - 1, before * owners // max(n, 1)))
+        rows.append((slot, first[bucket], bucket[1], own))
+        before += counts.get(slot, 0)
+    return materialise(spark.createDataFrame(rows, "slot long, bucket int, depth int, owner int"), "directory"), bits, owners
 
 
-def carriers(docs: DataFrame, marked: bytes, slots: list[int]) -> DataFrame:
-    """(bucket, h, text, ids, carrier): texts that may have copies, those of one task gathered."""
+def carriers(texts: DataFrame) -> DataFrame:
+    """(owner, bucket, h, text, ids, carrier): texts (doc_id, text, h, bucket, owner) that may have copies, those of one task gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_bits, task, out = np.frombuffer(marked, np.uint8), TaskContext.get().partitionId() << 32, 0
-        held: dict[bytes, list[int]] = {}
-        size = 0
+        task, out, size = TaskContext.get().partitionId() << 32, 0, 0
+        held: dict[bytes, tuple[int, int, int, list[int]]] = {}
 
         def emptied() -> Iterator[pa.RecordBatch]:
             nonlocal out
             keys = list(held)
             for start in range(0, len(keys), 500):
                 texts = keys[start : start + 500]
-                hashes = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64)
-                buckets = [slots[int(h) >> (64 - MAX_DEPTH)] for h in hashes]
+                owner, bucket, h, ids = zip(*(held[x] for x in texts))
                 numbers = list(range(task + out, task + out + len(texts)))
                 out += len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(texts, pa.binary()), pa.array([sorted(held[x], reverse=True) for x in texts], pa.list_(pa.int64())), pa.array(numbers, pa.int64())],
-                    ["bucket", "h", "text", "ids", "carrier"],
-                )
+                columns = [pa.array(owner, pa.int32()), pa.array(bucket, pa.int32()), pa.array(h, pa.int64()), pa.array(texts, pa.binary()), pa.array([sorted(x, reverse=True) for x in ids], pa.list_(pa.int64())), pa.array(numbers, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["owner", "bucket", "h", "text", "ids", "carrier"])
             held.clear()
 
         for batch in arrow_rows(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                place = xxhash.xxh64_intdigest(text := text.lower()) >> (64 - FILTER_BITS)
-                if filter_bits[place >> 3] >> (place & 7) & 1:
-                    if text not in held:
-                        size += len(text)
-                    held.setdefault(text, []).append(NO_ID if doc_id is None else doc_id)
+            for doc_id, text, h, bucket, owner in zip(*(c.to_pylist() for c in batch.columns)):
+                if text not in held:
+                    held[text] = (owner, bucket, h, [])
+                    size += len(text)
+                held[text][3].append(NO_ID if doc_id is None else doc_id)
+                size += 8
             if size > GATHERED:
                 yield from emptied()
                 size = 0
         yield from emptied()
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "bucket int, h long, text binary, ids array<long>, carrier long")
+    return texts.select("doc_id", F.col("text").cast("binary"), "h", "bucket", "owner").mapInArrow(run, "owner int, bucket int, h long, text binary, ids array<long>, carrier long")
 
 
 def chained(sorted_carriers: DataFrame) -> DataFrame:
@@ -158,18 +157,17 @@ def chained(sorted_carriers: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): one row for each row of ``docs``."""
-    spark = docs.sparkSession
     index = materialise(entries(docs), "entries")
-    hashes = materialise(index.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "hashes")
-    crowded = hashes.where("rows > 1")
-    slots = [r[0] for r in build_directory(spark, crowded).orderBy("slot").select("bucket").collect()]
-    owned = carriers(docs, possible(spark, crowded), slots).repartition(F.col("bucket")).sortWithinPartitions("bucket", "h")
+    hashes = materialise(index.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h"), "crowded")
+    slots, bits, owners = build_directory(docs.sparkSession, hashes)
+    found = hashes.join(slots, F.shiftrightunsigned("h", 64 - bits) == slots["slot"]).select("h", "bucket", "owner")
+    crowded = materialise(found, "owned")
+    owned = carriers(lowered(docs).join(crowded, "h")).repartitionById(owners, "owner").sortWithinPartitions("bucket", "h")
     links = materialise(chained(owned), "chains")
     top = F.struct(F.col("ids")[0].alias("id"), F.col("carrier"))
     sums = links.groupBy("h", "link").agg(F.max(top).alias("top"), F.sum(F.size("ids")).alias("group_size"))
     named = lambda x: F.nullif(x, F.lit(NO_ID))
-    copies = links.join(sums, ["h", "link"]).select("h", F.posexplode("ids").alias("place", "id"), named(F.col("top.id")).alias("keep_id"), "group_size", (F.col("carrier") == F.col("top.carrier")).alias("holds"), "text_sha256")
-    # The filter also lets through texts without a copy whose hash begins like a crowded one: those have their row below.
-    copies = copies.join(crowded.select("h"), "h", "left_semi").select(named(F.col("id")).alias("doc_id"), "keep_id", "group_size", (F.col("holds") & (F.col("place") == 0)).alias("kept"), "text_sha256")
-    single = index.join(hashes.where("rows = 1").select("h"), "h", "left_semi")
+    copies = links.join(sums, ["h", "link"]).select(F.posexplode("ids").alias("place", "id"), named(F.col("top.id")).alias("keep_id"), "group_size", (F.col("carrier") == F.col("top.carrier")).alias("holds"), "text_sha256")
+    copies = copies.select(named(F.col("id")).alias("doc_id"), "keep_id", "group_size", (F.col("holds") & (F.col("place") == 0)).alias("kept"), "text_sha256")
+    single = index.join(crowded.select("h"), "h", "left_anti")
     return single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256").unionByName(copies)

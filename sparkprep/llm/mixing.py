@@ -8,8 +8,14 @@ pattern's size; for the remainder, documents are selected in the order of a seed
 bucket in which the remainder ends, only that bucket is sorted, and last the document whose size fits the rest best is added.
 Selections follow from the seed and the data alone, so reruns agree.
 
+The driver plans for up to ``MAX_PATTERNS`` patterns. Where there are more, the flow falls apart into parts that share no
+source, so it is solved in parts: a source whose documents belong to no other takes its quota, which needs no driver, and
+the flow over patterns of several sources, and what shares a source with them, is still the driver's. Targets are then found by rounds
+of sums over the sources. More than ``MAX_PATTERNS`` patterns within that last part are an error; sources may be any number.
+
 Null texts have no words; documents without words are taken 0 words. A null source is a source, the last in order. Rows that
-repeat a doc_id within a pattern are selected together. An empty table gives no rows.
+repeat a doc_id within a pattern are selected together. Texts of any length count whole. An empty table gives no rows.
+Columns other than doc_id, text and source pass through ``mixed`` and are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,16 +25,17 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sparkprep.llm.common import arrow_rows, materialise, text_bytes
+from sparkprep.llm.sharding import numbered
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: The cost of a word's first, second and third copy.
 COPY_COSTS = (0, 1, 3)
-#: Different sets of sources that the driver plans for; more are an error.
+#: Different sets of sources that the driver plans for at once.
 MAX_PATTERNS = 4096
 SEED = 42
 #: Buckets of the selecting hash for each pattern.
@@ -136,15 +143,12 @@ def bucket_of(r: str) -> F.Column:
     return F.shiftright(r, 60 - BUCKET_BITS)
 
 
-def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """For each pattern: source_size and target (those of its first source), copies, and what is selected once more.
+#: What is planned for a pattern: its first source's size and target, copies of each document, and words to take once more.
+CELLS = "pattern string, source_size long, target double, copies long, rest long"
 
-    ``cut_r``/``cut_doc``: the last selected key (hash, doc_id) in hash order; ``fill_r``/``fill_doc``: the key added last.
-    """
-    spark = rows.sparkSession
-    found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
+
+def planned(found: list[Row], weights: tuple[int, ...]) -> list[tuple]:
+    """``CELLS`` of all patterns (pattern, members, size), by one flow."""
     found = sorted(found, key=lambda r: r["pattern"])
     names = sorted({m for r in found for m in r["members"]}, key=lambda x: (x is None, x or ""))
     at = {m: i for i, m in enumerate(names)}
@@ -154,8 +158,63 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
             sizes[at[m]] += r["size"]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(r["size"] for r in found))
     taken = flow([(r["size"], [at[m] for m in r["members"]]) for r in found], [round(x) for x in wanted])
-    cells = [(r["pattern"], sizes[k := at[r["members"][0]]] if r["members"] else 0, float(wanted[k]) if r["members"] else 0.0, *divmod(n, max(r["size"], 1))) for r, n in zip(found, taken)]
-    held = F.broadcast(spark.createDataFrame(cells, "pattern string, source_size long, target double, copies int, rest long"))  # MAX_PATTERNS rows at most
+    return [(r["pattern"], sizes[k := at[r["members"][0]]] if r["members"] else 0, float(wanted[k]) if r["members"] else 0.0, *divmod(n, max(r["size"], 1))) for r, n in zip(found, taken)]
+
+
+def source_targets(patterns: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """(source, source_size, target) of any number of sources, by rounds of sums in which sources over their limit become full."""
+    sizes = patterns.select(F.explode("members").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranked, _ = numbered(materialise(sizes.withColumn("last", F.col("source").isNull()), "sources"), ["last", "source"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")).cast("long")
+    total = patterns.agg(F.sum("size")).first()[0] or 0
+    rows = materialise(ranked.select("source", "source_size", weight.alias("weight"), F.lit(False).alias("full")), "sources")
+    while True:
+        gone, free = rows.agg(F.sum(F.when(F.col("full"), MAX_COPIES * F.col("source_size"))), F.sum(F.when(~F.col("full"), F.col("weight")))).first()
+        left, free = total - (gone or 0), free or 1
+        wide = lambda x: x.cast("decimal(38,0)")
+        over = wide(F.lit(left)) * F.col("weight") > wide(F.lit(free)) * (MAX_COPIES * F.col("source_size"))
+        if not rows.where(~F.col("full") & over).limit(1).count():
+            target = F.when(F.col("full"), (MAX_COPIES * F.col("source_size")).cast("double")).otherwise((F.lit(left) * F.col("weight")).cast("double") / free)
+            return rows.select("source", "source_size", target.alias("target"))
+        rows = materialise(rows.withColumn("full", F.col("full") | over), "sources")
+
+
+def planned_in_parts(patterns: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """``CELLS`` of all patterns: sources by themselves without a flow, the others by one on the driver."""
+    spark = patterns.sparkSession
+    wanted = materialise(source_targets(patterns, weights), "targets")
+    several = patterns.where(F.size("members") != 1)
+    shared = materialise(several.select(F.explode("members").alias("source")).distinct().withColumn("shared", F.lit(True)), "shared")
+    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    single = patterns.where(F.size("members") == 1).withColumn("source", F.col("members")[0])
+    joined = single.join(shared, same(single, shared), "left").drop(shared["source"])
+    alone = joined.where("shared is null").drop("shared")
+    quota = F.rint("target").cast("long")
+    cells = alone.join(wanted, same(alone, wanted)).select("pattern", "source_size", "target", F.expr("cast(rint(target) as long) div greatest(size, 1)").alias("copies"), (quota % F.greatest("size", F.lit(1))).alias("rest"))
+    rest = several.unionByName(joined.where("shared").select("pattern", "members", "size")).limit(MAX_PATTERNS + 1).collect()
+    if len(rest) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sets of sources that share one")
+    of = {r["source"]: r for r in wanted.join(shared, same(wanted, shared), "left_semi").collect()}
+    rest, names = sorted(rest, key=lambda r: r["pattern"]), list(of)
+    at = {m: i for i, m in enumerate(names)}
+    taken = flow([(r["size"], [at[m] for m in r["members"]]) for r in rest], [round(of[m]["target"]) for m in names])
+    first = lambda r: of[r["members"][0]] if r["members"] else {"source_size": 0, "target": 0.0}
+    more = [(r["pattern"], first(r)["source_size"], first(r)["target"], *divmod(n, max(r["size"], 1))) for r, n in zip(rest, taken)]
+    return cells.unionByName(spark.createDataFrame(more, CELLS)) if more else cells
+
+
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """For each pattern: source_size and target (those of its first source), copies, and what is selected once more.
+
+    ``cut_r``/``cut_doc``: the last selected key (hash, doc_id) in hash order; ``fill_r``/``fill_doc``: the key added last.
+    """
+    spark = rows.sparkSession
+    patterns = materialise(rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")), "patterns")
+    if patterns.count() <= MAX_PATTERNS:
+        held = spark.createDataFrame(planned(patterns.collect(), weights), CELLS)
+    else:
+        held = planned_in_parts(patterns, weights)
+    held = materialise(held, "cells")
 
     units = rows.join(held, "pattern").where("rest > 0").groupBy("pattern", "r", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")).agg(F.sum("size").alias("size"), F.first("rest").alias("rest")).where("size > 0")
     units = materialise(units.withColumn("bucket", bucket_of("r")), "units")
@@ -163,12 +222,12 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     running = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket"))  # 4,096 buckets of a pattern at most
     cut = sums.withColumn("before", running - F.col("words")).where("before <= rest and before + words > rest").select("pattern", F.col("bucket").alias("cut_bucket"), "before")
     cut = materialise(cut, "cuts")
-    inside = units.join(F.broadcast(cut), "pattern").where("bucket = cut_bucket")
+    inside = units.join(cut, "pattern").where("bucket = cut_bucket")
     total = F.sum("size").over(Window.partitionBy("pattern").orderBy("r", "doc").rowsBetween(Window.unboundedPreceding, 0))
     ends = inside.withColumn("gone", F.col("before") + total).where("gone <= rest").groupBy("pattern").agg(F.max(F.struct("r", "doc")).alias("last"), F.max("gone").alias("gone"))
     ends = cut.join(ends, "pattern", "left").select("pattern", "cut_bucket", F.coalesce("gone", "before").alias("gone"), F.col("last.r").alias("cut_r"), F.col("last.doc").alias("cut_doc"))
     ends = materialise(ends, "ends")
-    free = units.join(F.broadcast(ends), "pattern").where("bucket > cut_bucket or bucket = cut_bucket and (cut_r is null or r > cut_r or r = cut_r and doc > cut_doc)")
+    free = units.join(ends, "pattern").where("bucket > cut_bucket or bucket = cut_bucket and (cut_r is null or r > cut_r or r = cut_r and doc > cut_doc)")
     gap = F.col("rest") - F.col("gone")
     fill = free.where(F.abs(F.col("size") - gap) < gap).groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "r", "doc")).alias("x"))
     ends = ends.join(fill, "pattern", "left").select("pattern", "cut_bucket", "cut_r", "cut_doc", F.col("x.r").alias("fill_r"), F.col("x.doc").alias("fill_doc"))
@@ -182,7 +241,7 @@ def with_copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
     before = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & ((F.col("r") < F.col("cut_r")) | ((F.col("r") == F.col("cut_r")) & (doc <= F.col("cut_doc")))))
     added = (F.col("r") == F.col("fill_r")) & (doc == F.col("fill_doc"))
     more = F.coalesce(before, F.lit(False)) | F.coalesce(added, F.lit(False))
-    return rows.join(F.broadcast(planned), "pattern").withColumn("copies", F.col("copies") + more.cast("int"))
+    return rows.join(planned, "pattern").withColumn("copies", F.col("copies") + more.cast("int"))
 
 
 def mix(docs: DataFrame, members: F.Column | None = None, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:

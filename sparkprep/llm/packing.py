@@ -3,12 +3,13 @@
 Pieces of one length are interchangeable, so the whole problem is a histogram of at most ``capacity`` lengths, whatever the
 corpus. A solution is a list of bin patterns (lengths, how many such bins). Islands of solutions evolve in Spark tasks: a
 crossover injects whole well-filled bins of one parent into the other, takes out the bins that hold pieces twice, and puts
-displaced pieces back by best fit; after each round every island gets its neighbour's elite. The best plan assigns each
+displaced pieces back by best fit, whose bins a short random search completes; after each round every island gets its neighbour's elite. The best plan assigns each
 piece by its rank within its length, so pieces are never gathered: a piece's rank is its number within its task plus the
 counts of the tasks before.
 
 A null text is empty and has one token, the end. Every row of ``docs`` is packed, also rows that repeat a doc_id. Only documents of
-more than ``capacity`` tokens are cut; their first piece takes the remainder. An empty table gives no rows.
+more than ``capacity`` tokens are cut; their first piece takes the remainder. An empty table gives no rows. Columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from sparkprep.llm.tokens import Encoder
 
 CAPACITY = 2048
 END_ID = 0
-ISLANDS, ROUNDS, OFFSPRING, POPULATION = 6, 3, 4, 3
+ISLANDS, ROUNDS, OFFSPRING, POPULATION = 6, 4, 6, 4
+#: Choices that the search for a bin's best filling sees.
+NODES = 400
 #: A bin is well filled if at most this share of it is free.
 WELL_FILLED = 0.01
 
@@ -37,10 +40,38 @@ WELL_FILLED = 0.01
 Bins = list[tuple[tuple[int, ...], int]]
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> Bins:
+def fullest(free: int, lengths: list[int], left: dict[int, int], used: Counter[int], random: np.random.Generator, nodes: int = NODES) -> list[int]:
+    """Pieces that fill ``free`` best, of those that a search over ``nodes`` choices sees; a random tenth of choices is passed over."""
+    best, chosen = [free, []], []
+    skipped = iter((random.random(nodes) < 0.1).tolist())
+
+    def go(k: int, free: int) -> None:
+        if free < best[0]:
+            best[:] = [free, chosen[:]]
+        k = min(k, bisect_right(lengths, free) - 1)
+        while k >= 0 and best[0] > 0:
+            n = lengths[k]
+            if left[n] > used[n]:
+                passed = next(skipped, None)
+                if passed is None:
+                    return
+                if not passed:
+                    used[n] += 1
+                    chosen.append(n)
+                    go(k, free - n)
+                    chosen.pop()
+                    used[n] -= 1
+            k -= 1
+
+    go(len(lengths) - 1, free)
+    return best[1]
+
+
+def best_fit(counts: dict[int, int], capacity: int, random: np.random.Generator | None = None) -> Bins:
     """Bins for all pieces: the longest piece left opens a bin, and the longest that fits what is free follows.
 
-    Bins that come out alike are made at once, so the work grows with the different lengths and not with the pieces.
+    Bins that come out alike are made at once, so the work grows with the different lengths and not with the pieces. With
+    ``random``, bins that this leaves with room are completed by a search, which differs from one draw to the next.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     lengths = sorted(left)
@@ -59,6 +90,11 @@ def best_fit(counts: dict[int, int], capacity: int) -> Bins:
                 used[n] += take
                 free -= n * take
             k -= 1
+        if random is not None and free and len(pattern) > 1:
+            more = fullest(capacity - pattern[0], lengths, left, Counter(pattern[:1]), random)
+            if sum(more) > sum(pattern[1:]):
+                pattern = [pattern[0], *more]
+                used = Counter(pattern)
         times = min(left[n] // u for n, u in used.items())
         bins.append((tuple(pattern), times))
         for n, u in used.items():
@@ -98,7 +134,7 @@ def crossover(a: Bins, b: Bins, counts: dict[int, int], capacity: int, random: n
     for pattern, times in sorted(a, key=lambda x: -sum(x[0])):
         if sum(pattern) >= capacity * (1 - WELL_FILLED) or random.random() < 0.5:
             put(pattern, times)
-    return child + best_fit(left, capacity)
+    return child + best_fit(left, capacity, random)
 
 
 def evolve(population: list[Bins], counts: dict[int, int], capacity: int, seed: int, offspring: int = OFFSPRING) -> list[Bins]:
@@ -111,8 +147,8 @@ def evolve(population: list[Bins], counts: dict[int, int], capacity: int, seed:
 
 def shuffled_fit(counts: dict[int, int], capacity: int, random: np.random.Generator) -> Bins:
     """A first solution that differs: a random share of each length is packed before the rest."""
-    some = {n: int(random.integers(0, c + 1)) for n, c in counts.items()}
-    return best_fit(some, capacity) + best_fit({n: c - some[n] for n, c in counts.items()}, capacity)
+    some = {n: int(random.integers(0, c + 1)) if random.random() < 0.2 else c for n, c in counts.items()}
+    return best_fit(some, capacity, random) + best_fit({n: c - some[n] for n, c in counts.items()}, capacity, random)
 
 
 def solve(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, seed: int = 42) -> Bins:

@@ -19,6 +19,7 @@ from sparkprep.llm.packing import pack
 from sparkprep.llm.quality import quality
 from sparkprep.llm.quality_sql import quality_sql
 from sparkprep.llm.sharding import shard_rows
+from sparkprep.llm.sharding_sql import sharding_sql
 from sparkprep.llm.simhash import near_duplicates
 from sparkprep.llm.toxicity import toxicity
 
@@ -81,6 +82,7 @@ LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality_sql(),
+    "op9_sharding": sharding_sql(),
     "op10_mixing": mixing_sql(),
     "op3_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

@@ -1,29 +1,32 @@
 """Sharding by a Feistel permutation of global row numbers, with DataFrame functions alone.
 
-Rows are numbered in the order of (doc_id, checksum, size). A Feistel network over a grid of a x b cells, the smallest near
-square that holds all n rows, permutes the cells; a row that leaves 0..n-1 walks the cycle until it returns. Then
-``shard = number mod shards`` and ``slot = number div shards``: both follow from the row number and the seed, shards hold
-counts at most one apart, and slots have no gaps. The law is ``rows``.
-
-A null text has size 1 and the checksum of no bytes. Rows that are equal in all three sort keys are interchangeable. Null doc_ids come
-first. An empty table gives no rows. Columns other than doc_id and text are not read.
+Rows are range-partitioned and sorted by (doc_id, checksum, size); a row's number is its place in its partition and the counts
+of the partitions before. A Feistel network over a grid of a x b cells, the smallest near square that holds all n rows,
+permutes the cells; a row that leaves 0..n-1 walks the cycle until it returns. Then ``shard = number mod shards`` and
+``slot = number div shards``: both follow from the row number and the seed, shards hold counts at most one apart, and slots
+have no gaps. The law is ``rows``. The network's round function is an MD5, which any SQL engine can repeat.
+
+A null text has size 1 and the checksum of no bytes. Rows that are equal in all three sort keys are interchangeable; of other rows
+that share a doc_id, or have none, ranges part any number. Null doc_ids come first. Texts of any length count whole. An empty
+table gives no rows. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import struct
 
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.llm.common import materialise
 
 ROUNDS = 6
 SEED = 42
-#: Row ranges at most; their bounds and counts are all that reaches the driver.
-MAX_RANGES = 2000
+#: Rows of a range in the mean, and ranges at most. A range sorts on disk if it has to.
+RANGE_ROWS, MAX_RANGES = 500_000, 20_000
+#: Cycle walks that are made without looking whether one is needed.
+WALKS = 64
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -37,10 +40,7 @@ def place(row: int, n: int, shards: int, seed: int = SEED) -> tuple[int, int]:
     a, b = grid(n)
 
     def mixed(x: int, r: int) -> int:
-        h = 42
-        for v in (x, r, seed):
-            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
-        return h - (1 << 64) if h >> 63 else h
+        return int(hashlib.md5(f"{x}-{r}-{seed}".encode()).hexdigest()[:13], 16)
 
     while True:
         left, right = divmod(row, b)
@@ -59,41 +59,43 @@ def permuted(number: str, n: int, seed: int = SEED) -> F.Column:
     a, b = grid(n)
     steps = ", ".join(f"{r}L" for r in range(ROUNDS))
 
+    def mixed(x: str) -> str:
+        return f"cast(conv(substring(md5(concat_ws('-', {x}, i, '{seed}')), 1, 13), 16, 10) as bigint)"
+
     def once(x: str) -> str:
         return (
             f"aggregate(array({steps}), named_struct('l', {x} div {b}L, 'r', {x} % {b}L), (s, i) -> if(i % 2 = 0, "
-            f"named_struct('l', (s.l + pmod(xxhash64(s.r, i, {seed}L), {a}L)) % {a}L, 'r', s.r), "
-            f"named_struct('l', s.l, 'r', (s.r + pmod(xxhash64(s.l, i, {seed}L), {b}L)) % {b}L)), s -> s.l * {b}L + s.r)"
+            f"named_struct('l', (s.l + {mixed('s.r')} % {a}L) % {a}L, 'r', s.r), "
+            f"named_struct('l', s.l, 'r', (s.r + {mixed('s.l')} % {b}L) % {b}L)), s -> s.l * {b}L + s.r)"
         )
 
     # Fewer than a cells lie outside 0..n-1. No cycle is longer outside than there are such cells, and each step leaves
     # them with a chance of 1 - 1/b or more; a walk that 64 steps don't end is reported, never cut short.
-    walks = min(a * b - n, 64)
+    walks = min(a * b - n, WALKS)
     walked = f"aggregate(sequence(1, {walks}), x, (y, k) -> if(y < {n}L, y, {once('y')}))" if walks else "x"
     first = f"transform(array({once(number)}), x -> if(x < {n}L, x, {walked}))[0]"
     return F.expr(f"transform(array({first}), x -> if(x < {n}L, x, cast(raise_error('a cycle walk did not end') as bigint)))[0]")
 
 
 def numbered(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """``rows`` with ``number``, 0 up to their count, in the order of ``keys`` (the first one long); and that count.
+    """``rows`` with ``number``, 0 up to their count, in the order of ``keys``; and that count.
 
-    Quantiles of the first key cut the rows into ranges; a range sorts in one task, and the counts of the ranges before it
-    give its first number.
+    Ranges take in all keys, so rows with one doc_id, or none, spread. The numbers of a partition are written with its rows;
+    the counts of the partitions, one for each range, are all that reaches the driver.
     """
-    spark = rows.sparkSession
-    parts = min(MAX_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = rows.agg(F.percentile_approx(keys[0], [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
-    bounds = sorted(set(cuts))
-    span = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bounds)}), x -> x < {keys[0]}))") if bounds else F.lit(0)
-    ranged = rows.withColumn("span", span)
-    counts = dict(ranged.groupBy("span").count().collect())
+    parts = min(MAX_RANGES, rows.count() // RANGE_ROWS + 1)
+    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # The id's high 31 bits number the partition and its low 33 bits the row within it.
+    held = materialise(ranged.withColumn("id_", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("id_", 33).cast("int")
+    counts = dict(held.groupBy(part.alias("part")).count().collect())
     before, starts = 0, []
-    for i in range(len(bounds) + 1):
-        starts.append(before)
+    for i in range(max(counts, default=-1) + 1):
+        starts.append((i, before))
         before += counts.get(i, 0)
-    rank = F.row_number().over(Window.partitionBy("span").orderBy(*keys))
-    start = F.expr(f"array({', '.join(f'{x}L' for x in starts)})[span]")
-    return ranged.withColumn("number", start + rank - 1).drop("span"), before
+    table = rows.sparkSession.createDataFrame(starts, "part_ int, start_ long")
+    placed = held.join(F.broadcast(table), part == F.col("part_"))  # MAX_RANGES rows at most
+    return placed.withColumn("number", F.col("start_") + F.col("id_").bitwiseAND(F.lit((1 << 33) - 1))).drop("id_", "part_", "start_"), before
 
 
 def shard_rows(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
@@ -105,3 +107,4 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
     return moved.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("moved") % shards).cast("int").alias("shard"), F.expr(f"moved div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+

@@ -249,6 +249,28 @@ def test_directory_doubles_until_buckets_fit():
     assert exact_dedup.directory({}, 4, 4) == (0, [(0, 0)])
 
 
+def test_owners_have_ranges_of_keys_and_even_shares(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "OWNED", 1000)
+    hashes = spark.range(8000).select(F.xxhash64("id").alias("h"))
+    slots, bits, owners = exact_dedup.build_directory(spark, hashes)
+    rows = slots.orderBy("slot").collect()
+    assert owners == 9 and [r.owner for r in rows] == sorted(r.owner for r in rows) and len({(r.bucket, r.owner) for r in rows}) == len({r.bucket for r in rows})
+    held = hashes.join(slots, F.shiftrightunsigned("h", 64 - bits) == slots["slot"])
+    by_owner, by_bucket = ([r[1] for r in held.groupBy(c).count().collect()] for c in ("owner", "bucket"))
+    assert len(by_owner) == 9 and sum(by_owner) == 8000 and max(by_owner) < 1300 and max(by_bucket) <= 200
+
+
+def test_exact_dedup_of_many_crowded_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "OWNED", 50)
+    monkeypatch.setattr(exact_dedup, "GATHERED", 500)
+    rows = [(i, f"Text {i % 700}" if i % 3 else "hot") for i in range(3000)]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == Counter((i, max(g := groups[t]), len(g), i == max(g)) for i, t in rows)
+
+
 def test_chains_compare_bytes(spark):
     found = exact_dedup.chained(spark.createDataFrame([(1, b"a", [1], 0), (1, b"b", [2], 1), (1, b"a", [3], 2), (2, b"a", [4], 3)], "h long, text binary, ids array<long>, carrier long").coalesce(1))
     assert [(r.h, r.link) for r in found.orderBy("carrier").collect()] == [(1, 0), (1, 1), (1, 0), (2, 0)]
@@ -347,6 +369,45 @@ def test_html_without_article():
     assert html_extract.main_text(page, tree) == f"The title of this page\n{long.strip()}\n{long.strip()}"
 
 
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal one coordinate at a time, as published; the bias has no L1."""
+    import math
+
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        shrink = 0 if i == "bias" else l1
+        if abs(z[i]) <= shrink:
+            return 0.0
+        return -(z[i] - math.copysign(shrink, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, label in rows:
+            at = [*features, "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - label
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_one_coordinate_at_a_time():
+    import numpy as np
+
+    rnd = random.Random(9)
+    rows = []
+    for i in range(120):
+        label = int(i % 3 == 0)
+        rows.append((np.unique([rnd.randint(0, 30) for _ in range(8)] + [40] * label), label))
+    weights, bias = toxicity.train(rows, 6)
+    seen = Counter(f for features, _ in rows for f in features.tolist())
+    wanted = plain_ftrl([([f for f in features.tolist() if seen[f] >= toxicity.SEEN], label) for features, label in rows], 6, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    assert abs(bias - wanted["bias"]) < 1e-9 and wanted[40] > 0
+    assert all(abs(weights[i] - wanted.get(i, 0.0)) < 1e-9 for i in range(50))
+
+
 def test_toxicity(spark, empty):
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(300)]
@@ -447,6 +508,31 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, TOKENIZER).collect() == []
 
 
+def test_islands_beat_best_fit_where_it_fails(spark):
+    """Three pieces fill a bin exactly, but best fit joins the longest with others; crossover and migration mend that."""
+    import numpy as np
+
+    rnd = random.Random(2)
+    counts = Counter()
+    for _ in range(60):
+        a, b = rnd.randint(350, 470), rnd.randint(260, 330)
+        counts.update([a, b, 1000 - a - b])
+    assert packing.number(packing.best_fit(counts, 1000)) >= 66
+    islands = [[packing.best_fit(counts, 1000), *(packing.shuffled_fit(counts, 1000, np.random.default_rng([i, 2])) for _ in range(3))] for i in range(6)]
+    first = min(packing.number(x) for island in islands for x in island)
+    for k in range(4):
+        islands = [packing.evolve(islands[i] + islands[i - 1][:1], counts, 1000, 2 + 1000 * k + i) for i in range(6)]
+    assert min(packing.number(x) for island in islands for x in island) < first
+    found = packing.solve(spark, dict(counts), 1000)
+    assert packing.number(found) <= 62
+    held = Counter()
+    for pattern, times in found:
+        assert sum(pattern) <= 1000
+        for n in pattern:
+            held[n] += times
+    assert held == counts
+
+
 def test_crossover_keeps_all_pieces():
     import numpy as np
 
@@ -471,6 +557,15 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_rows(empty, 8).collect() == []
 
 
+def test_sharding_numbers_over_ranges(spark, rows, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    more = [(None, f"text {i % 30}") for i in range(200)] + [(i % 5, f"other {i}") for i in range(150)]
+    docs = spark.createDataFrame(more, "doc_id long, text string").repartition(5)
+    found = sharding.shard_rows(docs, 8).collect()
+    slim = sorted(((i is not None, i, zlib.crc32(t.encode()), len(t) + 1) for i, t in more), key=lambda x: (x[0], x[1] or 0, x[2]))
+    assert Counter((r.doc_id, r.text_crc32, r["size"], r.shard, r.slot) for r in found) == Counter((*x[1:], *sharding.place(i, len(slim), 8)) for i, x in enumerate(slim))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 101, 1000])
 def test_permutation_reaches_each_slot_once(n):
     assert sorted(sharding.place(i, n, 1)[1] for i in range(n)) == list(range(n))
@@ -504,6 +599,24 @@ def test_mixing_of_overlapping_sources(spark):
     assert abs(sum(r.taken for r in found) - 900) <= 20 and max(r.taken for r in found) <= 30
 
 
+def test_mixing_in_parts_equals_one_flow(docs, monkeypatch, spark):
+    whole = got(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+    assert got(mixing.mix(docs)) == whole
+    rows = [(i, "w " * (5 + i % 7), [f"s{i % 40}"] if i % 9 else ["x", "y"]) for i in range(400)] + [(1000 + i, "w " * 4, ["y"]) for i in range(9)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, held array<string>")
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    parts = got(mixing.mix(held, F.col("held")))
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 100)
+    assert got(mixing.mix(held, F.col("held"))) == parts
+
+
+def test_mixing_of_more_sources_than_the_driver_plans_for(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("some words to take").alias("text"), F.concat(F.lit("s"), F.col("id") % 4500).alias("source"))
+    found = mixing.mix(docs).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("taken").alias("taken")).first()
+    assert found.n == 9000 and abs(found.taken - found["size"]) <= 0.15 * found["size"]
+
+
 def test_flow_repeats_only_when_fresh_words_are_short():
     assert mixing.flow([(100, [0]), (20, [1]), (10, [0, 1])], [60, 60]) == [60, 40, 20]
     assert mixing.flow([(100, [0]), (20, [1])], [60, 70]) == [60, 60]
