@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def template_parts(template: str, keep_space: bool = False) -> list[tuple[str, str]]:
-    """A prompt template as ("text", literal) and ("field", name) parts; one space before a field goes unless ``keep_space``."""
-    if not template.endswith("{label}") and "{" not in template:
-        raise ValueError("a template names its fields in braces")
+def template_parts(template: str, keep_space: bool = False, label: str = "label") -> list[tuple[str, str]]:
+    """A prompt template as ("text", literal) and ("field", name) parts; one space before a field goes unless ``keep_space``.
+
+    The template ends with the field of the label; nothing may follow it.
+    """
+    if not template.endswith("{" + label + "}"):
+        raise ValueError(f"a template ends with {{{label}}}")
     out, at = [], 0
     for found in re.finditer(r"( *)\{(\w+)\}", template):
         literal = template[at : found.start()] + (found[1] if keep_space else found[1][1:])
@@ -24,9 +30,9 @@ def template_parts(template: str, keep_space: bool = False) -> list[tuple[str, s
     return out
 
 
-def render(template: str, fields: dict[str, Column]) -> Column:
+def render(template: str, fields: dict[str, Column], label: str = "label") -> Column:
     """The template with its fields filled in; a missing field is an error when the plan is made."""
-    parts = template_parts(template, keep_space=True)
+    parts = template_parts(template, True, label)
     missing = [name for kind, name in parts if kind == "field" and name not in fields]
     if missing:
         raise KeyError(f"no column for {missing}")
@@ -38,32 +44,53 @@ def final_answer(answer: Column, mark: str = "####") -> Column:
     return F.trim(F.substring_index(answer, mark, -1))
 
 
-def unboxed(text: Column, depth: int = 4) -> Column:
-    r"""Every \boxed{...} replaced by its content, for contents that nest up to ``depth`` pairs of braces."""
-    inner = r"[^{}]*"
-    for _ in range(depth):
-        inner = rf"(?:[^{{}}]|\{{{inner}\}})*"
-    for _ in range(depth):
-        text = F.regexp_replace(text, rf"\\boxed\{{({inner})\}}", "$1")
-    return text
+def unboxed(text: Column) -> Column:
+    r"""Every \boxed{...} replaced by its content, whatever braces nest in it; one that isn't closed stays with all behind it."""
+    tokens = F.regexp_extract_all(text, F.lit(r"\\boxed\{|[{}]|[^{}\\]+|\\"), F.lit(0))
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("gone"))
+
+    def step(s: Column, token: Column) -> Column:
+        opens = (token == "\\boxed{") | (s["depth"] > 0) & (token == "{")
+        depth = s["depth"] + F.when(opens, 1).when((s["depth"] > 0) & (token == "}"), -1).otherwise(0)
+        begins, ends = (s["depth"] == 0) & opens, (s["depth"] > 0) & (depth == 0)
+        # What goes are the tokens that open and close a box: as many as there are boxes.
+        gone = F.when(ends, F.concat(s["gone"], F.array(s["at"], s["i"]))).otherwise(s["gone"])
+        return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), F.when(begins, s["i"]).otherwise(s["at"]).alias("at"), gone.alias("gone"))
+
+    left = lambda t: F.array_except(F.sequence(F.lit(0), F.size(t) - 1), F.aggregate(t, state, step, lambda s: s["gone"]))
+    joined = F.transform(F.array(tokens), lambda t: F.array_join(F.transform(left(t), lambda i: F.get(t, i)), ""))[0]
+    return F.when(F.contains(text, F.lit("\\boxed{")), joined).otherwise(text)
+
+
+def closed_box_from(text: Column) -> Column:
+    """Whether the braces of a text that begins with a box are balanced somewhere, so that the box is closed."""
+    braces = F.split(F.regexp_replace(text, r"[^{}]+", ""), "")
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"))
+    step = lambda s, x: F.struct((s["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("depth"), (s["closed"] | (x == "}") & (s["depth"] == 1)).alias("closed"))
+    return F.aggregate(braces, state, step, lambda s: s["closed"])
 
 
 def before_last(text: Column, mark: str) -> Column:
     """What stands before the last mark; empty if there is none."""
-    return F.when(F.contains(text, F.lit(mark)), F.expr("''") if not mark else F.concat_ws(mark, F.slice(F.split(text, re.escape(mark)), F.lit(1), F.size(F.split(text, re.escape(mark))) - 1))).otherwise(F.lit(""))
+    behind = F.length(F.substring_index(text, mark, -1))
+    return F.when(F.contains(text, F.lit(mark)), F.substring(text, F.lit(1), F.length(text) - behind - len(mark))).otherwise(F.lit(""))
 
 
 def file_stem_key(name: Column) -> Column:
-    """A file stem without its _<start>_<end> time stamps."""
-    return F.regexp_replace(name, r"_\d+(?:\.\d+)?_\d+(?:\.\d+)?$", "")
+    """A file stem without its _<start>_<end> time stamps, which have decimals both."""
+    return F.regexp_replace(name, r"(?<=.)_\d+\.\d+_\d+\.\d+$", "")
+
+
+@F.arrow_udf(T.StringType())
+def unescaped(texts: pa.Array) -> pa.Array:
+    """All HTML character references decoded."""
+    return pa.array([x if x is None else html.unescape(x) for x in texts.to_pylist()], pa.string())
 
 
 def clean(text: Column) -> Column:
-    """Common entities decoded twice, white space collapsed, trimmed."""
-    for _ in range(2):
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Character references decoded twice, white space collapsed, trimmed. Only texts with an ampersand go to Python."""
+    decoded = F.coalesce(unescaped(unescaped(F.when(F.contains(text, F.lit("&")), text))), text)
+    return F.trim(F.regexp_replace(decoded, r"(?U)\s+", " "))
 
 
 def without_marks(text: Column, marks: tuple[str, ...]) -> Column:
@@ -78,18 +105,22 @@ def placeholder_parts(text: Column, marks: tuple[str, ...]) -> Column:
 
 
 def metric_key(name: Column) -> Column:
-    """A metric name that a tracker accepts: @ spelt out, one slash at most, other odd characters as underscores."""
-    name = F.regexp_replace(F.replace(name, F.lit("@"), F.lit("_at_")), "/+", "/")
-    first = F.substring_index(name, "/", 1)
-    rest = F.replace(F.substring(name, F.length(first) + 2, F.length(name)), F.lit("/"), F.lit("_"))
-    whole = F.when(F.contains(name, F.lit("/")), F.concat(first, F.lit("/"), rest)).otherwise(name)
-    return F.regexp_replace(whole, r"[^0-9A-Za-z_\-. /]", "_")
+    """A metric name that a tracker accepts: @ spelt out, one slash at most, odd characters as underscores.
+
+    Letters, digits and underscores of any script stay, and so do dots, hyphens, spaces and colons.
+    """
+    plain = F.regexp_replace(F.replace(name, F.lit("@"), F.lit("_at_")), "/+", "/")
+    first = F.substring_index(plain, "/", 1)
+    rest = F.replace(F.substring(plain, F.length(first) + 2, F.length(plain)), F.lit("/"), F.lit("_"))
+    whole = F.when(F.contains(name, F.lit("/")), F.concat(first, F.lit("/"), rest)).otherwise(plain)
+    return F.regexp_replace(whole, r"(?U)[^/\w.\- :]", "_")
 
 
 def expert_index(name: Column) -> Column:
-    """The expert number in a parameter name, by the first pattern that fits; null without one."""
-    found = [F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in (r"experts\.(\d+)\.", r"weight(\d+)$", r"bias(\d+)$")]
-    return F.coalesce(*found).cast("long")
+    """The expert number in a parameter name, by the first pattern that is found; a name without one is an error."""
+    found = [F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in (r"local_experts\.(\d+)", r"(?:weight|bias)(\d+)", r"experts\.(\d+)")]
+    number = F.coalesce(*found).cast("long")
+    return F.when(name.isNotNull() & number.isNull(), F.raise_error(F.concat(F.lit("no expert number in "), name)).cast("long")).otherwise(number)
 
 
 def renumbered(name: Column, word: str, offset: int) -> Column:
@@ -100,8 +131,16 @@ def renumbered(name: Column, word: str, offset: int) -> Column:
 
 
 def absolute_path(path: Column, root: str) -> Column:
-    """URLs and absolute paths as they are, others under ``root``."""
-    return F.when(path.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://|/)"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(path, r"^(?:\./)+", "")))
+    """URLs and absolute paths as they are, others under ``root`` with . and .. resolved."""
+    joined = F.split(F.concat(F.lit(root.rstrip("/") + "/"), path), "/+")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part.isin(".", ""), done).otherwise(F.concat(done, F.array(part)))
+
+    first = F.array(F.lit("" if root.startswith("/") else ".")).cast("array<string>")
+    normal = F.regexp_replace(F.array_join(F.aggregate(joined, first, step), "/"), r"^\./", "")
+    return F.when(path.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://|/)"), path).otherwise(normal)
 
 
 def significant(x: Column, digits: int = 5) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep.functions.arrays import upto
-from sparkprep.functions.text import before_last, final_answer, unboxed
+from sparkprep.functions.text import before_last, closed_box_from, final_answer, unboxed
 
 
 def question_answering(context: Column, question: Column, answers: Column) -> dict[str, Column]:
@@ -24,25 +28,60 @@ def mathematics(question: Column, answer: Column) -> dict[str, Column]:
 
 
 def solution(problem: Column, generated: Column, expected: Column) -> dict[str, Column]:
-    """input, output without boxes, and the expected answer."""
-    return {"input": F.concat(F.lit("Problem: "), problem, F.lit(" Solution:")), "output": unboxed(generated), "original_answers": F.array(expected)}
+    """input, output (the whole solution) and the expected answer."""
+    return {"input": F.concat(F.lit("Problem: "), problem, F.lit(" Solution:")), "output": generated, "original_answers": F.array(expected)}
 
 
 def thinking_and_final(generated: Column, expected: Column) -> Column:
-    """array<struct<role, thinking, content>> of the assistant's turn: what stands before the last box, without a dollar sign at its end, is thinking."""
-    thinking = F.regexp_replace(before_last(generated, "\\boxed"), r"\s*\$+\s*$", "")
-    return F.array(F.struct(F.lit("assistant").alias("role"), thinking.alias("thinking"), expected.alias("content")))
-
-
-def receipt(ground_truth: Column, fields: str) -> Column:
-    """The first parse of a receipt's JSON: of gt_parses, or gt_parse."""
-    read = F.from_json(ground_truth, f"gt_parses array<struct<{fields}>>, gt_parse struct<{fields}>")
-    return F.coalesce(F.try_element_at(read["gt_parses"], F.lit(1)), read["gt_parse"])
+    """array<struct<role, thinking, content>> of the assistant's turn.
 
-
-def tagged(value: Column, names: list[str]) -> Column:
-    """A record's fields as tagged text, names in falling order; null fields are empty."""
-    return F.concat(*(F.concat(F.lit(f"<s_{n}>"), F.coalesce(value[n].cast("string"), F.lit("")), F.lit(f"</s_{n}>")) for n in sorted(names, reverse=True)))
+    Thinking is what stands before the last box, without a dollar sign at its end, or all of a solution without a closed box;
+    boxes within it are opened. The content is the expected answer behind four hashes.
+    """
+    mark = "\\boxed{"
+    before = before_last(generated, mark)
+    from_box = F.substring(generated, F.length(before) + len(mark), F.length(generated))
+    closed = F.contains(generated, F.lit(mark)) & closed_box_from(from_box)
+    stripped = lambda x: F.regexp_replace(x, r"(?U)\s+\z", "")
+    thinking = stripped(F.when(closed, F.regexp_replace(before, r"(?U)\$?\s*\z", "")).otherwise(generated))
+    return F.array(F.struct(F.lit("assistant").alias("role"), unboxed(thinking).alias("thinking"), F.concat(F.lit("#### "), expected).alias("content")))
+
+
+def receipt(ground_truth: Column, key: Column, seed: int = 0) -> Column:
+    """The tagged text of one parse of a receipt's JSON: of gt_parses one by a keyed draw, or else gt_parse."""
+    kind = "gt_parses array<variant>, gt_parse variant"
+    read = F.from_json(ground_truth, kind)
+    parses = F.coalesce(read["gt_parses"], F.array(read["gt_parse"]))
+    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.size(parses)).cast("int")
+    return tagged_json(F.get(parses, drawn).cast("string"))
+
+
+def tagged_text(value: object) -> str:
+    """A value of JSON as tagged text: keys in falling order, items of a list apart by <sep/>; a lone text_sequence as it is."""
+    if isinstance(value, dict):
+        if list(value) == ["text_sequence"]:
+            return value["text_sequence"]
+        return "".join(f"<s_{k}>{tagged_text(value[k])}</s_{k}>" for k in sorted(value, reverse=True))
+    return "<sep/>".join(map(tagged_text, value)) if isinstance(value, list) else str(value)
+
+
+@F.arrow_udf(T.StringType())
+def tagged_json(records: pa.Array) -> pa.Array:
+    """JSON text as tagged text; keys differ from row to row and nest, so this needs a Python function. Null stays null."""
+    return pa.array([x if x is None else tagged_text(json.loads(x)) for x in records.to_pylist()], pa.string())
+
+
+def tagged(value: Column, kind: T.DataType) -> Column:
+    """A typed value as tagged text, like ``tagged_text`` but within the JVM: structs, arrays and scalars; null is None."""
+    if isinstance(kind, T.StructType):
+        names = kind.names
+        if names == ["text_sequence"]:
+            return value["text_sequence"]
+        return F.concat(*(F.concat(F.lit(f"<s_{n}>"), tagged(value[n], kind[n].dataType), F.lit(f"</s_{n}>")) for n in sorted(names, reverse=True)))
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda x: tagged(x, kind.elementType)), "<sep/>")
+    text = F.initcap(value.cast("string")) if isinstance(kind, T.BooleanType) else value.cast("string")
+    return F.coalesce(text, F.lit("None"))
 
 
 def first_turn_media(messages: Column, media: Column, role: str = "user") -> Column:

@@ -50,14 +50,50 @@ def first_rule(name: Column, rules: list[tuple[str, str]]) -> tuple[Column, Colu
     return number.cast("long"), target
 
 
-def matching_names(names: DataFrame, column: str, pattern: str) -> DataFrame:
-    """Names that a pattern selects: a glob if it has any of *?[, else a regular expression that may match anywhere."""
-    if re.search(r"[*?\[]", pattern):
-        glob = "".join({"*": ".*", "?": "."}.get(x, x if x.startswith("[") else re.escape(x)) for x in re.split(r"(\*|\?|\[[^\]]*\])", pattern))
-        return names.where(F.col(column).rlike(f"^{glob}$"))
-    return names.where(F.col(column).rlike(pattern))
+def glob_regex(pattern: str) -> str:
+    """A shell pattern as a regular expression for the whole name: * for anything, ? for a character, [..] and [!..] for sets."""
+    out = ""
+    for part in re.split(r"(\*|\?|\[!?\]?[^\]]*\])", pattern):
+        if part.startswith("[") and part.endswith("]") and len(part) > 2:
+            body = part[1:-1].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out += f"[^{body[1:]}]" if body.startswith("!") else f"[{body}]"
+        else:
+            out += {"*": ".*", "?": "."}.get(part, re.escape(part))
+    return f"(?s)\\A{out}\\z"
+
+
+def matching_names(names: DataFrame, column: str, pattern: str | re.Pattern, required: bool = False) -> DataFrame:
+    """Names that a pattern selects: a compiled regular expression is searched anywhere, a text with any of *?[ is a glob, and any other text is
+    one name. ``required`` makes it an error that nothing matches, which takes a look at the data."""
+    if isinstance(pattern, re.Pattern):
+        found = names.where(F.col(column).rlike(pattern.pattern))
+    elif re.search(r"[*?\[]", pattern):
+        found = names.where(F.col(column).rlike(glob_regex(pattern)))
+    else:
+        found = names.where(F.col(column) == pattern)
+    if required and found.isEmpty():
+        raise KeyError(f"no name matches {pattern}")
+    return found
+
+
+def any_match(names: DataFrame, column: str, pattern: str | re.Pattern) -> bool:
+    """Whether a pattern selects a name; the scan ends with the first."""
+    return not matching_names(names, column, pattern).isEmpty()
+
+
+def require_present(wanted: DataFrame, present: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """``wanted``; keys that ``present`` lacks are an error that names the first ``most`` of them."""
+    missing = [r[0] for r in missing_keys(wanted, present, key).orderBy(key).limit(most).collect()]
+    if missing:
+        raise KeyError(f"missing: {missing}")
+    return wanted
 
 
 def against_golden(golden: DataFrame, current: DataFrame, step: str, value: str) -> DataFrame:
     """(step, golden, current): every golden step with its current value, NaN where it is missing."""
     return golden.select(step, F.col(value).alias("golden")).join(current.select(step, F.col(value).alias("current")), step, "left").withColumn("current", F.coalesce("current", F.lit(float("nan"))))
+
+
+def keys_by_file(places: DataFrame, file: str, key: str) -> DataFrame:
+    """(file, keys): the keys of each file in order. A file has as many as its index lists, so the lists are bounded by files."""
+    return places.groupBy(file).agg(F.array_sort(F.collect_list(key)).alias("keys"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkprep.functions.arrays import sequence_counts
+
 
 def masked_loss(loss: Column, mask: Column) -> tuple[Column, Column]:
     """Aggregates: the sum of loss over unmasked tokens and their number."""
@@ -36,14 +40,76 @@ def throughput_window(series: DataFrame, step: str, seconds: Column, window: int
     return rated.select(group, step, each.alias("batches_per_s"), (each * batch).alias("samples_per_s"), (each * batch * tokens).alias("tokens_per_s"), (each * batch * tokens / ranks).alias("tokens_per_s_rank"))
 
 
-def convergence(pairs: DataFrame, a: str, b: str, tolerance: float = 0.05) -> DataFrame:
-    """One row: correlation, share of steps within a relative tolerance, share of differences over three deviations."""
-    difference = F.col(a) - F.col(b)
-    totals = pairs.agg(F.corr(a, b).alias("correlation"), F.avg((F.abs(difference) <= tolerance * F.abs(F.col(a))).cast("double")).alias("within"), F.avg(difference).alias("mean"), F.stddev_pop(difference).alias("deviation"))
-    found = totals.first()  # one row
-    odd = F.abs(difference - F.lit(found["mean"])) > 3 * F.lit(found["deviation"])
+@dataclass(frozen=True)
+class Tolerances:
+    """Limits of a comparison of loss curves; relative tolerances are (from what golden value on, tolerance), the first that holds."""
+
+    tiers: tuple[tuple[float, float], ...] = ((2.0, 0.10), (0.5, 0.05), (float("-inf"), 0.02))
+    correlation: float = 0.95
+    final: float = 0.03
+    outliers: float = 0.1
+    deviations: float = 3.0
+    skipped: float = 0.0
+
+
+def convergence(pairs: DataFrame, step: str, current: str, golden: str, limits: Tolerances = Tolerances()) -> DataFrame:
+    """One row: correlation, failed_share (points outside of their tier's tolerance), final_difference, outliers (share of differences over
+    three deviations), deviation, and passed. A first share of steps may be skipped; curves are ordered by ``step``."""
+    if limits.skipped > 0:
+        first = int(pairs.count() * limits.skipped)
+        low = pairs.orderBy(step).limit(first + 1).agg(F.max(step)).first()[0] if first else None
+        pairs = pairs.where(F.col(step) >= low) if first else pairs
+    a, b = F.col(current), F.col(golden)
+    tier = None
+    for low, tolerance in limits.tiers:
+        tier = F.when(b > low, tolerance) if tier is None else tier.when(b > low, tolerance)
+    relative = F.when(b != 0, F.abs(a - b) / F.abs(b)).otherwise(F.abs(a))
+    totals = pairs.agg(F.corr(current, golden).alias("correlation"), F.avg((relative > tier).cast("double")).alias("failed_share"), F.max_by(F.struct(a.alias("a"), b.alias("b")), step).alias("last"), F.avg(a - b).alias("mean"), F.stddev_pop(a - b).alias("deviation"))
+    found = totals.select("*", F.when(F.col("last.b") != 0, F.abs(F.col("last.a") - F.col("last.b")) / F.col("last.b")).otherwise(F.abs("last.a")).alias("final_difference")).first()  # one row
+    odd = F.abs(a - b - F.lit(found["mean"])) > limits.deviations * F.lit(found["deviation"])
     one = pairs.agg(F.avg(odd.cast("double")).alias("outliers"))
-    return one.select(*(F.lit(found[c]).cast("double").alias(c) for c in ("correlation", "within", "deviation")), "outliers")
+    kept = [F.lit(found[c]).cast("double").alias(c) for c in ("correlation", "failed_share", "final_difference", "deviation")]
+    passed = (F.col("correlation") >= limits.correlation) & (F.col("failed_share") <= limits.outliers) & (F.col("final_difference") <= limits.final) & (F.col("outliers") <= limits.outliers)
+    return one.select(*kept, "outliers").withColumn("passed", passed)
+
+
+def steady_means(series: DataFrame, step: str, values: list[str], skipped: float = 0.1, start: int | None = None, end: int | None = None) -> DataFrame:
+    """One row: the means of columns over a stretch of steps without NaN. The stretch begins behind a first share of steps, one at least, or at ``start``."""
+    n = series.count() if start is None else 0
+    first = max(1, int(n * skipped)) if start is None else start
+    kept = series.withColumn("n_", F.row_number().over(Window.orderBy(step)) - 1).where(F.col("n_") >= first)
+    kept = kept if end is None else kept.where(F.col("n_") < end)
+    return kept.agg(*(F.avg(F.when(~F.isnan(v), F.col(v))).alias(v) for v in values))
+
+
+def regression(series: DataFrame, step: str, current: str, golden: str, tolerance: float = 0.05, **stretch: float) -> DataFrame:
+    """One row: the signed relative difference of two runs' steady means, and whether it is within the tolerance either way."""
+    means = steady_means(series, step, [current, golden], **stretch)
+    difference = relative_difference(F.col(current), F.col(golden))
+    return means.select(F.col(current), F.col(golden), difference.alias("difference"), (F.abs(difference) <= tolerance).alias("passed"))
+
+
+def packed_averages(rows: DataFrame, starts: str, total: Column, order: str, batch: int | None = None) -> DataFrame:
+    """One row: sequences a row, tokens a row, squared length of a sequence, squares of a row, without end tokens.
+
+    With ``batch``, rows behind the last whole batch in the order of ``order`` are left out. No rows, or none with a sequence, are an error.
+    """
+    if batch:
+        n = rows.count() // batch * batch
+        rows = rows.withColumn("n_", F.row_number().over(Window.orderBy(order))).where(F.col("n_") <= n).drop("n_")
+    counts, whole = sequence_counts(F.col(starts), total)
+    held = rows.select(F.size(starts).alias("n"), whole.alias("t"), F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x * x).alias("q"))
+    sums = held.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"))
+    checked = F.when(F.col("rows") == 0, F.raise_error("no rows to process")).when(F.col("n") == 0, F.raise_error("no sequences to average")).otherwise(F.lit(True)).cast("boolean")
+    return sums.where(checked).select((F.col("n") / F.col("rows")).alias("sequences_per_row"), (F.col("t") / F.col("rows")).alias("tokens_per_row"), (F.col("q") / F.col("n")).alias("squared_length"), (F.col("q") / F.col("rows")).alias("squares_per_row"))
+
+
+def adapter_facts(adapters: DataFrame, target: str, rank: str, default: int | None = None) -> DataFrame:
+    """(target, rank) of adapters whose rank isn't the default; a target with several ranks is an error when it is read."""
+    held = adapters.groupBy(target).agg(F.min(rank).alias("rank"), F.max(rank).alias("most"))
+    bad = F.concat(F.lit("several ranks of "), F.col(target))
+    checked = held.select(target, F.when(F.col("rank") == F.col("most"), F.col("rank")).otherwise(F.raise_error(bad).cast("long")).alias("rank"))
+    return checked if default is None else checked.where(F.col("rank") != default)
 
 
 def norms(values: DataFrame, name: str, value: Column) -> DataFrame:
@@ -56,10 +122,42 @@ def relative_difference(value: Column, base: Column) -> Column:
     return F.when(base != 0, (value - base) / base)
 
 
+#: What training logs print, by name (fixed by the log's format).
+LOG_PATTERNS = {
+    "iteration": r"iteration\s+(\d+)/\s+\d+",
+    "elapsed time per iteration (ms)": r"elapsed time per iteration \(ms\):\s+([\d.]+)",
+    "lm loss": r"lm loss:\s+([\d.E+\-]+)",
+    "GPU utilization": r"GPU utilization:\s+([\d.]+)",
+    "step time": r"Step Time :\s+([\d.]+)s",
+    "grad norm": r"grad norm:\s+([\d.]+|nan|inf)",
+    "alloc": r"mem-allocated-gigabytes:\s*([\d\.]+)",
+    "max_alloc": r"mem-max-allocated-gigabytes:\s*([\d\.]+)",
+    "max_reserved": r"mem-max-reserved-gigabytes:\s*([\d\.]+)",
+}
+
+
 def log_values(lines: DataFrame, line: str, patterns: dict[str, str]) -> DataFrame:
-    """(line number, metric, value) for every pattern found in a line."""
-    found = F.array(*(F.struct(F.lit(k).alias("metric"), F.nullif(F.regexp_extract(line, p, 1), F.lit("")).cast("double").alias("value")) for k, p in patterns.items()))
-    return lines.select("*", F.explode(F.filter(found, lambda x: x["value"].isNotNull())).alias("x")).select(*[c for c in lines.columns if c != line], "x.metric", "x.value")
+    """(other columns, metric, nth, value) for every match of a pattern in a line."""
+    named = lambda k: lambda v, i: F.struct(F.lit(k).alias("metric"), i.cast("long").alias("nth"), v.cast("double").alias("value"))
+    found = [F.transform(F.regexp_extract_all(line, F.lit(p), F.lit(1)), named(k)) for k, p in patterns.items()]
+    return lines.select(*[c for c in lines.columns if c != line], F.inline(F.concat(*found)))
+
+
+def log_series(lines: DataFrame, number: str, line: str, metric: str, patterns: dict[str, str] = LOG_PATTERNS) -> DataFrame:
+    """(step, value) of a metric of a log whose lines are numbered: the k-th value belongs to the k-th iteration, which announces the step before it.
+
+    ``max_reserved`` is the largest of all, ``alloc`` and ``max_alloc`` the first: one row with a null step.
+    """
+    values = log_values(lines, line, {k: p for k, p in patterns.items() if k in (metric, "iteration")})
+    if metric == "max_reserved":
+        return values.where(F.col("metric") == metric).agg(F.max("value").alias("value")).select(F.lit(None).cast("long").alias("step"), "value")
+    first = values.where("nth = 0")
+    if metric in ("alloc", "max_alloc"):
+        return first.where(F.col("metric") == metric).agg(F.min_by("value", number).alias("value")).select(F.lit(None).cast("long").alias("step"), "value")
+    # One log is one order: its values are numbered by one task, as many as the log has iterations.
+    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("metric").orderBy(number)))
+    steps = ranked.where("metric = 'iteration'").select("k", (F.col("value").cast("long") - 1).alias("step"))
+    return ranked.where(F.col("metric") == metric).select("k", "value").join(steps, "k").select("step", "value")
 
 
 def islands(rows: DataFrame, group: str, order: str, value: Column) -> DataFrame:

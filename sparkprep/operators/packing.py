@@ -6,9 +6,16 @@ runs of like bins: its size doesn't grow with the rows. Rows then find their bin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.functions.arrays import running_sums
+from sparkprep.operators.sampling import keyed, keyed_rank
+
 
 def length_histogram(rows: DataFrame, length: Column, most: int) -> DataFrame:
     """(length, n) for every length from 0 to ``most``, also those without rows. A longer row is an error."""
@@ -91,43 +98,76 @@ def first_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tu
     return out, total
 
 
-def ranked(rows: DataFrame, group: str, order: str, salts: int = 64) -> DataFrame:
-    """Adds ``rank``, 0-based within ``group``, in the order of (salt, order).
+def assign_bins(rows: DataFrame, capacity: int, length: str = "length", key: str = "id") -> DataFrame:
+    """Adds ``bin`` by first fit decreasing over column ``length``; rows of one length come in the order of a keyed hash of ``key``.
 
-    A group is ranked in ``salts`` parts, and the parts' counts give where each begins, so a group of any size spreads.
+    Empty rows fit anywhere and go to the first bin. A null length, or one under 0, counts as 0. Other columns don't travel
+    with the ranks: they are joined by ``key``, which is unique.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(order), F.lit(salts)))
-    counts = salted.groupBy(group, "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(group, "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy(group, "salt").orderBy(order)).cast("long") - 1
-    return salted.withColumn("local", local).join(starts, [group, "salt"]).withColumn("rank", F.col("before") + F.col("local")).drop("salt", "local", "before")
-
-
-def assign_bins(rows: DataFrame, capacity: int, length: str = "length", key: str = "id") -> DataFrame:
-    """Adds ``bin`` by first fit decreasing over column ``length``; ``key`` orders rows of one length."""
     spark = rows.sparkSession
-    counts = {r[0]: r[1] for r in rows.groupBy(length).count().collect()}  # one row for each different length
+    size = F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long")
+    counts = {r[0]: r[1] for r in rows.groupBy(size.alias("n")).count().collect()}  # one row for each different length
     plan, _ = first_fit_decreasing(counts, capacity)
     used: dict[int, int] = {}
-    cells = []
+    cells = [(0, 0, counts[0], 0, counts[0])] if counts.get(0) else []
     for n, first, bins, each in plan:
         cells.append((n, used.get(n, 0), used.get(n, 0) + bins * each, first, each))
         used[n] = used.get(n, 0) + bins * each
-    table = spark.createDataFrame(cells, f"{length} long, low long, high long, first long, each long")
-    found = ranked(rows, length, key).join(F.broadcast(table), length)  # bounded by the different lengths
-    return found.where("rank >= low and rank < high").withColumn("bin", F.col("first") + F.expr("(rank - low) div each")).drop("rank", "low", "high", "first", "each")
+    table = spark.createDataFrame(cells, "size_ long, low_ long, high_ long, first_ long, each_ long")
+    slim = keyed_rank(rows.select(F.col(key).alias("key_id_"), size.alias("size_")), "size_", keyed(F.col("key_id_"), "rank"), "key_id_")
+    found = slim.join(F.broadcast(table), "size_").where("rank >= low_ and rank < high_")  # bounded by the different lengths
+    placed = found.select(F.col("key_id_"), (F.col("first_") + F.expr("(rank - low_) div each_")).alias("bin"))
+    return rows.join(placed, F.col(key) == F.col("key_id_")).drop("key_id_")
+
+
+def first_fit_shuffled(rows: DataFrame, capacity: int, length: str = "length", key: str = "id", seed: int = 0, block: int = 4096) -> DataFrame:
+    """(block, bin, key, length): first fit in the order of a keyed shuffle.
+
+    First fit depends on all rows before, so the shuffled order is cut into blocks of ``block`` rows, each packed by itself: no
+    task holds more than a block, and a block wastes part of a bin at most for each open bin at its end. With a block of all rows it is
+    plain first fit in shuffled order. A null length counts as 0.
+    """
+    whole = rows.select(F.lit(0).alias("whole"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("n"))
+    placed = keyed_rank(whole, "whole", keyed(F.col("id"), seed, "shuffle"), "id").withColumn("block", F.expr(f"rank div {block}"))
+    held = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "id"))).alias("r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+                waiting: dict[int, deque[int]] = {}
+                for i, n in zip(ids, lengths):
+                    waiting.setdefault(n, deque()).append(i)
+                flat = [(number, k, waiting[n].popleft(), n) for k, held_ in enumerate(first_fit(lengths, capacity)) for n in held_]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], ["block", "bin", key, length])
+
+    return held.select("block", F.col("r.id").alias("ids"), F.col("r.n").alias("lengths")).mapInArrow(run, f"block long, bin long, {key} long, {length} long")
+
+
+def label_mask(mask: Column | None = None, ids: Column | None = None, answer_start: Column | None = None) -> Column:
+    """A row's mask as its labels need it: rolled left by one with a 0 behind, or 1 from the token before the answer on."""
+    if mask is not None:
+        zero = F.slice(F.transform(mask, lambda x: x.cast("boolean").cast("long") * 0), 1, 1)
+        return F.concat(F.transform(F.slice(mask, F.lit(2), F.greatest(F.size(mask) - 1, F.lit(0))), lambda x: x.cast("long")), zero)
+    if ids is None or answer_start is None:
+        raise ValueError("a row to pack has a loss mask or the place where its answer begins")
+    return F.transform(ids, lambda _, i: (i >= answer_start - 1).cast("long"))
 
 
-def fill(assigned: DataFrame, ids: str = "input_ids", mask: str = "loss_mask", key: str = "id") -> DataFrame:
-    """(bin, input_ids, loss_mask, seq_start_id): the rows of each bin one after the other, in the order of their keys.
+def fill(assigned: DataFrame, ids: str = "input_ids", mask: str | None = "loss_mask", key: str = "id", answer_start: str | None = None) -> DataFrame:
+    """(bin, input_ids, loss_mask, seq_start_id): the rows of each bin one after the other, longest first, then in the order of a keyed hash.
 
-    A bin holds at most one capacity of tokens, so the collected lists are bounded.
+    The loss mask is that of the labels (``label_mask``), from column ``mask`` or else from ``answer_start``. A bin holds at most
+    one capacity of tokens, or one longer row, so the collected lists are bounded.
     """
-    held = assigned.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(ids).alias("x"), F.col(mask).alias("m")))).alias("rows"))
-    sizes = F.transform("rows", lambda r: F.size(r["x"]).cast("long"))
-    starts = F.transform(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x))
-    return held.select("bin", F.flatten(F.transform("rows", lambda r: r["x"])).alias("input_ids"), F.flatten(F.transform("rows", lambda r: r["m"])).alias("loss_mask"), starts.alias("seq_start_id"))
+    has_mask = mask is not None and mask in assigned.columns
+    if not has_mask and answer_start is None:
+        raise ValueError(f"rows have neither a column {mask} nor the place where their answers begin")
+    made = label_mask(F.col(mask)) if has_mask else label_mask(None, F.col(ids), F.col(answer_start))
+    row = F.struct((-F.size(ids)).alias("n"), keyed(F.col(key), "rank").alias("h"), F.col(key).alias("k"), F.col(ids).alias("x"), made.alias("m"))
+    held = assigned.groupBy("bin").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    sums = running_sums(F.transform("rows", lambda r: F.size(r["x"]).cast("long")))
+    bins = held.select("bin", F.flatten(F.transform("rows", lambda r: r["x"])).alias("input_ids"), F.flatten(F.transform("rows", lambda r: r["m"])).alias("loss_mask"), sums.alias("sums"))
+    return bins.select("bin", "input_ids", "loss_mask", F.slice("sums", F.lit(1), F.size("sums") - 1).alias("seq_start_id"))
 
 
 def pack_statistics(assigned: DataFrame, capacity: int, length: str = "length") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.arrays import answer_mask
+from sparkprep.functions.text import template_parts
 
 SPLIT_NAMES = {"training": "train", "val": "validation", "valid": "validation", "eval": "validation", "testing": "test"}
 
@@ -27,14 +30,66 @@ def truncated_fields(sizes: dict[str, Column], overflow: Column) -> dict[str, Co
     return {name: F.greatest(size - F.floor(over / n) - (F.lit(i) < over % n).cast("long"), F.lit(0)).cast("long") for i, (name, size) in enumerate(sizes.items())}
 
 
-def assembled(context: Column, answer: Column, bos: int | None, sep: int | None, eos: int | None) -> dict[str, Column]:
-    """input_ids, answer_start and loss_mask of a context and its answer with their marks."""
+def truncated_parts(parts: list[tuple[str | None, Column]], fields: list[str], most: int, answer_room: int = 0, extra: int = 0, side: str = "right") -> list[Column]:
+    """The parts of a prompt cut so that all fit in ``most`` tokens: (field or None, tokens) in order, the answer last.
+
+    Counted are the parts, ``extra`` marks, and for the answer at least ``answer_room``. What is over is shared by the ``fields``,
+    the first ones taking the remainder; what they are too short for is taken from the parts one after the other, from the
+    first on for ``left``, from the last on for ``right``, which leaves room for the answer as well.
+    """
+    if side not in ("left", "right"):
+        raise ValueError(f"parts are cut at their left or right, not {side}")
+    sizes = [F.size(x) for _, x in parts]
+    answer = sizes[-1]
+    total = sum(sizes[:-1], F.lit(extra)) + F.greatest(answer, F.lit(answer_room))
+    over = F.greatest(total - most, F.lit(0))
+    own = [i for i, (name, _) in enumerate(parts) if name in fields]
+    rest = over
+    for k, i in enumerate(own):
+        share = F.floor(over / len(own)).cast("int") + (F.lit(k) < over % len(own)).cast("int")
+        cut = F.least(sizes[i], share)
+        sizes[i], rest = sizes[i] - cut, rest - cut
+    if side == "right":
+        rest = F.when(rest > 0, rest + F.least(answer, F.lit(answer_room))).otherwise(0)
+    for i in range(len(parts)) if side == "left" else reversed(range(len(parts))):
+        cut = F.least(sizes[i], F.greatest(rest, F.lit(0)))
+        sizes[i], rest = sizes[i] - cut, rest - cut
+    first = lambda x, n: F.slice(x, F.lit(1), n) if side == "right" else F.slice(x, F.size(x) - n + 1, n)
+    return [F.when(n > 0, first(x, F.greatest(n, F.lit(1)))).otherwise(F.slice(x, 1, 0)) for (_, x), n in zip(parts, sizes)]
+
+
+def assembled(context: Column, answer: Column, bos: int | None, sep: int | None, eos: int | None, virtual: int = 0, virtual_id: int | None = None) -> dict[str, Column]:
+    """input_ids, answer_start and loss_mask of a context and its answer with their marks.
+
+    ``virtual`` places for tokens that are learnt stand before the context, filled with ``virtual_id`` or the end mark.
+    """
     one = lambda x: F.array(F.lit(x).cast("long")) if x is not None else F.array().cast("array<bigint>")
-    front = F.concat(one(bos), context, one(sep))
+    places = F.array_repeat(F.lit(eos if virtual_id is None else virtual_id).cast("long"), virtual) if virtual else one(None)
+    front = F.concat(one(bos), places, context, one(sep))
     ids = F.concat(front, answer, one(eos))
     return {"input_ids": ids, "answer_start": F.size(front).cast("long"), "loss_mask": answer_mask(ids, F.size(front))}
 
 
+def prompt_examples(rows: DataFrame, template: str, tokenize: Callable[[Column], Column], most: int, fields: list[str], label: str = "label", bos: int | None = None, sep: int | None = None, eos: int | None = None, virtual: int = 0, answer_room: int = 0, side: str = "right") -> DataFrame:
+    """(input_ids, answer_start_idx, context_ids, context_length, answer_ids, token_count, metadata) of records under a template.
+
+    The template's parts are tokenized, cut (``truncated_parts``) and put together; columns that it doesn't name are the metadata.
+    """
+    if not set(fields) <= {name for kind, name in template_parts(template, label=label) if kind == "field"}:
+        raise ValueError(f"the template has no fields {fields}")
+    parts = [(name if kind == "field" else None, tokenize(F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) if kind == "field" else F.lit(name))) for kind, name in template_parts(template, label=label)]
+    named = [name for kind, name in template_parts(template, label=label) if kind == "field"]
+    other = [c for c in rows.columns if c not in named]
+    tokens = rows.select(F.struct(*other).alias("metadata") if other else F.lit(None).alias("metadata"), *(x.alias(f"p{i}") for i, (_, x) in enumerate(parts)))
+    marks = virtual + sum(x is not None for x in (bos, sep, eos))
+    cut = truncated_parts([(name, F.col(f"p{i}")) for i, (name, _) in enumerate(parts)], fields, most, answer_room, marks, side)
+    held = tokens.select("metadata", F.concat(F.array().cast("array<bigint>"), *cut[:-1]).alias("c"), cut[-1].alias("answer_ids"))
+    made = assembled(F.col("c"), F.col("answer_ids"), bos, sep, eos, virtual)
+    whole = held.select(made["input_ids"].alias("input_ids"), made["answer_start"].alias("answer_start_idx"), "answer_ids", "metadata")
+    context = F.slice("input_ids", F.lit(1), F.col("answer_start_idx").cast("int"))
+    return whole.select("input_ids", "answer_start_idx", context.alias("context_ids"), F.col("answer_start_idx").alias("context_length"), "answer_ids", F.size("input_ids").cast("long").alias("token_count"), "metadata")
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, messages): the turns of each conversation in order as array<struct<role, content>>."""
     held = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
@@ -92,6 +147,35 @@ def fill_in_the_middle(text: Column, key: Column, rate_hex: str = "80", form: st
     return F.when(F.substring(draw, 1, 2) < rate_hex, moved).otherwise(text)
 
 
+def infilled_tokens(ids: Column, key: Column, end: int, pad: int, permute: Callable[[Column, Column], Column], fragment: int | None = None, whole_rate_hex: str = "80") -> Column:
+    """A sample's documents, which ``end`` tokens part, each permuted by itself, and the sample cut or padded to the length it had.
+
+    ``permute`` makes a permuted piece from (tokens, key). With ``fragment``, a document with such tokens is left as it is or, by a
+    keyed draw, permuted piece by piece between them.
+    """
+    # Empty documents between two ends go, with their ends.
+    def pieces(a: Column, mark: int) -> Column:
+        ends = F.concat(F.filter(F.transform(a, lambda x, i: F.when(x == mark, i)), lambda i: i.isNotNull()), F.array(F.size(a)))
+        spans = F.transform(F.array(ends), lambda e: F.transform(e, lambda b, k: F.struct(F.when(k > 0, F.get(e, k - 1) + 1).otherwise(0).alias("a"), b.alias("b"), (k == F.size(e) - 1).alias("last"))))[0]
+        return F.filter(spans, lambda s: s["last"] | (s["b"] > s["a"]))
+
+    def joined(a: Column, mark: int, made: Callable[[Column, Column], Column]) -> Column:
+        one = lambda s, k: F.concat(made(F.slice(a, s["a"] + 1, s["b"] - s["a"]), k), F.when(s["last"], F.array().cast("array<bigint>")).otherwise(F.array(F.lit(mark).cast("long"))))
+        return F.flatten(F.transform(pieces(a, mark), one))
+
+    def document(x: Column, k: Column) -> Column:
+        own = F.concat_ws("-", key.cast("string"), k.cast("string"))
+        if fragment is None:
+            return permute(x, own)
+        drawn = F.substring(F.md5(F.concat_ws("-", own, F.lit("fragments"))), 1, 2) < whole_rate_hex
+        split = joined(x, fragment, lambda y, j: permute(y, F.concat_ws("-", own, j.cast("string"))))
+        return F.when(~F.array_contains(x, F.lit(fragment).cast("long")), permute(x, own)).when(drawn, split).otherwise(x)
+
+    made = joined(ids, end, document)
+    fitted = lambda x: F.concat(F.slice(x, F.lit(1), F.size(ids)), F.array_repeat(F.lit(pad).cast("long"), F.greatest(F.size(ids) - F.size(x), F.lit(0))))
+    return F.transform(F.array(made), fitted)[0]
+
+
 def existing_media(rows: DataFrame, media: DataFrame, key: str, needs: dict[str, Column]) -> DataFrame:
     """Rows whose needed media all exist: ``needs`` names for each kind whether a row needs it; media has (key, kind)."""
     held = media.groupBy(key).agg(F.collect_set("kind").alias("kinds"))

@@ -66,6 +66,74 @@ def random_sharded(spark: SparkSession, total: int, consumed: int, micro: int, r
     return placed.select("idx", F.col("owner").alias("rank"), F.col("rank").alias("position")).where(F.col("position") >= offset)
 
 
+def random_unsharded(spark: SparkSession, total: int, consumed: int, micro: int, ranks: int) -> DataFrame:
+    """(idx, rank, nth): one keyed order over all rows of the epoch, dealt to the ranks in turn from where the consumed samples end.
+
+    Whole micro batches take part; a rank's last incomplete one is dropped.
+    """
+    batch = micro * ranks
+    active = total - total % batch
+    epoch, offset = consumed // active, consumed % active
+    if offset % batch:
+        raise ValueError("consumed samples are whole batches of all ranks")
+    n = total // micro * micro
+    rows = spark.range(0, n).select(F.col("id").alias("idx"), F.lit(0).alias("whole"))
+    placed = keyed_rank(rows, "whole", keyed(F.col("idx"), epoch), "idx").where(F.col("rank") >= offset)
+    dealt = placed.select("idx", ((F.col("rank") - offset) % ranks).alias("owner"), F.expr(f"(rank - {offset}) div {ranks}").alias("nth"))
+    # Rank r gets the places r, r + ranks, ...: so many in all, of which whole micro batches count.
+    held = F.floor((F.lit(n - offset - 1) - F.col("owner")) / ranks) + 1
+    return dealt.where(F.col("nth") < F.floor(held / micro) * micro).select("idx", F.col("owner").alias("rank"), "nth")
+
+
+def block_mapping(spark: SparkSession, size: int, number: int, block: int, seed: int, shuffle: bool = True, truncate: bool = False) -> DataFrame:
+    """(position, sample) of a mapping of ``number`` samples: blocks in a keyed order, rows within a block in one of their own.
+
+    The blocks cover ``number`` or ``size`` samples, whichever is more, so fewer samples than rows are drawn from all rows. With ``truncate``
+    an incomplete last block goes.
+    """
+    block, need = min(block, size), max(number, size)
+    tail = need % block
+    if truncate and tail:
+        number, need, tail = number - tail if need == number else number, need - tail, 0
+    blocks = spark.range(0, -(-need // block)).select(F.col("id").alias("block"), F.lit(0).alias("whole"))
+    order = keyed_rank(blocks, "whole", keyed(F.col("block"), seed), "block") if shuffle else blocks.withColumn("rank", F.col("block"))
+    # The incomplete block is the last one by number; blocks behind it in the order begin so much earlier.
+    last = order.where(F.col("block") == -(-need // block) - 1).select(F.col("rank").alias("last"))
+    begins = F.col("rank") * block - F.when(F.col("rank") > F.col("last"), block - tail if tail else 0).otherwise(0)
+    starts = order.join(F.broadcast(last)).select("block", F.col("rank").alias("nth"), begins.alias("begins"))  # one row
+    rows = spark.range(0, need).select(F.col("id"), F.floor(F.col("id") / block).cast("long").alias("block")).join(starts, "block")
+    key = keyed(F.col("id"), F.col("nth") + seed) if shuffle else F.lit("")
+    place = F.row_number().over(Window.partitionBy("block").orderBy(key, "id")).cast("long") - 1
+    return rows.select((F.col("begins") + place).alias("position"), (F.col("id") % size).alias("sample")).where(F.col("position") < number)
+
+
+def positions(mapping: DataFrame, number: int, start: int | None = None, stop: int | None = None, step: int | None = None) -> DataFrame:
+    """The samples of a slice of a mapping of ``number`` samples, by the rules of Python's slices; adds ``nth``, their order."""
+    chosen = range(*slice(start, stop, step).indices(number))
+    if not len(chosen):
+        return mapping.where(F.lit(False)).withColumn("nth", F.lit(0).cast("long"))
+    low, high, width = min(chosen[0], chosen[-1]), max(chosen[0], chosen[-1]), abs(chosen.step)
+    nth = F.expr(f"(position - {chosen[0]}) div {chosen.step}").cast("long")
+    return mapping.where((F.col("position") >= low) & (F.col("position") <= high) & ((F.col("position") - low) % width == 0)).withColumn("nth", nth)
+
+
+def position(mapping: DataFrame, number: int, index: int) -> int:
+    """The sample at one place, counted from the end if it is negative; a place outside of the mapping is an error."""
+    if not -number <= index < number:
+        raise IndexError("index out of range")
+    return mapping.where(F.col("position") == index % number).first()["sample"]
+
+
+def offline_map(spark: SparkSession, size: int, seed: int, epochs: int | None = None, most: int | None = None) -> DataFrame:
+    """(position, sample, epoch): as many passes over the rows as are asked for, or give ``most`` samples, all in one keyed order."""
+    if epochs is None and most is None:
+        raise ValueError("a map ends by its epochs or by its samples")
+    passes = epochs if epochs is not None else -(-most // size)
+    n = passes * size if most is None else min(most, passes * size)
+    rows = spark.range(0, n).select(F.col("id"), (F.col("id") % size).alias("sample"), F.floor(F.col("id") / size).cast("long").alias("epoch"), F.lit(0).alias("whole"))
+    return keyed_rank(rows, "whole", keyed(F.col("id"), seed), "id").select(F.col("rank").alias("position"), "sample", "epoch")
+
+
 def block_shuffle(spark: SparkSession, size: int, number: int, block: int, seed: int) -> DataFrame:
     """(block, place, sample): blocks in a keyed order, rows within a block in a keyed order, samples modulo the data's size."""
     need = max(number, size)

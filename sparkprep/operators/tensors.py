@@ -44,6 +44,39 @@ def qkv_part(row: Column, heads: int, groups: int, dim: int) -> tuple[Column, Co
     return part, own.cast("long")
 
 
+def gated_qkv_place(row: Column, heads: int, groups: int, dim: int, part: str) -> Column:
+    """Where a row stands when every group has its queries, their gates, key and value. Parts are q, g (a gate row for each head row), k and v."""
+    each = heads // groups
+    head, block = F.floor(row / dim).cast("long"), (2 * each + 2) * dim
+    if part in "qg":
+        return (F.floor(head / each) * block + (head % each + (each if part == "g" else 0)) * dim + row % dim).cast("long")
+    return (head * block + (2 * each + int(part == "v")) * dim + row % dim).cast("long")
+
+
+def cut_kind(module: Column, fixed: dict[str, str] | None = None) -> Column:
+    """How a module's weights are cut over ranks, by its class name: column, row or replicated; ``fixed`` names exceptions. An unknown one is an error."""
+    kind = F.when(module.rlike("ColumnParallel|VocabParallelEmbedding|DotProductAttention|CrossEntropy"), "column").when(module.contains("RowParallel"), "row").when(module.rlike("Norm|Router|^IdentityOp$|LinearForLastLayer"), "replicated")
+    for name, value in (fixed or {}).items():
+        kind = F.when(module == name, value).otherwise(kind)
+    return F.coalesce(kind, F.raise_error(F.concat(F.lit("no known way to cut "), module)).cast("string"))
+
+
+def cut_place(kind: Column, row: Column, col: Column, rows: int, cols: int, ranks: int) -> Column:
+    """The rank that holds a cell of a weight by its kind; null where every rank does, as for vectors of row-cut modules."""
+    by_row, by_col = column_shard(row, rows, ranks)[0], column_shard(col, cols, ranks)[0]
+    return F.when(kind == "column", by_row).when((kind == "row") & F.lit(cols > 1), by_col)
+
+
+def unstacked(stacks: DataFrame, group: str, values: str) -> DataFrame:
+    """(group, index, value): the parts of stacked experts, each a row."""
+    return stacks.select(group, F.posexplode(values).alias("index", "value")).select(group, F.col("index").cast("long").alias("index"), "value")
+
+
+def transposed(matrix: DataFrame) -> DataFrame:
+    """(row, col, value) with rows and columns exchanged."""
+    return matrix.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+
+
 def kv_place(row: Column, dim: int, part: str) -> Column:
     """Where a row of keys or values stands when the groups alternate."""
     return ((F.floor(row / dim) * 2 + int(part == "v")) * dim + row % dim).cast("long")
@@ -65,15 +98,19 @@ def interleave_place(row: Column, rows: int, block: int) -> Column:
 def int4_quantise(values: Column) -> Column:
     """struct<scale, packed>: eight 4-bit numbers in each int32, the least place first; scale is the magnitude / 7, not under 1e-10."""
     scale = F.greatest(F.array_max(F.transform(values, lambda x: F.abs(x.cast("double")))) / 7, F.lit(1e-10))
-    small = F.transform(values, lambda x: F.greatest(F.least(F.rint(x.cast("double") / scale), F.lit(7.0)), F.lit(-8.0)).cast("long") + 8)
-    words = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / 8)), lambda w: F.aggregate(F.slice(small, (w * 8 + 1).cast("int"), 8), F.struct(F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("p")), lambda s, x: F.struct((s["v"] + x * s["p"]).alias("v"), (s["p"] * 16).alias("p")), lambda s: s["v"]))
-    return F.struct(scale.alias("scale"), words.alias("packed"))
+
+    def packed(v: Column) -> Column:
+        small = lambda i: F.coalesce(F.greatest(F.least(F.rint(F.get(v["x"], i).cast("double") / v["s"]), F.lit(7.0)), F.lit(-8.0)).cast("long") + 8, F.lit(0).cast("long"))
+        word = lambda w: sum((F.shiftleft(small(w * 8 + k), 4 * k) for k in range(1, 8)), small(w * 8))
+        return F.struct(v["s"].alias("scale"), F.transform(F.sequence(F.lit(0), F.floor((F.size(v["x"]) - 1) / 8).cast("int")), word).alias("packed"))
+
+    return F.transform(F.array(F.struct(values.alias("x"), scale.alias("s"))), packed)[0]
 
 
 def int4_dequantise(packed: Column, scale: Column, size: Column) -> Column:
     """The values that ``int4_quantise`` packed."""
-    digits = F.flatten(F.transform(packed, lambda w: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(F.floor(w / F.pow(F.lit(16.0), k)), F.lit(16)) - 8)))
-    return F.transform(F.slice(digits, F.lit(1), size), lambda x: x * scale)
+    nibbles = lambda w: F.array(*(F.shiftright(w, 4 * k).bitwiseAND(F.lit(15)) for k in range(8)))
+    return F.transform(F.slice(F.flatten(F.transform(packed, nibbles)), F.lit(1), size), lambda x: (x - 8) * scale)
 
 
 def fp4_dequantise(packed: Column, exponent: Column) -> Column:
@@ -126,7 +163,7 @@ def compared(a: Column, b: Column) -> dict[str, Column]:
 
 def shard_files(files: DataFrame, name: str, savers: int) -> DataFrame:
     """Adds ``saver``: file i in the order of names goes to saver i mod savers. A list of files, not of rows."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)).cast("long") - 1
+    place = F.row_number().over(Window.orderBy(name)).cast("long") - 1
     return files.withColumn("saver", place % savers)
 
 
@@ -178,3 +215,13 @@ def shared_norm(rows: DataFrame, name: str, group: Column, value: Column) -> Dat
     """(group, norm) over different parameters: one that several ranks hold counts once."""
     held = rows.groupBy(name, group.alias("group")).agg(F.max(value).alias("v"))
     return held.groupBy("group").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+
+
+def zero_centred(weights: Column) -> Column:
+    """Weights of a norm as they are stored around 0: less 1."""
+    return F.transform(weights, lambda x: x - 1)
+
+
+def from_zero_centred(stored: Column) -> Column:
+    """Weights of a norm from those stored around 0."""
+    return F.transform(stored, lambda x: x + 1)

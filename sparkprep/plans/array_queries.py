@@ -26,9 +26,9 @@ def ceil_multiple(spark: SparkSession, folder: str) -> DataFrame:
     return tokens(spark, folder).select("id", A.ceil_to_multiple(n, 16).alias("multiple"), A.ceil_to_power_of_two(n).alias("power"))
 
 
-@query("array_pad_right", D + "SELECT id, list_concat(ids, list_transform(range(greatest(64 - len(ids), 0)), lambda x: CAST(0 AS BIGINT))) AS padded FROM d WHERE len(ids) < 200")
+@query("array_pad_right", D + "SELECT id, list_concat(ids, list_transform(range(greatest(64 - len(ids), 0)), lambda x: CAST(0 AS BIGINT))) AS padded FROM d")
 def pad_right(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens(spark, folder).where(F.size("ids") < 200).select("id", A.pad_right(F.col("ids"), 64, 0).alias("padded"))
+    return tokens(spark, folder).select("id", A.pad_right(F.col("ids"), 64, 0).alias("padded"))
 
 
 @query("array_pad_or_cut", D + "SELECT id, list_concat(ids[1:100], list_transform(range(greatest(64 - len(ids), 0)), lambda x: CAST(0 AS BIGINT))) AS padded FROM d")
@@ -43,10 +43,10 @@ def truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "array_loss_masks",
-    D + "SELECT id, list_transform(ids[1:40], lambda x, i: CAST(i - 1 >= 5 AS BIGINT)) AS answer, list_transform(ids[1:40], lambda x, i: CAST(i - 1 >= 4 AND i < len(ids[1:40]) AS BIGINT)) AS packed FROM d",
+    D + "SELECT id, list_transform(ids, lambda x, i: CAST(i - 1 >= 5 AS BIGINT)) AS answer, list_transform(ids, lambda x, i: CAST(i - 1 >= 4 AND i < len(ids) AS BIGINT)) AS packed FROM d",
 )
 def loss_masks(spark: SparkSession, folder: str) -> DataFrame:
-    ids = A.truncate(F.col("ids"), 40)
+    ids = F.col("ids")
     return tokens(spark, folder).select("id", A.answer_mask(ids, F.lit(5)).alias("answer"), A.packed_mask(ids, F.lit(5)).alias("packed"))
 
 
@@ -73,12 +73,12 @@ def find(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "array_boundaries",
     D
-    + """, s AS (SELECT id, list_filter(ids[1:12], lambda x: x > 0) AS l FROM d WHERE len(list_filter(ids[1:12], lambda x: x > 0)) > 0)
+    + """, s AS (SELECT id, list_filter(ids, lambda x: x > 0) AS l FROM d WHERE len(list_filter(ids, lambda x: x > 0)) > 0)
     SELECT id, list_transform(range(len(l) + 1), lambda i: CAST(coalesce(list_sum(l[1:i]), 0) AS BIGINT)) AS cu_seqlens, list_max(l) AS max_seqlen,
     flatten(list_transform(l, lambda n: range(n))) AS position_ids FROM s""",
 )
 def boundaries(spark: SparkSession, folder: str) -> DataFrame:
-    lengths = F.filter(F.slice("ids", 1, 12), lambda x: x > 0)
+    lengths = F.filter("ids", lambda x: x > 0)
     sums = tokens(spark, folder).where(F.size(lengths) > 0).select("id", A.running_sums(lengths).alias("cu_seqlens"))
     padded = sums.withColumn("cu_seqlens", A.cut_at_padding(F.concat("cu_seqlens", F.array_repeat(F.lit(-1).cast("long"), 3))))
     return padded.select("id", "cu_seqlens", F.array_max(A.boundary_lengths(F.col("cu_seqlens"))).alias("max_seqlen"), A.positions_by_segment(F.col("cu_seqlens")).alias("position_ids"))
@@ -92,12 +92,12 @@ def zigzag(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "array_replace_with_copies",
     D
-    + """, s AS (SELECT id, ids[1:30] AS a FROM d)
+    + """, s AS (SELECT id, ids AS a FROM d)
     SELECT id, flatten(list_transform(a, lambda x, i: CASE WHEN x = 3 THEN list_transform(range(1 + len(list_filter(a[1:i], lambda y: y = 3)) % 3), lambda z: x) ELSE [x] END)) AS expanded FROM s""",
 )
 def replace_with_copies(spark: SparkSession, folder: str) -> DataFrame:
-    counts = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: 1 + k % 3)
-    return tokens(spark, folder).select("id", A.replace_with_copies(F.slice("ids", 1, 30), 3, counts).alias("expanded"))
+    counts = F.transform(F.sequence(F.lit(1), F.size("ids")), lambda k: 1 + k % 3)
+    return tokens(spark, folder).select("id", A.replace_with_copies(F.col("ids"), 3, counts).alias("expanded"))
 
 
 @query("array_bad_values", "SELECT vec_id, list_bool_or(list_transform(embedding, lambda x: isnan(x) OR abs(x) > 0.3)) AS bad FROM embeddings")
@@ -108,13 +108,13 @@ def bad_values(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "array_runs",
     D
-    + """, e AS (SELECT id, ids[1:60] AS a, unnest(range(1, 1 + least(len(ids), 60))) AS i FROM d),
+    + """, e AS (SELECT id, ids AS a, unnest(range(1, 1 + len(ids))) AS i FROM d),
     m AS (SELECT id, i, a[i] AS v, CASE WHEN i = 1 OR a[i] <> a[i - 1] THEN 1 ELSE 0 END AS f FROM e),
     g AS (SELECT *, sum(f) OVER (PARTITION BY id ORDER BY i) AS r FROM m)
     SELECT id, min(i) - 1 AS run_start, max(i) AS run_end, min(v) AS run_value FROM g GROUP BY id, r""",
 )
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    found = tokens(spark, folder).select("id", F.explode(A.runs(F.slice("ids", 1, 60))).alias("r"))
+    found = tokens(spark, folder).select("id", F.explode(A.runs(F.col("ids"))).alias("r"))
     return found.select("id", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.value").alias("run_value"))
 
 
@@ -127,12 +127,12 @@ def valid_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "array_random_mask",
     D
-    + """, e AS (SELECT id, unnest(ids[1:50]) AS token, unnest(range(least(len(ids), 50))) AS place FROM d)
+    + """, e AS (SELECT id, unnest(ids) AS token, unnest(range(len(ids))) AS place FROM d)
     SELECT id, place, CASE WHEN substr(md5(id || '-' || place || '-7'), 1, 4) < '4000' THEN -1 ELSE token END AS token FROM e""",
 )
 def random_mask(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens masked with a chance of a quarter, drawn by a keyed hash."""
-    rows = tokens(spark, folder).select("id", F.posexplode(F.slice("ids", 1, 50)).alias("place", "token"))
+    rows = tokens(spark, folder).select("id", F.posexplode("ids").alias("place", "token"))
     draw = F.substring(F.md5(F.concat_ws("-", "id", "place", F.lit(7))), 1, 4)
     return rows.select("id", F.col("place").cast("long").alias("place"), F.when(draw < "4000", F.lit(-1).cast("long")).otherwise(F.col("token")).alias("token"))
 
@@ -145,17 +145,17 @@ def compare(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "array_microbatch_split",
-    D + "SELECT id, ids[1:8] AS part_0, ids[9:16] AS part_1 FROM d WHERE len(ids) >= 16",
+    D + "SELECT id, ids[1:(len(ids) + 1) // 2] AS part_0, ids[(len(ids) + 1) // 2 + 1:] AS part_1 FROM d",
 )
 def microbatch_split(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 16 places of each array in two equal parts."""
-    return tokens(spark, folder).where(F.size("ids") >= 16).select("id", *(F.slice("ids", 1 + 8 * k, 8).alias(f"part_{k}") for k in range(2)))
+    """Each array in two parts, the first one longer where its length is odd."""
+    return tokens(spark, folder).select("id", *(A.micro_part(F.col("ids"), k, 2).alias(f"part_{k}") for k in range(2)))
 
 
 @query(
     "array_sub_array_positions_with_resets",
     D
-    + """, e AS (SELECT id, unnest(ids[1:80]) AS token, unnest(range(least(len(ids), 80))) AS place FROM d),
+    + """, e AS (SELECT id, unnest(ids) AS token, unnest(range(len(ids))) AS place FROM d),
     g AS (SELECT *, coalesce(sum(CASE WHEN token = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM e)
     SELECT id, place, CAST(segment AS BIGINT) AS segment, row_number() OVER (PARTITION BY id, segment ORDER BY place) - 1 AS position_id FROM g""",
 )
@@ -163,7 +163,7 @@ def positions_with_resets(spark: SparkSession, folder: str) -> DataFrame:
     """Position ids that restart after each end token (2); the segment number blocks attention across it."""
     from pyspark.sql import Window
 
-    rows = tokens(spark, folder).select("id", F.posexplode(F.slice("ids", 1, 80)).alias("place", "token"))
+    rows = tokens(spark, folder).select("id", F.posexplode("ids").alias("place", "token"))
     before = F.sum((F.col("token") == 2).cast("long")).over(Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("segment", F.coalesce(before, F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("id", "segment").orderBy("place")).cast("long") - 1

@@ -11,9 +11,10 @@ from sparkprep.operators import batches as B
 from sparkprep.operators import packing as P
 from sparkprep.operators import sampling as S
 from sparkprep.plans.array_queries import D, tokens
+from sparkprep.plans.packing_sql import first_fit_sql
 from sparkprep.plans.registry import query, read
 
-SHORT = D + ", s AS (SELECT id, id // 4 AS batch, ids[1:10] AS x FROM d) "
+WHOLE = D + ", s AS (SELECT id, id // 4 AS batch, ids AS x FROM d) "
 
 
 @query("batch_gathered", "WITH c AS (SELECT count(*) AS n FROM documents), m AS (SELECT n, unnest(range((n + 63) // 64 * 64)) AS i FROM c) SELECT i // 64 AS step, CASE WHEN i < n THEN i ELSE -1 END AS sample, d.lang, i >= n AS is_padding FROM m LEFT JOIN documents d ON d.doc_id = i")
@@ -25,21 +26,21 @@ def gathered(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "batch_packed",
-    SHORT
+    WHOLE
     + """SELECT batch, flatten(list(list_concat(x, list_transform(range((4 - len(x) % 4) % 4), lambda k: CAST(0 AS BIGINT))) ORDER BY id)) AS input_ids,
     flatten(list(list_concat(range(len(x)), range((4 - len(x) % 4) % 4)) ORDER BY id)) AS position_ids,
     flatten(list(list_concat(list_transform(x, lambda k: CAST(1 AS BIGINT)), list_transform(range((4 - len(x) % 4) % 4), lambda k: CAST(0 AS BIGINT))) ORDER BY id)) AS loss_mask,
     list_concat([CAST(0 AS BIGINT)], list_transform(range(1, count(*) + 1), lambda k: CAST(list_sum(list((len(x) + 3) // 4 * 4 ORDER BY id)[1:k]) AS BIGINT))) AS cu_seqlens FROM s GROUP BY batch""",
 )
 def packed(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tokens(spark, folder).select("id", F.expr("id div 4").alias("batch"), A.pad_right(F.slice("ids", 1, 10), 12, 0).alias("x"))
+    rows = tokens(spark, folder).select("id", F.expr("id div 4").alias("batch"), A.pad_right(F.col("ids"), 12, 0).alias("x"))
     return B.packed_batches(rows, "batch", "id", "x", 0, 4).select("batch", "input_ids", "position_ids", "loss_mask", "cu_seqlens")
 
 
-@query("batch_zigzag_parts", D + "SELECT id, list_concat(ids[3:4], ids[13:14]) AS part, ids[5:8] AS slice FROM d WHERE len(ids) >= 16")
+@query("batch_zigzag_parts", D + "SELECT id, list_concat(ids[len(ids) // 8 + 1:len(ids) // 8 * 2], ids[len(ids) // 8 * 6 + 1:len(ids) // 8 * 7]) AS part, CASE WHEN len(ids) % 4 = 0 THEN ids[len(ids) // 4 + 1:len(ids) // 4 * 2] ELSE ids END AS slice FROM d")
 def zigzag_parts(spark: SparkSession, folder: str) -> DataFrame:
-    ids = F.slice("ids", 1, 16)
-    return tokens(spark, folder).where(F.size("ids") >= 16).select("id", B.zigzag_part(ids, 1, 4).alias("part"), B.rank_slice(ids, 1, 4).alias("slice"))
+    ids = F.col("ids")
+    return tokens(spark, folder).select("id", B.zigzag_part(ids, 1, 4).alias("part"), B.rank_slice(ids, 1, 4).alias("slice"))
 
 
 @query("batch_padded_for_packing", D + "SELECT id, list_concat(ids[1:least((len(ids) + 15) // 16 * 16, 100)], list_transform(range(greatest(least((len(ids) + 15) // 16 * 16, 100) - len(ids) + 1, 0)), lambda k: CAST(0 AS BIGINT))) AS padded FROM d")
@@ -47,9 +48,13 @@ def padded_for_packing(spark: SparkSession, folder: str) -> DataFrame:
     return tokens(spark, folder).select("id", B.padded_for_packing(F.col("ids"), 16, 100, 0).alias("padded"))
 
 
-@query("batch_selected_and_merged")
+@query(
+    "batch_selected_and_merged",
+    first_fit_sql(256) + """, i AS (SELECT doc_id AS id, list_transform(string_split(text, ' '), lambda x: CAST(length(x) AS BIGINT)) AS ids FROM documents)
+    SELECT f.bin, array_to_string(list(f.id ORDER BY f.id), ',') AS keys, flatten(list(i.ids ORDER BY f.id)) AS "values" FROM fitted f JOIN i ON i.id = f.id GROUP BY f.bin""",
+)
 def selected_and_merged(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tokens(spark, folder).select("id", F.slice("ids", 1, 50).alias("ids")).withColumn("length", F.size("ids").cast("long"))
+    rows = tokens(spark, folder).withColumn("length", F.size("ids").cast("long"))
     return B.selected_and_merged(P.assign_bins(rows, 256), "id", "ids")
 
 
@@ -73,12 +78,11 @@ def collapsed(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "batch_segments",
     D
-    + """, e AS (SELECT id, unnest(ids[1:60]) AS t, unnest(range(least(len(ids), 60))) AS p FROM d), g AS (SELECT *, coalesce(sum(CASE WHEN t = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e)
+    + """, e AS (SELECT id, unnest(ids) AS t, unnest(range(len(ids))) AS p FROM d), g AS (SELECT *, coalesce(sum(CASE WHEN t = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e)
     SELECT id, CAST(s AS BIGINT) AS segment, list(t ORDER BY p) AS ids FROM g GROUP BY id, s""",
 )
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    cut = tokens(spark, folder).select("id", F.slice("ids", 1, 60).alias("ids"))
-    return B.segments(cut, "id", "ids", 2).select("id", F.col("segment").cast("long").alias("segment"), "ids")
+    return B.segments(tokens(spark, folder), "id", "ids", 2).select("id", F.col("segment").cast("long").alias("segment"), "ids")
 
 
 @query("media_grids", "SELECT p_partkey, [p_size // 2, (p_size * 7) // 14, (p_size * 9) // 14] AS grid, CAST(p_size * ((p_size * 7) // 2) * ((p_size * 9) // 2) AS BIGINT) AS tokens FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)")
@@ -89,11 +93,20 @@ def grids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "media_adjusted_runs",
-    SHORT + "SELECT id, flatten(list_transform(list_filter(list_transform(x, lambda v, i: CASE WHEN v <> 3 OR i = 1 OR x[i - 1] <> 3 THEN v END), lambda v: v IS NOT NULL), lambda v: CASE WHEN v = 3 THEN [v, v] ELSE [v] END)) AS adjusted FROM s",
+    D
+    + """, r AS (SELECT id, ids, id % 5 + 1 AS m, id % 9 AS n, len(ids) // 2 AS h FROM d),
+    k AS (SELECT *, CASE WHEN n > m + 2 THEN n WHEN n < m + 2 THEN least(n, m) ELSE m END AS kept FROM r)
+    SELECT id, list_concat(list_concat(list_concat(ids[1:h], [CAST(-1 AS BIGINT)]), list_transform(range(kept), lambda x: CAST(-9 AS BIGINT))), list_concat([CAST(-2 AS BIGINT)], ids[h + 1:])) AS adjusted,
+    list_concat(list_concat(list_concat(list_transform(ids[1:h], lambda x: CAST(1 AS BIGINT)), [CAST(1 AS BIGINT)]), list_transform(range(kept), lambda x: CAST(CASE WHEN x < greatest(n - m, 0) AND n > m + 2 THEN -9 ELSE 1 END AS BIGINT))), list_concat([CAST(1 AS BIGINT)], list_transform(ids[h + 1:], lambda x: CAST(1 AS BIGINT)))) AS mask FROM k""",
 )
 def adjusted(spark: SparkSession, folder: str) -> DataFrame:
-    short = tokens(spark, folder).select("id", F.slice("ids", 1, 10).alias("x"))
-    return short.select("id", M.adjusted_runs(F.col("x"), 3, 2).alias("adjusted"))
+    """A run of id % 5 + 1 media tokens amid each document, made to fit id % 9; the mask follows."""
+    mark = lambda x: F.array(F.lit(x).cast("long"))
+    half = F.floor(F.size("ids") / 2).cast("int")
+    media = F.array_repeat(F.lit(-9).cast("long"), (F.col("id") % 5 + 1).cast("int"))
+    rows = tokens(spark, folder).select("id", F.concat(F.slice("ids", F.lit(1), half), mark(-1), media, mark(-2), F.slice("ids", half + 1, F.size("ids"))).alias("x"))
+    found, mask = M.adjusted_runs(F.col("x"), F.array(F.col("id") % 9), -1, -2, F.transform("x", lambda _: F.lit(1).cast("long")))
+    return rows.select("id", found.alias("adjusted"), mask.alias("mask"))
 
 
 @query("media_grid_positions", "SELECT s_suppkey, list_transform(range(12), lambda i: [i // 6 + s_suppkey, i // 3 % 2 + s_suppkey, i % 3 + s_suppkey]) AS places FROM supplier")
@@ -102,16 +115,23 @@ def grid_positions(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "supplier").select("s_suppkey", F.transform(found, lambda p: F.array(p["t"], p["h"], p["w"])).alias("places"))
 
 
-@query("media_mask_positions", SHORT + "SELECT id, list_transform(x, lambda v, i: CAST(len(list_filter(x[1:i], lambda w: w > 2)) - 1 AS BIGINT)) AS positions FROM s")
+@query("media_mask_positions", WHOLE + ", e AS (SELECT id, unnest(x) AS t, unnest(range(len(x))) AS p FROM s), c AS (SELECT id, p, CAST(sum(CASE WHEN t > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY p ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS n FROM e) SELECT id, list(n ORDER BY p) AS positions FROM c GROUP BY id")
 def mask_positions(spark: SparkSession, folder: str) -> DataFrame:
-    mask = F.transform(F.slice("ids", 1, 10), lambda x: (x > 2).cast("long"))
+    mask = F.transform("ids", lambda x: (x > 2).cast("long"))
     return tokens(spark, folder).select("id", mask.alias("m")).select("id", M.mask_positions(F.col("m")).alias("positions"))
 
 
-@query("media_fitted_sizes", "SELECT p_partkey, CAST(round(p_size * 16 * least(640.0::DOUBLE / (p_size * 16), 480.0::DOUBLE / (p_size * 9))) AS BIGINT) AS w, CAST(round(p_size * 9 * least(640.0::DOUBLE / (p_size * 16), 480.0::DOUBLE / (p_size * 9))) AS BIGINT) AS h FROM part")
+@query(
+    "media_fitted_sizes",
+    """WITH s AS (SELECT p_partkey, p_size * 37 AS w, p_partkey % 97 + 1 AS h FROM part), a AS (SELECT *, w::DOUBLE / greatest(h, 1) AS r FROM s)
+    SELECT p_partkey, CASE WHEN r > 640 / 480::DOUBLE THEN 640 ELSE floor(480 * r)::BIGINT END AS w, CASE WHEN r > 640 / 480::DOUBLE THEN floor(640 / r)::BIGINT ELSE 480 END AS h,
+    CASE WHEN r > 640 / 480::DOUBLE THEN floor(480 * r)::BIGINT ELSE 640 END AS fill_w, CASE WHEN r > 640 / 480::DOUBLE THEN 480 ELSE floor(640 / r)::BIGINT END AS fill_h FROM a""",
+)
 def fitted(spark: SparkSession, folder: str) -> DataFrame:
-    w, h = M.fitted(F.col("p_size") * 16, F.col("p_size") * 9, 640, 480)
-    return read(spark, folder, "part").select("p_partkey", w.alias("w"), h.alias("h"))
+    size = F.col("p_size") * 37, F.col("p_partkey") % 97 + 1
+    w, h = M.fitted(*size, 640, 480)
+    fill_w, fill_h = M.fitted(*size, 640, 480, True)
+    return read(spark, folder, "part").select("p_partkey", w.alias("w"), h.alias("h"), fill_w.alias("fill_w"), fill_h.alias("fill_h"))
 
 
 @query("media_time_steps", "WITH u AS (SELECT p_partkey, CAST(('0x' || substr(md5(p_partkey || '-3'), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM part) SELECT p_partkey, round(CASE WHEN u > 0 THEN 3.0 / (3.0 + 1 / u - 1) ELSE 0 END, 6) AS sigma FROM u")
@@ -128,7 +148,7 @@ def weighted_error(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "media_block_mask",
-    "WITH p AS (SELECT q, k, q % 8 // 2 AS bq, k % 8 // 2 AS bk FROM range(16) a(q), range(16) b(k)) SELECT q, count(*) AS seen, sum(k)::BIGINT AS places FROM p WHERE (q < 8 AND k < 8 AND bq = bk) OR (q < 8 AND k >= 8 AND bk < bq) OR (q >= 8 AND k >= 8 AND bk <= bq) GROUP BY q",
+    "WITH p AS (SELECT q, k, q % 8 // 2 AS bq, k % 8 // 2 AS bk FROM range(16) a(q), range(16) b(k)) SELECT q, count(*) AS seen, sum(k)::BIGINT AS places FROM p WHERE (q < 8 AND k < 8 AND bq = bk) OR (q < 8 AND k >= 8 AND bk < bq) OR (q >= 8 AND k >= 8 AND k <= q) GROUP BY q",
 )
 def block_mask(spark: SparkSession, folder: str) -> DataFrame:
     cells = spark.range(256).select(F.expr("id div 16").alias("q"), (F.col("id") % 16).alias("k"))

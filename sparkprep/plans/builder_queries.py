@@ -15,13 +15,13 @@ from sparkprep.plans.registry import query, read
 
 @query(
     "job_tuning_data",
-    """WITH d AS (SELECT doc_id, len(string_split(text, ' ')) AS n, substr(md5(doc_id || '-6'), 1, 8) AS h FROM documents WHERE len(string_split(text, ' ')) <= 1024),
+    """WITH d AS (SELECT doc_id, len(string_split(text, ' ')) AS n, substr(md5(doc_id || '-6'), 1, 8) AS h FROM documents),
     s AS (SELECT n, CASE WHEN h < printf('%08x', CAST(floor(0.8 * 4294967296) AS BIGINT)) THEN 'train' WHEN h < printf('%08x', CAST(floor(0.9 * 4294967296) AS BIGINT)) THEN 'validation' ELSE 'test' END AS split FROM d) SELECT split, sum(n)::BIGINT AS tokens FROM s GROUP BY split""",
 )
 def job_tuning_data(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens of each split after the whole job: filtered, split, packed (but for the test split)."""
+    """Tokens of each split after the whole job: split, packed (but for the test split)."""
     rows = tokens(spark, folder).withColumn("input_ids", F.col("ids").cast("array<int>")).withColumn("loss_mask", F.transform("ids", lambda _: F.lit(1)))
-    config = builders.TuningData(rows.select("id", "input_ids", "loss_mask"), F.size("input_ids") <= 1024, None, {"train": 0.8, "validation": 0.1, "test": 0.1}, builders.PackingConfig(2048), 6)
+    config = builders.TuningData(rows.select("id", "input_ids", "loss_mask"), None, None, {"train": 0.8, "validation": 0.1, "test": 0.1}, builders.PackingConfig(2048), 6)
     parts = builders.build(spark, config)
     first, *rest = (df.agg(F.sum(F.size("input_ids")).alias("tokens")).select(F.lit(name).alias("split"), "tokens") for name, df in parts.items())
     for df in rest:
@@ -36,24 +36,9 @@ def weighted_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("pack_first_fit_shuffled")
 def first_fit_shuffled(spark: SparkSession, folder: str) -> DataFrame:
-    """First fit in shuffled order within blocks of rows: each block is packed by itself, so no task holds more than a block."""
+    """First fit of all documents in shuffled order, by blocks: no SQL, as tests hold it against a plain loop."""
     rows = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.size(F.split("text", " ", -1)).cast("long").alias("length"))
-    blocks = rows.withColumns({"block": F.expr("id div 512"), "key": builders.shuffled_order(F.col("id"), 3)})
-    held = blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("key", "length", "id"))).alias("r"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for block, ids, lengths in zip(*(c.to_pylist() for c in batch.columns)):
-                waiting: dict[int, list[int]] = {}
-                for i, n in zip(ids, lengths):
-                    waiting.setdefault(n, []).append(i)
-                bins = packing.first_fit(lengths, 8192)
-                flat = [(block, k, waiting[n].pop(0), n) for k, held_ in enumerate(bins) for n in held_]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], ["block", "bin", "id", "length"])
-
-    return held.select("block", F.col("r.id").alias("ids"), F.col("r.length").alias("lengths")).mapInArrow(run, "block long, bin long, id long, length long")
+    return packing.first_fit_shuffled(rows, 8192, seed=3)
 
 
 @query(
@@ -99,9 +84,11 @@ def shared_norm(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("group", F.round("norm", 4).alias("norm"))
 
 
-@query("tensor_zero_centred", "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) - 1, 6)) AS stored FROM embeddings")
+@query("tensor_zero_centred", "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) - 1, 6)) AS stored, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS loaded FROM embeddings")
 def zero_centred(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") - 1, 6)).alias("stored"))
+    stored = X.zero_centred(F.transform("embedding", lambda x: x.cast("double")))
+    rounded = lambda a: F.transform(a, lambda x: F.round(x, 6) + 0.0)
+    return read(spark, folder, "embeddings").select("vec_id", rounded(stored).alias("stored"), rounded(X.from_zero_centred(stored)).alias("loaded"))
 
 
 @query("metric_memory_regression", "SELECT l_returnflag, round((max(l_extendedprice) - 90000.0) / 90000.0, 6) AS difference, (max(l_extendedprice) - 90000.0) / 90000.0 <= 0.05 AS passed FROM lineitem GROUP BY 1")
@@ -112,9 +99,7 @@ def memory_regression(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.round(difference, 6).alias("difference"), (difference <= 0.05).alias("passed"))
 
 
-@query("batch_unpadded", D + "SELECT id, ids[1:20] AS x FROM d")
+@query("batch_unpadded", D + "SELECT id, ids[1:coalesce(list_max(list_filter(range(1, len(ids) + 1), lambda i: ids[i] <> 2)), 0)] AS x FROM d")
 def unpadded(spark: SparkSession, folder: str) -> DataFrame:
-    """Right padding put on and taken off."""
-    from sparkprep.functions.arrays import pad_right
-
-    return tokens(spark, folder).select("id", B.without_padding(pad_right(F.slice("ids", 1, 20), 32, -1), -1).alias("x"))
+    """Documents without the padding (2) that they end with."""
+    return tokens(spark, folder).select("id", B.without_padding(F.col("ids"), 2).alias("x"))

@@ -25,26 +25,33 @@ def mathematics(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").select("p_partkey", *(v.alias(k) for k, v in made.items()))
 
 
-@query("example_solutions", "SELECT p_partkey, 'Problem: ' || p_name || ' Solution:' AS input, 'so ' || p_size || ' it is' AS output, [p_brand] AS original_answers, 'so' AS thinking FROM part")
+@query(
+    "example_solutions",
+    "SELECT p_partkey, 'Problem: ' || p_name || ' Solution:' AS input, 'so \\boxed{' || p_size || '} it is $\\boxed{{' || p_size || '}}$' AS output, [p_brand] AS original_answers, 'so ' || p_size || ' it is' AS thinking, '#### ' || p_brand AS content, 'no ' || p_name AS unboxed FROM part",
+)
 def solutions(spark: SparkSession, folder: str) -> DataFrame:
-    generated = F.concat(F.lit("so \\boxed{"), "p_size", F.lit("} it is"))
+    generated = F.concat(F.lit("so \\boxed{"), "p_size", F.lit("} it is $\\boxed{{"), "p_size", F.lit("}}$"))
     made = E.solution(F.col("p_name"), generated, F.col("p_brand"))
-    spoken = E.thinking_and_final(F.concat(F.lit("so $\\boxed{"), "p_size", F.lit("}$")), F.col("p_brand"))
-    return read(spark, folder, "part").select("p_partkey", *(v.alias(k) for k, v in made.items()), spoken[0]["thinking"].alias("thinking"))
+    spoken, plain = E.thinking_and_final(generated, F.col("p_brand")), E.thinking_and_final(F.concat(F.lit("no "), "p_name", F.lit(" \n")), F.col("p_brand"))
+    return read(spark, folder, "part").select("p_partkey", *(v.alias(k) for k, v in made.items()), spoken[0]["thinking"].alias("thinking"), spoken[0]["content"].alias("content"), plain[0]["thinking"].alias("unboxed"))
 
 
-@query("example_receipts", "SELECT s_suppkey, '<s_total>' || s_suppkey || '</s_total><s_name>' || s_name || '</s_name>' AS tags FROM supplier")
+@query(
+    "example_receipts",
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 OR CAST('0x' || substr(md5(s_suppkey || '-0'), 1, 8) AS BIGINT) % 2 = 0 THEN '<s_total>' || s_suppkey || '</s_total><s_menu><s_nm>' || s_name || '</s_nm><sep/><s_nm>two</s_nm></s_menu>' ELSE 'plain ' || s_name END AS tags FROM supplier",
+)
 def receipts(spark: SparkSession, folder: str) -> DataFrame:
-    parse = F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("total"))
-    text = F.when(F.col("s_suppkey") % 2 == 0, F.to_json(F.struct(parse.alias("gt_parse")))).otherwise(F.to_json(F.struct(F.array(parse).alias("gt_parses"))))
-    return read(spark, folder, "supplier").select("s_suppkey", E.tagged(E.receipt(text, "name: string, total: bigint"), ["name", "total"]).alias("tags"))
+    """Even suppliers have one parse; odd ones two, of which a keyed draw takes one."""
+    parse = F.struct(F.array(F.struct(F.col("s_name").alias("nm")), F.struct(F.lit("two").alias("nm"))).alias("menu"), F.col("s_suppkey").alias("total"))
+    other = F.concat(F.lit('{"text_sequence":"plain '), "s_name", F.lit('"}'))
+    text = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('{"gt_parse":'), F.to_json(parse), F.lit("}"))).otherwise(F.concat(F.lit('{"gt_parses":['), F.to_json(parse), F.lit(","), other, F.lit("]}")))
+    return read(spark, folder, "supplier").select("s_suppkey", E.receipt(text, F.col("s_suppkey")).alias("tags"))
 
 
-@query("example_first_turn_media", M + "SELECT conv_id, list_transform(messages, lambda x, i: CASE WHEN i = list_position(list_transform(messages, lambda y: y.role), 'user') THEN 'clip.mp4' END) AS media FROM m WHERE len(list_filter(messages, lambda x: length(trim(x.content)) = 0)) = 0")
+@query("example_first_turn_media", M + ", k AS (SELECT conv_id, list_filter(messages, lambda x: length(trim(coalesce(x.content, ''))) > 0) AS said FROM m) SELECT conv_id, list_transform(said, lambda x, i: CASE WHEN i = list_position(list_transform(said, lambda y: y.role), 'user') THEN 'clip.mp4' END) AS media FROM k")
 def first_turn_media(spark: SparkSession, folder: str) -> DataFrame:
-    rows = R.conversations(read(spark, folder, "conversations")).where(F.size(F.filter("messages", lambda x: F.length(F.trim(x["content"])) == 0)) == 0)
     made = E.first_turn_media(F.col("messages"), F.lit("clip.mp4"))
-    return rows.select("conv_id", F.transform(made, lambda x: x["media"]).alias("media"))
+    return R.conversations(read(spark, folder, "conversations")).select("conv_id", F.transform(made, lambda x: x["media"]).alias("media"))
 
 
 @query("example_turn_masks", M + "SELECT conv_id, flatten(list_transform(messages, lambda x, i: list_transform(string_split(x.content, ' '), lambda w, k: CAST(CASE WHEN i = 1 OR (x.role = 'user' AND k > 1) THEN -100 ELSE length(w) END AS BIGINT)))) AS labels FROM m")
@@ -52,12 +59,18 @@ def turn_masks(spark: SparkSession, folder: str) -> DataFrame:
     return R.conversations(read(spark, folder, "conversations")).select("conv_id", E.turn_mask(F.col("messages")).alias("labels"))
 
 
-@query("example_searched_masks")
+@query(
+    "example_searched_masks",
+    D
+    + """, a AS (SELECT id, ids, len(ids) AS n, ids[5:7] AS x, ids[20:23] AS y FROM d),
+    f AS (SELECT *, CASE WHEN len(x) > 0 THEN (SELECT min(p) FROM unnest(range(1, n - len(x) + 2)) t(p) WHERE ids[p:p + len(x) - 1] = x) END AS p1 FROM a),
+    g AS (SELECT *, CASE WHEN len(y) > 0 THEN (SELECT min(p) FROM unnest(range(1, n - len(y) + 2)) t(p) WHERE p > coalesce(p1 + len(x) - 1, 0) AND ids[p:p + len(y) - 1] = y) END AS p2 FROM f)
+    SELECT id, list_transform(range(1, n + 1), lambda i: CAST(coalesce(i BETWEEN p1 AND p1 + len(x) - 1, false) OR coalesce(i BETWEEN p2 AND p2 + len(y) - 1, false) AS BIGINT)) AS mask FROM g""",
+)
 def searched_masks(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers looked for one behind the other: no SQL, as each search begins where the last ended."""
-    short = tokens(spark, folder).select("id", F.slice("ids", 1, 60).alias("ids"))
+    """Two pieces of each document looked for one behind the other."""
     two = F.array(F.slice("ids", 5, 3), F.slice("ids", 20, 4))
-    return short.where(F.size("ids") >= 30).select("id", E.searched_mask(F.col("ids"), two).alias("mask"))
+    return tokens(spark, folder).select("id", E.searched_mask(F.col("ids"), two).alias("mask"))
 
 
 @query("example_options", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE n_name END AS answer FROM nation")
@@ -77,20 +90,17 @@ def subsets(spark: SparkSession, folder: str) -> DataFrame:
     return E.subsets({"suppliers": a, "customers": b}).select("id", "name", "segment", "subset")
 
 
-@query("join_reverse_rule", "SELECT s_suppkey, 'decoder.layers.' || s_suppkey || '.q' AS source_name FROM supplier WHERE s_suppkey % 2 = 0")
+@query("join_reverse_rule", "SELECT s_suppkey, 'decoder.layers.' || s_suppkey || '.q' AS source_name FROM supplier")
 def reverse_rule(spark: SparkSession, folder: str) -> DataFrame:
     name = F.concat(F.lit("model.layers."), "s_suppkey", F.lit(".q.w"))
     rule, target = J.first_rule(name, [("model.layers.*.q.w", "decoder.layers.*.q"), ("rest/**/end", "other.**.x")])
-    return read(spark, folder, "supplier").where("s_suppkey % 2 = 0").where(rule == 0).select("s_suppkey", target.alias("source_name"))
+    return read(spark, folder, "supplier").where(rule == 0).select("s_suppkey", target.alias("source_name"))
 
 
-@query("metric_keys_per_file", "SELECT o_orderkey % 6 AS file, count(*) AS keys, list_sort(list(o_orderkey))[1:3] AS first_keys FROM orders GROUP BY 1")
+@query("metric_keys_per_file", "SELECT l_orderkey AS file, count(*) AS keys, list_sort(list(l_partkey)) AS held FROM lineitem GROUP BY 1")
 def keys_per_file(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "orders").select((F.col("o_orderkey") % 6).alias("file"), "o_orderkey")
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("o_orderkey"))
-    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("keys"))
-    firsts = rows.withColumn("r", rank).where("r <= 3").groupBy("file").agg(F.array_sort(F.collect_list("o_orderkey")).alias("first_keys"))
-    return counts.join(firsts, "file")
+    rows = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("file"), "l_partkey")
+    return J.keys_by_file(rows, "file", "l_partkey").select("file", F.size("keys").cast("long").alias("keys"), F.col("keys").alias("held"))
 
 
 @query("metric_eta", "SELECT event_id, round((event_id + 1) * 2.5 / ((event_id + 1) / 20000.0) * (1 - (event_id + 1) / 20000.0) / 60, 4) AS minutes_left FROM events")
@@ -116,12 +126,12 @@ def progress_log(spark: SparkSession, folder: str) -> DataFrame:
     return held.select("user_id", "event_id", F.sum("tokens").over(w).alias("tokens_since"))
 
 
-@query("source_archives", "SELECT conv_id, turn, text FROM conversations WHERE conv_id < 40")
+@query("source_archives", "SELECT conv_id, turn, text FROM conversations")
 def archives(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as members of tar shards and back; the shards stay in the executors' hands."""
     from sparkprep.sources import archives as A
 
-    rows = read(spark, folder, "conversations").where("conv_id < 40").select(F.concat_ws("_", "conv_id", "turn").alias("key"), F.lit("txt").alias("extension"), F.col("text").cast("binary").alias("content"), (F.col("conv_id") % 3).alias("shard"))
+    rows = read(spark, folder, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("key"), F.lit("txt").alias("extension"), F.col("text").cast("binary").alias("content"), (F.col("conv_id") % 3).alias("shard"))
     shards = A.tar_shards(rows, "key", "shard")
 
     def run(batches):

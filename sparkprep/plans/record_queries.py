@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.functions import text as T
+from sparkprep.operators import examples as E
 from sparkprep.operators import joins as J
 from sparkprep.operators import records as R
 from sparkprep.plans.registry import query, read
 
 
-@query("text_template", "SELECT doc_id, 'Context: ' || coalesce(source, '') || ' Text: ' || substr(text, 1, 40) || chr(10) || 'Answer: ' || lang AS prompt FROM documents")
+@query("text_template", "SELECT doc_id, 'Context: ' || coalesce(source, '') || ' Text: ' || text || chr(10) || 'Answer: ' || lang AS prompt FROM documents")
 def template(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
-    fields = {"source": F.col("source"), "text": F.substring("text", 1, 40), "label": F.col("lang")}
+    fields = {"source": F.col("source"), "text": F.col("text"), "label": F.col("lang")}
     return docs.select("doc_id", T.render("Context: {source} Text: {text}\nAnswer: {label}", fields).alias("prompt"))
 
 
 @query(
     "text_final_answer",
-    "SELECT p_partkey, trim(list_last(string_split(p_name || ' #### ' || p_size || ' ', '####'))) AS answer, 'see ' || p_brand || ' here' AS unboxed, p_brand || ' = ' AS thinking FROM part",
+    "SELECT p_partkey, trim(list_last(string_split(p_name || ' #### ' || p_size || ' ', '####'))) AS answer, 'see ' || p_brand || ' {and} x^{' || p_size || '} or \\boxed{' AS unboxed, p_brand || ' = ' AS thinking FROM part",
 )
 def final_answer(spark: SparkSession, folder: str) -> DataFrame:
     part = read(spark, folder, "part")
     marked = F.concat("p_name", F.lit(" #### "), "p_size", F.lit(" "))
-    boxed = F.concat(F.lit("see \\boxed{"), "p_brand", F.lit("} here"))
+    boxed = F.concat(F.lit("see \\boxed{"), "p_brand", F.lit(" {and} x^{"), "p_size", F.lit("}} or \\boxed{"))
     return part.select("p_partkey", T.final_answer(marked).alias("answer"), T.unboxed(boxed).alias("unboxed"), T.before_last(F.concat("p_brand", F.lit(" = \\boxed{"), "p_size"), "\\boxed").alias("thinking"))
 
 
-@query("text_clean", "SELECT page_id, trim(regexp_replace(replace(replace(replace(html, '&amp;', '&'), '&copy;', 'c'), '&middot;', '.'), '\\s+', ' ', 'g')) AS cleaned FROM pages WHERE html NOT LIKE '%&lt;%' AND html NOT LIKE '%&gt;%' AND html NOT LIKE '%&quot;%' AND html NOT LIKE '%amp;amp;%'")
+DECODED = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query("text_clean", f"SELECT page_id, trim(regexp_replace({DECODED.format(DECODED.format('html'))}, '\\s+', ' ', 'g')) AS cleaned FROM pages")
 def clean(spark: SparkSession, folder: str) -> DataFrame:
-    pages = read(spark, folder, "pages").where(~F.col("html").rlike("&lt;|&gt;|&quot;|amp;amp;"))
-    return pages.select("page_id", T.clean(F.replace(F.replace("html", F.lit("&copy;"), F.lit("c")), F.lit("&middot;"), F.lit("."))).alias("cleaned"))
+    return read(spark, folder, "pages").select("page_id", T.clean(F.col("html")).alias("cleaned"))
 
 
 @query("text_without_marks", "SELECT conv_id, turn, nullif(trim(regexp_replace(text, 'the|and', '', 'g')), '') AS stripped FROM conversations")
@@ -40,28 +45,36 @@ def without_marks(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "conversations").select("conv_id", "turn", T.without_marks(F.col("text"), ("the", "and")).alias("stripped"))
 
 
-@query("text_placeholder_parts", "SELECT doc_id, ['look ', '<image>', ' at ' || source || ' ', '<video>', ' and', '<image>'] AS parts FROM documents")
+@query(
+    "text_placeholder_parts",
+    "SELECT doc_id, list_filter(list_concat(flatten(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i = 1 THEN [x] ELSE ['<image>', x] END)), ['<video>']), lambda x: x <> '') AS parts FROM documents",
+)
 def placeholder_parts(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.concat(F.lit("look <image> at "), "source", F.lit(" <video> and<image>"))
+    """Documents whose line ends are images, with a video behind."""
+    text = F.concat(F.replace("text", F.lit("\n"), F.lit("<image>")), F.lit("<video>"))
     return read(spark, folder, "documents").select("doc_id", T.placeholder_parts(text, ("<image>", "<video>")).alias("parts"))
 
 
-@query("text_metric_keys", "SELECT s_suppkey, 'mem_at_max/rank_' || s_suppkey || '_x_y' AS metric FROM supplier")
+@query("text_metric_keys", "SELECT e.event_id, replace(event_type, '@', '_at_') || '_at_max/' || user_id || '_' || replace(replace(replace(replace(props, '{', '_'), '}', '_'), '\"', '_'), ',', '_') AS metric FROM events e")
 def metric_keys(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.concat(F.lit("mem@max//rank_"), "s_suppkey", F.lit("/x:y"))
-    return read(spark, folder, "supplier").select("s_suppkey", T.metric_key(name).alias("metric"))
+    """Names made of event types, users and their properties, whose braces and quotes go and whose colons stay."""
+    name = F.concat("event_type", F.lit("@max//"), "user_id", F.lit("/"), "props")
+    return read(spark, folder, "events").select("event_id", T.metric_key(name).alias("metric"))
 
 
 @query(
     "text_names",
-    """SELECT s_suppkey, s_suppkey % 8 AS expert, 'layers.' || (s_suppkey + 4) || '.experts.' || (s_suppkey % 8) || '.w' AS renumbered, 'clip' || s_suppkey AS stem,
-    CASE WHEN s_suppkey % 2 = 0 THEN '/data/x.jpg' ELSE '/root/media/a/' || s_suppkey || '.jpg' END AS path FROM supplier""",
+    """SELECT p_partkey, p_size % 8 AS expert, p_size AS by_weight, 'layers.' || (p_partkey + 4) || '.experts.' || (p_size % 8) || '.w' AS renumbered,
+    CASE WHEN p_partkey % 2 = 0 THEN 'clip' || p_partkey ELSE 'clip' || p_partkey || '_10.5_20' END AS stem,
+    CASE WHEN p_partkey % 2 = 0 THEN '/data/x.jpg' ELSE '/root/' || p_partkey || '.jpg' END AS path FROM part""",
 )
 def names(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.concat(F.lit("layers."), "s_suppkey", F.lit(".experts."), F.col("s_suppkey") % 8, F.lit(".w"))
-    path = F.when(F.col("s_suppkey") % 2 == 0, "/data/x.jpg").otherwise(F.concat(F.lit("./a/"), "s_suppkey", F.lit(".jpg")))
-    return read(spark, folder, "supplier").select(
-        "s_suppkey", T.expert_index(name).alias("expert"), T.renumbered(name, "layers", 4).alias("renumbered"), T.file_stem_key(F.concat(F.lit("clip"), "s_suppkey", F.lit("_10.5_20"))).alias("stem"), T.absolute_path(path, "/root/media").alias("path")
+    name = F.concat(F.lit("layers."), "p_partkey", F.lit(".experts."), F.col("p_size") % 8, F.lit(".w"))
+    weight = F.concat(F.lit("mlp.experts.3.linear_fc1.weight"), "p_size")
+    stem = F.concat(F.lit("clip"), "p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.lit("_10.5_20.25")).otherwise(F.lit("_10.5_20")))
+    path = F.when(F.col("p_partkey") % 2 == 0, "/data/x.jpg").otherwise(F.concat(F.lit("./a/../../"), "p_partkey", F.lit(".jpg")))
+    return read(spark, folder, "part").select(
+        "p_partkey", T.expert_index(name).alias("expert"), T.expert_index(weight).alias("by_weight"), T.renumbered(name, "layers", 4).alias("renumbered"), T.file_stem_key(stem).alias("stem"), T.absolute_path(path, "/root/media").alias("path")
     )
 
 
@@ -92,13 +105,13 @@ WORDS = "list_transform(string_split({}, ' '), lambda x: CAST(length(x) AS BIGIN
 
 @query(
     "record_assembled",
-    f"""WITH s AS (SELECT doc_id, {WORDS.format("text")}[1:20] AS c, {WORDS.format("source || ' ' || lang")} AS a FROM documents)
+    f"""WITH s AS (SELECT doc_id, {WORDS.format("text")} AS c, {WORDS.format("source || ' ' || lang")} AS a FROM documents)
     SELECT doc_id, list_concat(list_concat(list_concat([CAST(-1 AS BIGINT)], c), [CAST(-2 AS BIGINT)]), list_concat(a, [CAST(-3 AS BIGINT)])) AS input_ids, CAST(len(c) + 2 AS BIGINT) AS answer_start,
     list_transform(range(len(c) + len(a) + 3), lambda i: CAST(i >= len(c) + 2 AS BIGINT)) AS loss_mask FROM s""",
 )
 def assembled(spark: SparkSession, folder: str) -> DataFrame:
     sizes = lambda x: F.transform(F.split(x, " ", -1), lambda w: F.length(w).cast("long"))
-    found = R.assembled(F.slice(sizes(F.col("text")), 1, 20), sizes(F.concat("source", F.lit(" "), "lang")), -1, -2, -3)
+    found = R.assembled(sizes(F.col("text")), sizes(F.concat("source", F.lit(" "), "lang")), -1, -2, -3)
     return read(spark, folder, "documents").select("doc_id", *(v.alias(k) for k, v in found.items()))
 
 
@@ -172,9 +185,10 @@ def missing_keys(spark: SparkSession, folder: str) -> DataFrame:
     return J.missing_keys(read(spark, folder, "customer"), present, "c_custkey")
 
 
-@query("join_key_plan", "WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 > 0), b AS (SELECT DISTINCT doc_id FROM labels) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'placeholder' ELSE 'both' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query("join_key_plan", "WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT p_partkey AS k FROM part) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'placeholder' ELSE 'both' END AS state FROM a FULL JOIN b ON a.k = b.k")
 def key_plan(spark: SparkSession, folder: str) -> DataFrame:
-    return J.key_plan(read(spark, folder, "documents").where("doc_id % 3 > 0"), read(spark, folder, "labels"), "doc_id")
+    keys = lambda name, key: read(spark, folder, name).select(F.col(key).alias("k"))
+    return J.key_plan(keys("customer", "c_custkey"), keys("part", "p_partkey"), "k")
 
 
 @query(
@@ -191,15 +205,15 @@ def first_rule(spark: SparkSession, folder: str) -> DataFrame:
 @query("join_matching_names", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%1_' UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%77%'")
 def matching_names(spark: SparkSession, folder: str) -> DataFrame:
     names = read(spark, folder, "customer").select("c_custkey", "c_name")
-    return J.matching_names(names, "c_name", "*1?").unionByName(J.matching_names(names, "c_name", "77"))
+    return J.matching_names(names, "c_name", "*1?").unionByName(J.matching_names(names, "c_name", re.compile("77")))
 
 
-@query("set_operations", "WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id FROM labels) SELECT 'both' AS part, doc_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only', doc_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'any', doc_id FROM (SELECT * FROM a UNION SELECT * FROM b)")
+@query("set_operations", "WITH a AS (SELECT DISTINCT user_id AS k FROM events), b AS (SELECT doc_id AS k FROM labels) SELECT 'both' AS part, k FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only', k FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'any', k FROM (SELECT * FROM a UNION SELECT * FROM b)")
 def set_operations(spark: SparkSession, folder: str) -> DataFrame:
-    a = read(spark, folder, "documents").where("doc_id % 2 = 0").select("doc_id")
-    b = read(spark, folder, "labels").select("doc_id")
+    a = read(spark, folder, "events").select(F.col("user_id").alias("k"))
+    b = read(spark, folder, "labels").select(F.col("doc_id").alias("k"))
     parts = {"both": a.intersect(b), "only": a.subtract(b), "any": a.union(b).distinct()}
-    first, *rest = (df.select(F.lit(k).alias("part"), "doc_id") for k, df in parts.items())
+    first, *rest = (df.select(F.lit(name).alias("part"), "k") for name, df in parts.items())
     for df in rest:
         first = first.unionByName(df)
     return first
@@ -215,8 +229,9 @@ def json_fields(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("json_to_tags", "SELECT n_nationkey, '<s_region>' || n_regionkey || '</s_region><s_name>' || n_name || '</s_name>' AS tags FROM nation")
+@query("json_to_tags", "SELECT n_nationkey, '<s_region><s_key>' || n_regionkey || '</s_key></s_region><s_names>' || n_name || '<sep/>' || lower(n_name) || '</s_names><s_large>' || CASE WHEN n_nationkey > 9 THEN 'True' ELSE 'False' END || '</s_large>' AS tags FROM nation")
 def json_to_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """A record's fields as tagged text, keys in falling order."""
-    fields = {"name": F.col("n_name"), "region": F.col("n_regionkey").cast("string")}
-    return read(spark, folder, "nation").select("n_nationkey", F.concat(*(F.concat(F.lit(f"<s_{k}>"), fields[k], F.lit(f"</s_{k}>")) for k in sorted(fields, reverse=True))).alias("tags"))
+    """A nested record as tagged text, keys in falling order."""
+    value = F.struct((F.col("n_nationkey") > 9).alias("large"), F.array("n_name", F.lower("n_name")).alias("names"), F.struct(F.col("n_regionkey").alias("key")).alias("region"))
+    rows = read(spark, folder, "nation").select("n_nationkey", value.alias("v"))
+    return rows.select("n_nationkey", E.tagged(F.col("v"), rows.schema["v"].dataType).alias("tags"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.operators import packing as P
 from sparkprep.operators import sampling as S
+from sparkprep.plans.packing_sql import first_fit_sql
 from sparkprep.plans.registry import query, read
 
 
@@ -121,29 +122,39 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
     return P.assign_bins(lengths(spark, folder), 8192)
 
 
-@query("pack_first_fit_decreasing")
+@query("pack_first_fit_decreasing", first_fit_sql(8192) + " SELECT id, length, bin FROM fitted")
 def first_fit_decreasing(spark: SparkSession, folder: str) -> DataFrame:
-    """Bins of all documents: no SQL, as each placement depends on those before it; tests hold it against a plain loop."""
+    """Bins of all documents."""
     return packed(spark, folder).select("id", "length", "bin")
 
 
-@query("pack_bin_totals_fit", "SELECT CAST(0 AS BIGINT) AS overfull, count(*) AS documents FROM documents")
+@query("pack_bin_totals", first_fit_sql(8192) + " SELECT bin, sum(length)::BIGINT AS total, count(*) AS n FROM fitted GROUP BY bin")
 def bin_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Bins over the capacity that hold more than one document (none), and documents placed."""
-    bins = packed(spark, folder).groupBy("bin").agg(F.sum("length").alias("total"), F.count(F.lit(1)).alias("n"))
-    return bins.agg(F.coalesce(F.sum(((F.col("total") > 8192) & (F.col("n") > 1)).cast("long")), F.lit(0)).alias("overfull"), F.sum("n").alias("documents"))
+    """Tokens and documents of each bin."""
+    return packed(spark, folder).groupBy("bin").agg(F.sum("length").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("pack_fill")
+@query(
+    "pack_fill",
+    first_fit_sql(2048)
+    + """, i AS (SELECT f.*, md5(f.id || '-rank') AS h, list_transform(string_split(text, ' '), lambda x: CAST(length(x) AS INTEGER)) AS ids FROM fitted f JOIN documents ON doc_id = f.id),
+    m AS (SELECT *, list_transform(range(length), lambda p: CAST(p >= length // 2 - 1 AND p < length - 1 AS BIGINT)) AS mask, coalesce(sum(length) OVER (PARTITION BY bin ORDER BY length DESC, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM i)
+    SELECT bin, flatten(list(ids ORDER BY length DESC, h)) AS input_ids, flatten(list(mask ORDER BY length DESC, h)) AS loss_mask, list(start ORDER BY length DESC, h) AS seq_start_id FROM m GROUP BY bin""",
+)
 def fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Packed rows (input_ids, loss_mask, seq_start_id) of documents of at most 2,048 words."""
+    """Packed rows (input_ids, loss_mask, seq_start_id) of all documents, whose second halves are the answers."""
     words = F.transform(F.split("text", " ", -1), lambda x: F.length(x).cast("int"))
-    rows = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), words.alias("input_ids")).where(F.size("input_ids") <= 2048)
-    rows = rows.withColumns({"loss_mask": F.transform("input_ids", lambda _: F.lit(1)), "length": F.size("input_ids").cast("long")})
+    rows = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), words.alias("input_ids"))
+    rows = rows.withColumn("loss_mask", F.transform("input_ids", lambda _, i: (i >= F.floor(F.size("input_ids") / 2)).cast("int"))).withColumn("length", F.size("input_ids").cast("long"))
     return P.fill(P.assign_bins(rows, 2048))
 
 
-@query("pack_statistics")
+@query(
+    "pack_statistics",
+    first_fit_sql(8192)
+    + """, b AS (SELECT sum(length) AS total, count(*) AS n, max(length) AS longest FROM fitted GROUP BY bin)
+    SELECT round(sum(n) / count(*), 2) AS packing_factor, round(sum(total) / count(*) / 8192 * 100, 2) AS packing_efficiency, max(longest) AS max_length, max(n) AS max_per_bin, min(total)::BIGINT AS min_bin_sum FROM b""",
+)
 def statistics(spark: SparkSession, folder: str) -> DataFrame:
     return P.pack_statistics(packed(spark, folder), 8192)
 

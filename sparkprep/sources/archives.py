@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "?"}
@@ -81,6 +81,11 @@ def tar_shards(rows: DataFrame, key: str, shard: str) -> DataFrame:
     return slim.groupBy(shard).applyInArrow(run, "shard long, content binary")
 
 
+def media_shards(rows: DataFrame, number: Column, consistent: Column, shard_size: int) -> DataFrame:
+    """The rows that hold together, each with the ``shard`` of at most ``shard_size`` rows that it goes to by its number."""
+    return rows.where(consistent).withColumn("shard", F.floor(number / shard_size).cast("long"))
+
+
 def tensors(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, dtype, shape, values): the tensors of safetensors files; kinds without a NumPy type are left null."""
 

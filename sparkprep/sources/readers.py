@@ -79,7 +79,7 @@ def write_splits(rows: DataFrame, path: str, split: str = "split", overwrite: bo
 
 def located(files: DataFrame, name: str, rows: str) -> DataFrame:
     """Adds (first, last): the numbers of each file's rows when files follow one another by name. One row for each file."""
-    w = Window.partitionBy(F.lit(0)).orderBy(name)
+    w = Window.orderBy(name)
     total = F.sum(rows).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return files.withColumns({"first": total - F.col(rows), "last": total - 1})
 
@@ -90,3 +90,58 @@ def member_index(members: DataFrame, shard: str, key: Column, offset: str, size:
     ends = members.groupBy(shard).agg(F.max(F.col(offset) + size).alias("end"))
     after = F.lead("offset").over(Window.partitionBy(shard).orderBy("offset"))
     return groups.withColumn("after", after).join(ends, shard).select(shard, "key", "offset", (F.coalesce("after", "end") - F.col("offset")).alias("bytes"))
+
+
+def resolved(spark: SparkSession, spec: str) -> list[str]:
+    """The Parquet files that a path stands for, in order: a file, those of a folder, or of a glob. None at all is an error."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(spec)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in files.globStatus(path) or []:
+        held = files.listStatus(status.getPath()) if status.isDirectory() and not is_parquet_name(status.getPath().getName()) else [status]
+        found += [x.getPath().toString() for x in held]
+    found = sorted(x for x in found if is_parquet_name(x))
+    if not found:
+        raise ValueError(f"no Parquet files at {spec}")
+    return found
+
+
+def is_parquet_name(name: str) -> bool:
+    return name.lower().endswith((".parquet", ".pq"))
+
+
+def places(numbers: DataFrame, number: str, files: DataFrame) -> DataFrame:
+    """Adds (file, row_in_file) to row numbers over files that follow one another: ``files`` is (file, first, last), a row for each file."""
+    at = numbers.join(F.broadcast(files), F.col(number).between(F.col("first"), F.col("last")))  # one row for each file
+    return at.withColumn("row_in_file", F.col(number) - F.col("first")).drop("first", "last")
+
+
+def metadata(spark: SparkSession, folder: str, schema: str, extensions: tuple[str, ...], name: str = "meta.json") -> DataFrame:
+    """(columns of ``schema``) of a folder: from its list of records, JSON or line by line, or else a row for each file by its extension.
+
+    Broken lines of a file by lines are left out; ``spark.read`` with a corrupt-record column shows them.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder)
+    if not listed.isEmpty():
+        text = listed.select(F.col("content").cast("string").alias("text"))
+        items = F.from_json("text", f"array<struct<{schema}>>")
+        whole = text.where(F.ltrim("text").startswith("[")).select(F.inline(items))
+        lines = text.where(~F.ltrim("text").startswith("[")).select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+        read = lines.select(F.try_parse_json("line").isNotNull().alias("good"), F.from_json("line", schema).alias("r")).where("good").select("r.*")
+        return whole.unionByName(read)
+    first = schema.split()[0]
+    pattern = "|".join(x.lstrip(".") for x in extensions)
+    found = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias(first)).where(F.lower(first).rlike(rf"\.(?:{pattern})$"))
+    rest = [f for f in spark.createDataFrame([], schema).schema if f.name != first]
+    return found.select(first, *(F.lit(None).cast(f.dataType).alias(f.name) for f in rest))
+
+
+def merge_text_files(spark: SparkSession, pattern: str, path: str, files: int) -> None:
+    """The lines of many small text files as ``files`` larger ones; a file that doesn't end its last line doesn't run into the next."""
+    spark.read.text(pattern).coalesce(files).write.text(path)
+
+
+def write_json_lines(rows: DataFrame, path: str, fields: dict[str, Column], mode: str = "errorifexists") -> None:
+    """Rows as JSON lines with the fields given, nested as their columns are."""
+    rows.select(*(c.alias(k) for k, c in fields.items())).write.mode(mode).json(path)

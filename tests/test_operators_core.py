@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain loops; edge cases of the functions."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -62,12 +63,46 @@ def test_packing_of_rows(spark):
     filled = P.fill(P.assign_bins(docs, 32))
     assert R.checked(filled).count() == len(want)
     assert P.assign_bins(docs.limit(0), 32).collect() == []
+    odd = spark.createDataFrame([(1, 0, "a"), (2, None, "b"), (3, 5, "c"), (4, 9, "d"), (5, 0, None)], "id long, length long, kept string")
+    assert {(r.id, r.length, r.kept) for r in P.assign_bins(odd, 10).collect()} == {(1, 0, "a"), (2, None, "b"), (3, 5, "c"), (4, 9, "d"), (5, 0, None)}
+    assert {r.id: r.bin for r in P.assign_bins(odd, 10).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+    assert {r.bin for r in P.assign_bins(odd.where("length = 0"), 10).collect()} == {0}
     with pytest.raises(Exception, match="longer than the histogram"):
         P.length_histogram(docs, F.col("length"), 20).collect()
 
 
+def test_fill_rolls_masks_to_labels(spark):
+    rows = [(1, [1, 2, 3, 4], [0, 0, 1, 1], 2, 4, 0), (2, [7, 8], [1, 1], 1, 2, 0), (3, [9], [1], 0, 1, 1)]
+    held = spark.createDataFrame(rows, "id long, input_ids array<int>, loss_mask array<int>, answer long, length long, bin long")
+    found = {r.bin: (r.input_ids, r.loss_mask, r.seq_start_id) for r in P.fill(held).collect()}
+    assert found == {0: ([1, 2, 3, 4, 7, 8], [0, 1, 1, 0, 1, 0], [0, 4]), 1: ([9], [0], [0])}
+    found = {r.bin: r.loss_mask for r in P.fill(held.drop("loss_mask"), answer_start="answer").collect()}
+    assert found == {0: [0, 1, 1, 1, 1, 1], 1: [1]}
+    with pytest.raises(ValueError, match="neither"):
+        P.fill(held.drop("loss_mask"))
+
+
+def test_first_fit_in_shuffled_order(spark):
+    rows = [(i, 1 + i * 7 % 40) for i in range(500)]
+    found = P.first_fit_shuffled(spark.createDataFrame(rows, "id long, length long"), 64, seed=2, block=200).collect()
+    order = sorted(rows, key=lambda r: hashlib.md5(f"{r[0]}-2-shuffle".encode()).hexdigest())
+    want = []
+    for k in range(0, 500, 200):
+        waiting = {}
+        for i, n in order[k : k + 200]:
+            waiting.setdefault(n, []).append(i)
+        want += [(k // 200, b, waiting[n].pop(0), n) for b, held in enumerate(slow_first_fit([n for _, n in order[k : k + 200]], 64)) for n in held]
+    assert sorted(tuple(r) for r in found) == sorted(want)
+
+
 def test_array_edges(spark):
     assert one(spark, A.next_labels(longs())) == []
+    assert one(spark, A.running_sums(longs())) == [0] and one(spark, A.running_sums(F.lit(None).cast("array<bigint>"))) is None
+    sums = spark.range(40).select("id", A.running_sums(F.transform(F.sequence(F.lit(1), F.col("id") % 7 + 1), lambda x: x.cast("long"))).alias("s")).collect()
+    assert all(r.s == [k * (k + 1) // 2 for k in range(r.id % 7 + 2)] for r in sums)
+    assert one(spark, A.replace_with_copies(longs(1, 9, 9, 2, 9), 9, longs(2, 0, 1))) == [1, 9, 9, 2, 9] and one(spark, A.replace_with_copies(longs(), 9, longs())) == []
+    assert one(spark, A.segment_masks(longs(1, 1, 0, 1, 1), longs(5, 6, 7, 8, 2), longs(0, 3, 5), False, 2)) == [1, 1, 1]
+    assert one(spark, A.find_array_from(longs(1, 2), longs(1, 2, 1, 2), F.lit(1))) == (2, 4) and one(spark, A.find_array_from(longs(), longs(1), F.lit(0))) == (-1, -1)
     assert one(spark, A.runs(longs())) == []
     assert one(spark, A.truncate(longs(1, 2, 3), 0)) == []
     assert one(spark, A.truncate(longs(1, 2, 3), 2, "left")) == [2, 3]
@@ -84,13 +119,25 @@ def test_array_edges(spark):
 
 
 def test_text_edges(spark):
-    assert one(spark, T.unboxed(F.lit(r"a \boxed{x^{2}+\boxed{3}} b"))) == "a x^{2}+3 b"
+    assert one(spark, T.unboxed(F.lit(r"a \boxed{x^{2}} b \boxed{{{{{{7}}}}}}"))) == "a x^{2} b {{{{{7}}}}}"
+    assert one(spark, T.unboxed(F.lit(r"a \boxed{1} b \boxed{2 c"))) == r"a 1 b \boxed{2 c"
+    assert one(spark, T.unboxed(F.lit(r"a \frac{1}{2}"))) == r"a \frac{1}{2}"
     assert one(spark, T.before_last(F.lit("no mark"), "\\boxed")) == ""
     assert one(spark, T.final_answer(F.lit("so 3\n#### 42 "))) == "42"
-    assert one(spark, T.clean(F.lit("a &amp;amp;  b\n c "))) == "a & b c"
+    assert one(spark, T.clean(F.lit("a &amp;amp;  b\n c &eacute;&#8217; "))) == "a & b c é’"
+    assert one(spark, T.metric_key(F.lit("mem@max//rank_1/x:y é/{}"))) == "mem_at_max/rank_1_x:y é___"
+    assert one(spark, T.file_stem_key(F.lit("clip1_10.5_20"))) == "clip1_10.5_20" and one(spark, T.file_stem_key(F.lit("clip1_10.5_20.25"))) == "clip1"
+    assert [one(spark, T.expert_index(F.lit(x))) for x in ("local_experts.3", "experts.3.weight7", "a.experts.4", "experts.1.bias2")] == [3, 7, 4, 2]
+    with pytest.raises(Exception, match="no expert number"):
+        one(spark, T.expert_index(F.lit("mlp.w")))
+    assert [one(spark, T.absolute_path(F.lit(x), "/r/m")) for x in ("a/../b.jpg", "./x", "/y/../z", "http://h/p", "../../../q")] == ["/r/m/b.jpg", "/r/m/x", "/y/../z", "http://h/p", "/q"]
+    for template in ("no field", "{label} and more", "{label}\n"):
+        with pytest.raises(ValueError, match="label"):
+            T.template_parts(template)
     assert one(spark, T.without_marks(F.lit("<image>\n"), ("<image>",))) == "\n" or one(spark, T.without_marks(F.lit("<image>"), ("<image>",))) is None
     with pytest.raises(KeyError):
         T.render("{a}{label}", {"a": F.lit(1)})
+    assert one(spark, T.render("{a} is {b}", {"a": F.lit(1), "b": F.lit(None).cast("string")}, "b")) == "1 is "
     assert T.template_parts("Q: {input} A: {label}") == [("text", "Q:"), ("field", "input"), ("text", " A:"), ("field", "label")]
 
 
@@ -130,14 +177,26 @@ def test_packed_reader_checks(spark, tmp_path):
     assert R.is_packed_path("A.IDX.PARQUET") and not R.is_packed_path("a.parquet")
 
 
-def test_packed_stream(spark, tmp_path):
-    rows = [(i % 2, i, 1 + i % 9) for i in range(64)]
-    spark.createDataFrame(rows, "g long, k long, n long").write.parquet(f"{tmp_path}/in")
-    stream = streams.packed_stream(streams.file_stream(spark, f"{tmp_path}/in"), "g", "k", "n", 16, 8)
-    found = streams.drained("packed_rows", stream, "append", f"{tmp_path}/state").collect()
-    size = {k: n for _, k, n in rows}
-    ids = [k for r in found for k in r.ids]
-    assert sorted(ids) == list(range(64)) and all(r.total == sum(size[k] for k in r.ids) <= 16 for r in found)
+def test_packed_stream_packs_all_rows(spark, tmp_path):
+    rows = [(i % 3 and 1, i, 1 + i % 9) for i in range(37)]
+    spark.createDataFrame(rows, "g long, k long, n long").repartition(5, "k").write.parquet(f"{tmp_path}/in")
+    arriving = streams.file_stream(spark, f"{tmp_path}/in", 2)
+    streams.packed_stream(arriving, "g", "k", "n", 16, 8, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    found = streams.packed_rows(spark, "g", "k", "n", 16, f"{tmp_path}/out").collect()
+    size, group = {k: n for _, k, n in rows}, {k: g for g, k, _ in rows}
+    assert sorted(k for r in found for k in r.ids) == list(range(37))
+    assert all(r.total == sum(size[k] for k in r.ids) <= 16 and {group[k] for k in r.ids} == {r.g} for r in found)
+    assert {r.batch for r in found} >= {-1, 0}
+
+
+def test_shuffled_batches_lie_in_order(spark, tmp_path):
+    spark.range(300).repartition(4, "id").write.parquet(f"{tmp_path}/in")
+    streams.shuffled_batches(streams.file_stream(spark, f"{tmp_path}/in", 2), "id", 3, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").select("id", "order_key", "batch", F.col("_metadata.file_path").alias("f")).collect()
+    assert sorted(r.id for r in found) == list(range(300))
+    for name in {r.f for r in found}:
+        held = [r.order_key for r in found if r.f == name]
+        assert held == sorted(held)
 
 
 def test_builders(spark):
