@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.arrays import answer_mask
 from sparkprep.functions.text import template_parts
 
 SPLIT_NAMES = {"training": "train", "val": "validation", "valid": "validation", "eval": "validation", "testing": "test"}
@@ -65,9 +64,12 @@ def assembled(context: Column, answer: Column, bos: int | None, sep: int | None,
     """
     one = lambda x: F.array(F.lit(x).cast("long")) if x is not None else F.array().cast("array<bigint>")
     places = F.array_repeat(F.lit(eos if virtual_id is None else virtual_id).cast("long"), virtual) if virtual else one(None)
-    front = F.concat(one(bos), places, context, one(sep))
-    ids = F.concat(front, answer, one(eos))
-    return {"input_ids": ids, "answer_start": F.size(front).cast("long"), "loss_mask": answer_mask(ids, F.size(front))}
+    # The parts are bound once: an expression named within a lambda would be worked out again for each token.
+    parts = F.struct(F.concat(one(bos), places, context, one(sep)).alias("front"), F.concat(answer, one(eos)).alias("back"))
+    start = lambda v: F.size(v["front"]).cast("long")
+    mask = lambda v: F.concat(F.array_repeat(F.lit(0).cast("long"), F.size(v["front"])), F.array_repeat(F.lit(1).cast("long"), F.size(v["back"])))
+    made = F.transform(F.array(parts), lambda v: F.struct(F.concat(v["front"], v["back"]).alias("input_ids"), start(v).alias("answer_start"), mask(v).alias("loss_mask")))[0]
+    return {name: made[name] for name in ("input_ids", "answer_start", "loss_mask")}
 
 
 def prompt_examples(rows: DataFrame, template: str, tokenize: Callable[[Column], Column], most: int, fields: list[str], label: str = "label", bos: int | None = None, sep: int | None = None, eos: int | None = None, virtual: int = 0, answer_room: int = 0, side: str = "right") -> DataFrame:

@@ -47,7 +47,7 @@ def json_records(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "supplier")
     held = rows.groupBy((F.col("s_suppkey") % 4).alias("k")).agg(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).alias("x"))
     listed = F.to_json("x")
-    held.select(F.when(F.col("k") == 0, listed).otherwise(F.concat(F.lit('{"records": '), listed, F.lit("}"))).alias("value")).repartition(8, "value").write.text(path)
+    held.select("k", F.when(F.col("k") == 0, listed).otherwise(F.concat(F.lit('{"records": '), listed, F.lit("}"))).alias("value")).write.partitionBy("k").text(path)
     return R.json_records(spark, path, "id bigint, name string")
 
 
