@@ -249,3 +249,9 @@ def media_prefix(ids: Column, token: int, copies: int, room: int, pad: int) -> t
 def lettered(options: Column) -> Column:
     """Answer options as lines A. ..., B. ..., by the characters from A on."""
     return F.array_join(F.transform(options, lambda x, i: F.concat(F.char(i + 65), F.lit(". "), x)), "\n")
+
+
+def padded_vectors(vectors: Column, size: int) -> Column:
+    """array<array<double>> cut to ``size`` vectors, or with vectors of zeros behind until there are so many."""
+    zeros = F.transform(F.get(vectors, F.lit(0)), lambda _: F.lit(0.0))
+    return F.concat(F.slice(vectors, 1, size), F.array_repeat(zeros, F.greatest(F.lit(size) - F.size(vectors), F.lit(0))))

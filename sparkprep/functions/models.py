@@ -1,4 +1,7 @@
-"""Closed forms for the size and work of transformer models, as column expressions over a table of configurations."""
+"""Closed forms for the size and work of transformer models, as column expressions over a table of configurations.
+
+The formulas are fixed: they have to give the numbers that such models are compared by.
+"""
 
 from __future__ import annotations
 
@@ -49,6 +52,53 @@ def vision_flops() -> Column:
     return (each * c("patches") * c("layers") + merger) * c("batch") * 3
 
 
+def attention_layer_flops(tokens: Column, seq: Column) -> Column:
+    """Forward operations of an attention layer over ``tokens`` of sequences of length ``seq``; head_dim null means hidden / heads."""
+    ratio = F.coalesce(c("head_dim") * c("heads") / c("hidden"), F.lit(1.0))
+    return 4.0 * tokens * c("hidden") * ratio * (c("hidden") + c("hidden") * (c("groups") / c("heads")) + seq / 2)
+
+
+def mlp_layer_flops(tokens: Column) -> Column:
+    """Forward operations of a dense MLP layer that widens by ``expansion``."""
+    return 4.0 * c("expansion") * F.when(c("gated"), 1.5).otherwise(1.0) * tokens * c("hidden") * c("hidden")
+
+
+def expert_layer_flops(tokens: Column) -> Column:
+    """Forward operations of a layer of experts: ``topk`` routed ones of width expert_ffn, on ``latent`` places if that isn't null, and shared ones."""
+    scale = F.when(c("gated"), 1.5).otherwise(1.0)
+    width = F.coalesce(c("latent"), c("hidden"))
+    routed = 4.0 * tokens * width * c("expert_ffn") * c("topk") * scale
+    latent = F.when(c("latent").isNotNull(), 4.0 * tokens * c("hidden") * c("latent")).otherwise(0.0)
+    return routed + latent + 4.0 * tokens * c("hidden") * c("shared_ffn") * scale
+
+
+def state_space_layer_flops(tokens: Column) -> Column:
+    """Forward operations of a state-space layer: projections in and out, and the scan."""
+    inner = 2.0 * c("hidden")
+    heads = F.when(c("ssm_heads") > 0, c("ssm_heads")).otherwise(F.floor(inner / c("ssm_head_dim")))
+    return 2.0 * tokens * c("hidden") * (2 * inner + 2 * c("ssm_groups") * c("ssm_state") + heads) + 7.0 * tokens * inner * c("ssm_state") + 2.0 * tokens * inner * c("hidden")
+
+
+def delta_layer_flops(tokens: Column) -> Column:
+    """Forward operations of a gated delta layer."""
+    qk, v = c("delta_qk_dim") * c("delta_qk_heads"), c("delta_v_dim") * c("delta_v_heads")
+    return 2.0 * tokens * (c("hidden") * (2 * qk + 2 * v + 2 * c("delta_v_heads")) + c("delta_conv") * (2 * qk + v) + c("delta_v_heads") * c("delta_v_dim") * c("delta_v_dim") * 4 + c("hidden") * v)
+
+
+def layer_counts(pattern: Column) -> dict[str, Column]:
+    """Layers of each kind in a pattern of letters: * attention, M state space, - MLP, E experts, G delta."""
+    marks = {"attention": "*", "state_space": "M", "mlp": "-", "experts": "E", "delta": "G"}
+    return {name: (F.length(pattern) - F.length(F.replace(pattern, F.lit(mark), F.lit("")))).cast("long") for name, mark in marks.items()}
+
+
+def hybrid_flops(pattern: Column) -> Column:
+    """Operations of one training step of a model whose layers are of several kinds, and of its output layers (one, and one for each predicted token beyond)."""
+    tokens = (c("batch") * c("seq")).cast("double")
+    n = layer_counts(pattern)
+    layers = n["attention"] * attention_layer_flops(tokens, c("seq")) + n["mlp"] * mlp_layer_flops(tokens) + n["state_space"] * state_space_layer_flops(tokens) + n["experts"] * expert_layer_flops(tokens) + n["delta"] * delta_layer_flops(tokens)
+    return 3.0 * (layers + 2.0 * tokens * c("hidden") * c("vocab") * (1 + c("predicted")))
+
+
 def vocabulary_divisor(n: Column) -> Column:
     """The greatest power of two up to 128 that divides ``n``."""
     return F.greatest(*(F.when(n % d == 0, d).otherwise(1) for d in (1, 2, 4, 8, 16, 32, 64, 128))).cast("long")

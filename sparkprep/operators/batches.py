@@ -63,10 +63,14 @@ def padded_for_packing(ids: Column, multiple: int, most: int, pad: int) -> Colum
     return filled
 
 
-def selected_and_merged(assigned: DataFrame, key: str, values: str) -> DataFrame:
-    """(bin, keys, values): the samples of each bin merged, their keys joined by commas."""
-    held = assigned.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(values).alias("v")))).alias("r"))
-    return held.select("bin", F.concat_ws(",", F.transform("r", lambda r: r["k"].cast("string"))).alias("keys"), F.flatten(F.transform("r", lambda r: r["v"])).alias("values"))
+def selected_and_merged(assigned: DataFrame, key: str, values: str, *stacked: str) -> DataFrame:
+    """(bin, keys, values, stacked columns): the samples of each bin merged, their keys joined by commas.
+
+    ``values`` are put one after the other, ``stacked`` columns side by side. A bin holds at most one capacity.
+    """
+    held = assigned.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(values).alias("v"), *(F.col(c).alias(f"s{i}") for i, c in enumerate(stacked))))).alias("r"))
+    side_by_side = lambda i: F.transform("r", lambda r: r[f"s{i}"])
+    return held.select("bin", F.concat_ws(",", F.transform("r", lambda r: r["k"].cast("string"))).alias("keys"), F.flatten(F.transform("r", lambda r: r["v"])).alias("values"), *(side_by_side(i).alias(c) for i, c in enumerate(stacked)))
 
 
 def expand_runs(rows: DataFrame, times: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -121,6 +122,55 @@ def searched_mask(ids: Column, answers: Column) -> Column:
     return F.transform(F.array(spans), lambda held: F.transform(ids, lambda _, i: F.exists(held, lambda s: (i + 1 >= s["a"]) & (i + 1 <= s["b"])).cast("long")))[0]
 
 
+def searched_mask_of_variants(ids: Column, answers: Column, skipped: list[int] | None = None) -> Column:
+    """As ``searched_mask``, where each answer is array<array<long>> of the ways its text may be tokenized: the first that is found counts.
+
+    Places that hold one of the ``skipped`` tokens are 0.
+    """
+    empty = F.array().cast("array<struct<a: bigint, b: bigint>>")
+
+    def place(v: Column, at: Column) -> Column:
+        n = F.size(v)
+        return F.when(n > 0, F.try_element_at(F.filter(upto(F.size(ids) - n + 1), lambda p: (p > at) & (F.slice(ids, p, n) == v)), F.lit(1)).cast("long"))
+
+    def step(state: Column, variants: Column) -> Column:
+        found = F.filter(F.transform(variants, lambda v: F.struct(place(v, state["at"]).alias("a"), F.size(v).cast("long").alias("n"))), lambda x: x["a"].isNotNull())
+        hit = F.try_element_at(found, F.lit(1))
+        end = hit["a"] + hit["n"] - 1
+        return F.struct(F.coalesce(end, state["at"]).alias("at"), F.when(hit.isNotNull(), F.concat(state["spans"], F.array(F.struct(hit["a"].alias("a"), end.alias("b"))))).otherwise(state["spans"]).alias("spans"))
+
+    spans = F.aggregate(answers, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+    kept = lambda x: ~x.isin(*skipped) if skipped else F.lit(True)
+    return F.transform(F.array(spans), lambda held: F.transform(ids, lambda x, i: (F.exists(held, lambda s: (i + 1 >= s["a"]) & (i + 1 <= s["b"])) & kept(x)).cast("long")))[0]
+
+
+def included_module(name: Column, prefix: Column, patterns: list[str], excluded: list[str] | None = None, wanted: Column | None = None) -> Column:
+    """struct<pattern, full_name> of the first pattern that is a module's name or fits its full name; null without one.
+
+    Without patterns, modules that are ``wanted`` and that nothing excluded fits, under their own names.
+    """
+    if patterns and excluded:
+        raise ValueError("either patterns to include or patterns to exclude")
+    full = F.when(F.length(prefix) > 0, F.concat(prefix, F.lit("."), name)).otherwise(name)
+    fits = lambda p: (name == p) | full.rlike("^" + re.escape(p).replace(r"\*", "(.*)") + "$")
+    out = F.lit(None).cast("string")
+    if patterns:
+        for p in reversed(patterns):
+            out = F.when(fits(p), F.lit(p)).otherwise(out)
+    else:
+        free = F.lit(True)
+        for p in excluded or []:
+            free = free & ~fits(p)
+        out = F.when(free & (wanted if wanted is not None else F.lit(True)), name)
+    return F.when(out.isNotNull(), F.struct(out.alias("pattern"), full.alias("full_name")))
+
+
+def unmatched_patterns(names: DataFrame, name: str, prefix: str, patterns: list[str]) -> list[str]:
+    """Patterns that no module fits, in their order: what a caller should be warned of. As many values as there are patterns reach the driver."""
+    seen = names.select(*(F.max(included_module(F.col(name), F.col(prefix), [p]).isNotNull()).alias(f"p{i}") for i, p in enumerate(patterns))).first()
+    return [p for p, hit in zip(patterns, seen) if not hit]
+
+
 def chosen_option(options: Column, index: Column, fallback: Column) -> Column:
     """The option with a 0-based index, or else the fallback."""
     return F.coalesce(F.try_element_at(options, (index + 1).cast("int")), fallback)

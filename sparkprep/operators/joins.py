@@ -50,6 +50,14 @@ def first_rule(name: Column, rules: list[tuple[str, str]]) -> tuple[Column, Colu
     return number.cast("long"), target
 
 
+def first_rule_of_many(name: Column, rules: list[tuple[list[str], str]]) -> tuple[Column, Column]:
+    """As ``first_rule``, where a rule has several patterns: the number is the rule's."""
+    pairs = [(p, target, i) for i, (patterns, target) in enumerate(rules) for p in patterns]
+    number, target = first_rule(name, [(p, t) for p, t, _ in pairs])
+    owner = F.element_at(F.array(*(F.lit(i).cast("long") for *_, i in pairs)), (number + 1).cast("int"))
+    return F.when(number.isNotNull(), owner), target
+
+
 def glob_regex(pattern: str) -> str:
     """A shell pattern as a regular expression for the whole name: * for anything, ? for a character, [..] and [!..] for sets."""
     out = ""

@@ -6,11 +6,14 @@ so they have no state: where to go on is a number of consumed samples.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkprep.operators.sampling import global_batches, random_sharded, random_unsharded, sample_counts, sequential
 
@@ -107,6 +110,24 @@ def shared(df: DataFrame, sinks: list[Callable[[DataFrame], object]]) -> list[ob
         held.unpersist()
 
 
+def sliced(plan: DataFrame, ranks: int) -> DataFrame:
+    """A plan made for one rank dealt to several: each takes an equal range of a step's slots, which have to divide."""
+    most = plan.agg(F.max("slot")).first()[0]
+    if most is not None and (most + 1) % ranks:
+        raise ValueError("a batch divides over its ranks")
+    each = ((most or 0) + 1) // ranks
+    return plan.withColumns({"rank": F.floor(F.col("slot") / each).cast("long"), "slot": F.col("slot") % each})
+
+
+def saved_state(spark: SparkSession, path: str, consumed: dict[str, int]) -> None:
+    """Writes how many samples of each split are consumed: all that a loader goes on from."""
+    spark.createDataFrame(list(consumed.items()), "split string, consumed long").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def restored_state(spark: SparkSession, path: str) -> dict[str, int]:
+    return {r["split"]: r["consumed"] for r in spark.read.parquet(path).collect()}  # a row for each split
+
+
 def due(step: Column, every: int | None) -> Column:
     """Whether something that is done every so many steps, such as evaluation, is due behind a step."""
     return F.lit(False) if not every else (step > 0) & (step % every == 0)
@@ -118,3 +139,26 @@ def tolerant(rows: DataFrame, value: Column, failed: Callable[[Column], Column]
     ``value`` is an expression that gives null on failure, such as those of try_cast, try_element_at or from_json.
     """
     return rows.withColumn("value", value).withColumn("failed", failed(F.col("value")))
+
+
+def tolerant_map(rows: DataFrame, column: str, made: Callable[[object], object], kind: str) -> DataFrame:
+    """Adds ``value`` of type ``kind`` and ``error``: what a Python function makes of a column, or null and what it raised; rows stay as they are.
+
+    For functions that no expression replaces; a batch of rows goes to Python at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, errors = [], []
+            for x in batch.column(column).to_pylist():
+                try:
+                    values.append(made(x))
+                    errors.append(None)
+                except Exception as error:  # whatever the function raises is the row's result
+                    values.append(None)
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, own), pa.array(errors, pa.string())], names)
+
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"value {kind}, error string").fields])
+    names, own = schema.names, to_arrow_type(schema["value"].dataType)
+    return rows.mapInArrow(run, schema)

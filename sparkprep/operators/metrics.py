@@ -165,3 +165,51 @@ def islands(rows: DataFrame, group: str, order: str, value: Column) -> DataFrame
     w = Window.partitionBy(group).orderBy(order)
     changed = F.coalesce((~value.eqNullSafe(F.lag(value).over(w))).cast("long"), F.lit(1))
     return rows.withColumn("changed", changed).withColumn("island", F.sum("changed").over(w)).drop("changed")
+
+
+def remaining(elapsed: Column, done: Column) -> Column:
+    """Time left of a run by the share of it that is done and the time that took; null before anything is done."""
+    return F.when(done > 0, elapsed / done * (1 - done))
+
+
+def throughputs(series: DataFrame, group: str, order: str, work: Column, seconds: Column) -> DataFrame:
+    """Adds (job, cumulative): work a second since the step before, and since the group's first step; null for the first."""
+    w = Window.partitionBy(group).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    begin, passed = F.first(seconds).over(upto), seconds - F.lag(seconds).over(w)
+    done = F.sum(work).over(upto) - F.first(work).over(upto)
+    return series.withColumns({"job": F.when(passed > 0, work / passed), "cumulative": F.when(seconds > begin, done / (seconds - begin))})
+
+
+def job_start(lines: DataFrame, number: str, line: str, world: int) -> DataFrame:
+    """(start, start_work, saved_work) of a progress log whose lines are numbered: when the first job since the world last had another size
+    began, the work saved by then, and the work saved in all.
+
+    Lines are tab-separated: time, job, world size, event, and further fields, of which the eighth is the work. A checkpoint that is saved asynchronously counts
+    once its end is logged. One log is one order, so one task reads it; a log without such a job has null for its start.
+    """
+    f = F.split(F.trim(line), "\t")
+    value = lambda i: F.substring_index(F.get(f, F.lit(i)), ": ", -1)
+    parsed = lines.select(F.col(number).alias("n"), F.get(f, F.lit(0)).alias("time"), value(2).cast("long").alias("world"), F.get(f, F.lit(3)).alias("event"), value(7).cast("double").alias("work"))
+    w = Window.orderBy("n")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    begun = parsed.withColumns({"saves": F.sum((F.col("event") == "Saving async checkpoint").cast("long")).over(upto), "pending": F.last(F.when(F.col("event") == "Saving async checkpoint", F.col("work")), True).over(upto)})
+    ends = begun.withColumn("ends", F.sum((F.col("event") == "Saved async checkpoint").cast("long")).over(Window.partitionBy("saves").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    committed = F.when(F.col("event") == "Saved checkpoint", F.col("work")).when((F.col("event") == "Saved async checkpoint") & (F.col("saves") > 0) & (F.col("ends") == 1), F.col("pending"))
+    held = ends.withColumn("saved", F.coalesce(F.last(committed, True).over(upto), F.lit(0.0))).withColumn("other", F.max(F.when(F.col("world") != world, F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    first = F.when((F.col("event") == "Starting job") & (F.col("world") == world) & (F.col("n") > F.coalesce("other", F.lit(-1))), F.struct("n", "time", "saved"))
+    return held.agg(F.min(first).alias("s"), F.max_by("saved", "n").alias("saved_work")).select(F.col("s.time").alias("start"), F.col("s.saved").alias("start_work"), "saved_work")
+
+
+def loss_flags(series: DataFrame, step: str, loss: str, factor: float = 10.0) -> DataFrame:
+    """Adds (is_bad, is_spike): a loss that is NaN or infinite, and one of over ``factor`` times the largest good one so far."""
+    good = F.when(~F.isnan(loss) & (F.abs(loss) != float("inf")), F.col(loss))
+    largest = F.max(good).over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
+    return series.withColumns({"is_bad": good.isNull(), "is_spike": F.coalesce(good > factor * largest, F.lit(False))})
+
+
+def whole_norm(parameters: DataFrame, name: str, value: Column, expert: Column, rank: str) -> DataFrame:
+    """(group, squares) of dense and expert parameters, and all under a null group with the norm: a dense one that several ranks hold counts once,
+    an expert counts for each rank that holds its own."""
+    held = parameters.withColumns({"g_": F.when(expert, "expert").otherwise("dense"), "r_": F.when(expert, F.col(rank))}).groupBy("g_", name, "r_").agg(F.max(value).alias("v"))
+    return held.rollup(F.col("g_").alias("group")).agg(F.sum(F.col("v") * F.col("v")).alias("squares")).withColumn("norm", F.sqrt("squares"))

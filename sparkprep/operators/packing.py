@@ -182,3 +182,10 @@ def pack_statistics(assigned: DataFrame, capacity: int, length: str = "length")
     )
 
 
+def write_with_metadata(rows: DataFrame, capacity: int, path: str, metadata: str, **columns: str) -> DataFrame:
+    """Rows (id, length, tokens, mask) packed and written as Parquet, and a line with the packing's figures added to the folder ``metadata`` of JSON; the figures."""
+    assigned = assign_bins(rows, capacity)
+    fill(assigned, **columns).drop("bin").write.parquet(path)
+    figures = pack_statistics(assigned, capacity).withColumns({"pack_size": F.lit(capacity), "path": F.lit(path)})
+    figures.coalesce(1).write.mode("append").json(metadata)
+    return figures

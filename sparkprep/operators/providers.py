@@ -175,6 +175,22 @@ def multimodal(spark: SparkSession, config: Multimodal) -> dict[str, DataFrame]:
     return {name: made(df) for name, df in rows.items()}
 
 
+@dataclass(frozen=True)
+class Archives:
+    """Tar shards of samples for each split, and how a sample's members (key, extension, kind, content) become rows."""
+
+    paths: dict[str, str]
+    encode: Callable[[DataFrame], DataFrame]
+
+
+@provider(Archives)
+def archived(spark: SparkSession, config: Archives) -> dict[str, DataFrame]:
+    from sparkprep.sources.archives import tar_members
+
+    kinds = lambda df: df.withColumn("kind", media.decoder_kind(F.concat(F.lit("."), "extension")))
+    return {name: config.encode(kinds(tar_members(spark, path))) for name, path in config.paths.items()}
+
+
 #: Collators by the name of the processor whose samples they put together.
 COLLATORS: dict[str, Callable[..., DataFrame]] = {}
 

@@ -157,6 +157,12 @@ def repeat_modulo(rows: DataFrame, number: Column, size: int, target: int) -> Da
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("position", F.col("epoch") * size + number).where(F.col("position") < target).drop("epoch")
 
 
+def repeat_shuffled(rows: DataFrame, key: str, size: int, target: int, seed: int = 42) -> DataFrame:
+    """``rows`` in a keyed order, over and over until there are ``target``: adds ``position``; the order is the same in each pass."""
+    placed = keyed_rank(rows.withColumn("whole_", F.lit(0)), "whole_", keyed(F.col(key), seed), key).drop("whole_")
+    return repeat_modulo(placed, F.col("rank"), size, target).drop("rank")
+
+
 def chunk_shuffle(rows: DataFrame, number: Column, key: Column, chunk: int, seed: int) -> DataFrame:
     """Adds (chunk, chunk_key): sorting by them shuffles rows within chunks of ``chunk`` rows and keeps the chunks' order."""
     return rows.withColumn("chunk", F.floor(number / chunk).cast("long")).withColumn("chunk_key", keyed(key, seed))

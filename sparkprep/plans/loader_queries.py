@@ -223,3 +223,107 @@ def layer_names(spark: SparkSession, folder: str) -> DataFrame:
     name = F.concat(F.lit("m.layers."), "p_size", F.lit(".experts.weight"), "p_partkey")
     names = read(spark, folder, "part").select(name.alias("name")).unionByName(spark.createDataFrame([("output_layer.weight",)], "name string"))
     return states.natural_order(states.without_tied_output(names, True))
+
+
+@query("sample_repeat_shuffled", "WITH c AS (SELECT count(*) AS n FROM supplier), p AS (SELECT s_suppkey, row_number() OVER (ORDER BY md5(s_suppkey || '-42'), s_suppkey) - 1 AS r, n FROM supplier, c) SELECT s_suppkey, r + e * n AS \"position\" FROM p, range(3) t(e) WHERE r + e * n < 2 * n + 3")
+def repeat_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    n = rows_of(spark, folder, "supplier")
+    return S.repeat_shuffled(read(spark, folder, "supplier").select("s_suppkey"), "s_suppkey", n, 2 * n + 3)
+
+
+@query("metric_remaining", "SELECT event_id, CASE WHEN event_id > 0 THEN round(event_id * 2.5 / (event_id / 200000.0) * (1 - event_id / 200000.0), 4) END AS seconds FROM events")
+def remaining(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "events").select("event_id", F.round(Q.remaining(F.col("event_id") * 2.5, F.col("event_id") / 200000.0), 4).alias("seconds"))
+
+
+@query(
+    "metric_throughputs",
+    """WITH s AS (SELECT user_id, event_id, value, epoch_us(ts) / 1e6 AS t FROM events), w AS (SELECT *, t - lag(t) OVER q AS passed, t - first_value(t) OVER q AS since, sum(value) OVER q - first_value(value) OVER q AS done FROM s WINDOW q AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id, CASE WHEN passed > 0 THEN round(value / passed, 9) END AS job, CASE WHEN since > 0 THEN round(done / since, 9) END AS cumulative FROM w""",
+)
+def throughputs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "events").select("user_id", "event_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    found = Q.throughputs(rows, "user_id", "event_id", F.col("value"), F.col("t"))
+    return found.select("user_id", "event_id", F.round("job", 9).alias("job"), F.round("cumulative", 9).alias("cumulative"))
+
+
+@query(
+    "metric_loss_flags",
+    "WITH s AS (SELECT event_id, value, max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS largest FROM events) SELECT event_id, false AS is_bad, coalesce(value > 1.5 * largest, false) AS is_spike FROM s",
+)
+def loss_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.loss_flags(read(spark, folder, "events").select("event_id", "value"), "event_id", "value", 1.5).select("event_id", "is_bad", "is_spike")
+
+
+@query(
+    "metric_whole_norm",
+    """WITH h AS (SELECT CASE WHEN l_linenumber = 1 THEN 'expert' ELSE 'dense' END AS g, l_orderkey, CASE WHEN l_linenumber = 1 THEN l_suppkey END AS r, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)
+    SELECT g AS "group", sum(v * v) AS squares, round(sqrt(sum(v * v)), 4) AS norm FROM h GROUP BY ROLLUP (g)""",
+)
+def whole_norm(spark: SparkSession, folder: str) -> DataFrame:
+    found = Q.whole_norm(read(spark, folder, "lineitem"), "l_orderkey", F.col("l_quantity"), F.col("l_linenumber") == 1, "l_suppkey")
+    return found.select("group", "squares", F.round("norm", 4).alias("norm"))
+
+
+@query(
+    "model_hybrid_flops",
+    """WITH c AS (SELECT s_suppkey AS id, 2048.0::DOUBLE AS h, 4096.0::DOUBLE AS s, 4.0 * 4096 AS t, s_suppkey % 3 AS k FROM supplier)
+    SELECT id, round(3 * (4 * (4 * t * h * (128.0 * 16 / h) * (h + h * (4.0 / 16) + s / 2)) + 2 * (4 * 4.0 * 1.5 * t * h * h) + 3 * (2 * t * h * (2 * (2 * h) + 2 * 8 * 128 + 64) + 7 * t * (2 * h) * 128 + 2 * t * (2 * h) * h)
+    + 2 * (4 * t * (CASE WHEN k = 0 THEN 512 ELSE h END) * 1024 * 6 * 1.5 + CASE WHEN k = 0 THEN 4 * t * h * 512 ELSE 0 END + 4 * t * h * 2048 * 1.5)
+    + 1 * (2 * t * (h * (2 * 2048 + 2 * 4096 + 2 * 32) + 4 * (2 * 2048 + 4096) + 32 * 128 * 128 * 4 + h * 4096)) + 2 * t * h * 32000 * (1 + k)) / 1e12, 4) AS teraflops FROM c""",
+)
+def hybrid_flops(spark: SparkSession, folder: str) -> DataFrame:
+    """Models of four attention layers, two MLPs, three state-space, two expert and one delta layer."""
+    from sparkprep.functions import models
+
+    k = F.col("s_suppkey") % 3
+    cells = {"hidden": 2048, "seq": 4096, "batch": 4, "heads": 16, "groups": 4, "head_dim": 128, "expansion": 4, "vocab": 32000, "expert_ffn": 1024, "shared_ffn": 2048, "topk": 6, "ssm_heads": 64, "ssm_head_dim": 64, "ssm_groups": 8, "ssm_state": 128,
+             "delta_qk_dim": 128, "delta_v_dim": 128, "delta_qk_heads": 16, "delta_v_heads": 32, "delta_conv": 4}
+    rows = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), *(F.lit(float(v)).alias(n) for n, v in cells.items()), F.lit(True).alias("gated"), k.alias("predicted"), F.when(k == 0, F.lit(512.0)).alias("latent"))
+    return rows.select("id", F.round(models.hybrid_flops(F.lit("M*-*EM*-*EMG")) / 1e12, 4).alias("teraflops"))
+
+
+@query("join_rules_of_many", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END AS rule, CASE s_suppkey % 3 WHEN 0 THEN 'p.' || s_suppkey WHEN 1 THEN 'p.' || s_suppkey ELSE 'r.c/' || s_suppkey END AS target FROM supplier")
+def rules_of_many(spark: SparkSession, folder: str) -> DataFrame:
+    from sparkprep.operators.joins import first_rule_of_many
+
+    name = F.concat(F.element_at(F.array(*map(F.lit, ["a.", "b.", "c/"])), (F.col("s_suppkey") % 3 + 1).cast("int")), "s_suppkey")
+    rule, target = first_rule_of_many(name, [(["a.*", "b.*"], "p.*"), (["**"], "r.**")])
+    return read(spark, folder, "supplier").select("s_suppkey", rule.alias("rule"), target.alias("target"))
+
+
+@query("example_included_modules", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'fc1' WHEN 1 THEN '*.mlp.*' END AS pattern, CASE p_partkey % 3 WHEN 0 THEN 'l.' || p_size || '.fc1' WHEN 1 THEN 'l.' || p_size || '.mlp.fc2' END AS full_name FROM part")
+def included_modules(spark: SparkSession, folder: str) -> DataFrame:
+    from sparkprep.operators.examples import included_module
+
+    k = F.col("p_partkey") % 3
+    name, prefix = F.when(k == 0, "fc1").when(k == 1, "fc2").otherwise("norm"), F.concat(F.lit("l."), "p_size", F.when(k == 1, ".mlp").otherwise(""))
+    found = included_module(name, prefix, ["fc1", "*.mlp.*"])
+    return read(spark, folder, "part").select("p_partkey", found["pattern"].alias("pattern"), found["full_name"].alias("full_name"))
+
+
+@query(
+    "example_masks_of_variants",
+    D
+    + """, a AS (SELECT id, ids, len(ids) AS n, ids[3:5] AS x FROM d), f AS (SELECT *, CASE WHEN len(x) > 0 THEN (SELECT min(p) FROM unnest(range(1, n - len(x) + 2)) t(p) WHERE ids[p:p + len(x) - 1] = x) END AS p1 FROM a)
+    SELECT id, list_transform(range(1, n + 1), lambda i: CAST(coalesce(i BETWEEN p1 AND p1 + len(x) - 1, false) AND ids[i] <> 2 AS BIGINT)) AS mask FROM f""",
+)
+def masks_of_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """A piece of each document whose first way isn't there, looked for by its second; twos are skipped."""
+    from sparkprep.operators.examples import searched_mask_of_variants
+
+    piece = F.slice("ids", 3, 3)
+    ways = F.array(F.array(F.concat(piece, F.array(F.lit(-5).cast("long"))), piece))
+    return tokens(spark, folder).select("id", searched_mask_of_variants(F.col("ids"), ways, [2]).alias("mask"))
+
+
+@query("loader_sliced", "WITH c AS (SELECT count(*) // 8 * 8 AS n FROM supplier) SELECT i AS idx, i // 8 AS step, i % 8 // 2 AS rank, i % 2 AS slot FROM c, range(100000) r(i) WHERE i < n")
+def sliced(spark: SparkSession, folder: str) -> DataFrame:
+    plan = L.loader(spark, "single", rows_of(spark, folder, "supplier"), 0, 8, 1)
+    return L.sliced(plan, 4).select("idx", "step", "rank", "slot")
+
+
+@query("loader_tolerant_map", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 60 // (event_id % 3) END AS value, event_id % 3 = 0 AS failed FROM events")
+def tolerant_map(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "events").select("event_id", (F.col("event_id") % 3).alias("k"))
+    return L.tolerant_map(rows, "k", lambda k: 60 // k, "long").select("event_id", "value", F.col("error").isNotNull().alias("failed"))

@@ -315,3 +315,46 @@ def test_curves(spark):
     lines = spark.createDataFrame([(1, "iteration 1/ 9 | lm loss: 2.5E+00 | mem-max-reserved-gigabytes: 3 mem-max-reserved-gigabytes: 5"), (2, "mem-allocated-gigabytes: 1.5"), (3, "iteration 2/ 9 | lm loss: 2.0")], "n long, line string")
     assert [tuple(r) for r in Q.log_series(lines, "n", "line", "lm loss").orderBy("step").collect()] == [(0, 2.5), (1, 2.0)]
     assert Q.log_series(lines, "n", "line", "max_reserved").first().value == 5 and Q.log_series(lines, "n", "line", "alloc").first().value == 1.5
+
+
+def test_progress_log(spark):
+    line = lambda t, world, event, work=0: f"{t}\tJob ID: 7\t# GPUs: {world}\t{event}\tIteration: 1\tJob throughput: 1\tCumulative throughput: 1\tFloating-point operations: {work:.2e}\tTokens: 1"
+    lines = ["a Starting job 4", "b Saved checkpoint 4 1e3", "c Starting job 8", "d Saving async checkpoint 8 2e3", "e Starting job 8", "f Saved async checkpoint 8", "g Saved async checkpoint 8", "h Starting job 8", "i Saving async checkpoint 8 9e3"]
+    rows = []
+    for i, x in enumerate(lines):
+        t, *event = x.split(" ")
+        work = float(event.pop()) if "e" in event[-1] and event[-1][0].isdigit() else 0
+        rows.append((i, line(t, event.pop(), " ".join(event), work)))
+    df = spark.createDataFrame(rows, "n long, line string")
+    assert tuple(Q.job_start(df, "n", "line", 8).first()) == ("c", 1000.0, 2000.0)
+    assert Q.job_start(df, "n", "line", 4).first().start is None
+    assert tuple(Q.job_start(df.where("n < 2"), "n", "line", 4).first()) == ("a", 0.0, 1000.0)
+
+
+def test_states_of_loaders_and_metadata_of_packing(spark, tmp_path):
+    from sparkprep.operators import batches as B
+    from sparkprep.operators import packing as P
+
+    L.saved_state(spark, f"{tmp_path}/s", {"train": 64, "test": 0})
+    assert L.restored_state(spark, f"{tmp_path}/s") == {"train": 64, "test": 0}
+    rows = spark.createDataFrame([(i, 4, [1] * 4, [1] * 4) for i in range(6)], "id long, length long, input_ids array<int>, loss_mask array<int>")
+    for k in range(2):
+        P.write_with_metadata(rows, 8, f"{tmp_path}/p{k}", f"{tmp_path}/meta")
+    found = spark.read.json(f"{tmp_path}/meta").collect()
+    assert len(found) == 2 and {(r.pack_size, r.packing_factor, r.max_per_bin) for r in found} == {(8, 2.0, 2)}
+    held = rows.select("id", "input_ids", F.lit(0).cast("long").alias("bin"), F.array("id", "id").alias("shape"))
+    merged = B.selected_and_merged(held.where("id < 2"), "id", "input_ids", "shape").first()
+    assert merged["keys"] == "0,1" and len(merged["values"]) == 8 and merged.shape == [[0, 0], [1, 1]]
+    names = spark.createDataFrame([("fc1", "l.0"), ("norm", "")], "name string, prefix string")
+    assert E.unmatched_patterns(names, "name", "prefix", ["fc1", "*.1.*", "l.*"]) == ["*.1.*"]
+    padded = lambda n: one(spark, M.padded_vectors(F.lit([[1.0, 2.0], [3.0, 4.0]]), n))
+    assert padded(3) == [[1.0, 2.0], [3.0, 4.0], [0.0, 0.0]] and padded(1) == [[1.0, 2.0]]
+
+
+def test_archives_as_a_provider(spark, tmp_path):
+    from sparkprep.sources.archives import tar_shards
+
+    rows = spark.createDataFrame([("a", "txt", b"1", 0), ("a", "jpg", b"2", 0), ("b", "wav", b"3", 0)], "key string, extension string, content binary, shard long")
+    (tmp_path / "0.tar").write_bytes(bytes(tar_shards(rows, "key", "shard").first().content))
+    parts = build(spark, V.Archives({"train": str(tmp_path)}, lambda d: d.select("key", "kind")))
+    assert sorted(map(tuple, parts["train"].collect())) == [("a", "image"), ("a", "raw"), ("b", "audio")]
