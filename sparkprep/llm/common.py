@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +39,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once all that was made of it is written too."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = posixpath.dirname(table.inputFiles()[0])
+        if f"{shared_dir(spark).removeprefix('file:').rstrip('/')}/" not in folder:
+            raise ValueError(f"{folder} isn't an intermediate table")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(column: str = "text") -> F.Column:
     """A text as UTF-8 bytes, null as no bytes: what the Arrow functions read."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias(column)

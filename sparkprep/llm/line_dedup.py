@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkprep.llm.common import materialise
+from sparkprep.llm.common import discard, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\u000b\u000c\r"
@@ -70,8 +70,9 @@ def streamed(lines: DataFrame, min_docs: int, span: int) -> DataFrame:
 
 
 def repeated(lines: DataFrame, min_docs: int, span: int) -> DataFrame:
-    """(doc_id, mark, position) of the lines (h1, h2, doc_id, mark, position) that go."""
+    """(doc_id, mark, position) of the written lines (h1, h2, doc_id, mark, position) that go; ``lines`` are deleted then."""
     held = materialise(streamed(lines, min_docs, span), "runs")
+    discard(lines)
     parts = held.where("cut and leads").groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("survivor").alias("survivor")).where(F.col("n") >= min_docs).drop("n")
     # Written, so that both sides of the join come straight from an exchange and a hot line's partition can be split.
     parts = materialise(parts, "parts")

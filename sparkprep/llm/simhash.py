@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.llm.common import arrow_rows, materialise, text_bytes
+from sparkprep.llm.common import arrow_rows, discard, materialise, text_bytes
 
 SEED = 42
 #: Values that one task sorts at once, and fingerprints that one bucket gets; places that buckets are told by, at least and at most.
@@ -221,7 +221,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
-        edges = materialise(small, "links")
+        before, edges = edges, materialise(small, "links")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == mark:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
