@@ -8,6 +8,8 @@ that have earned a weight; the few that remain are broadcast, at most 2 ** BITS
 Labels serve for training alone. Rows with a null label aren't used; a doc_id with several labels counts as toxic if one says so. Null
 and empty texts have no features and score the base rate. Every row of ``docs`` is scored over its whole text. Without labelled
 rows all scores are 0.5 and, as the contract counts 0.5 as toxic, so are the predictions of a caller who trains on nothing.
+Repeated rows are scored each; texts of any length are read whole. The training task holds at most MAX_ROWS rows of 2 ** BITS places. An
+empty table gives no rows. Columns other than doc_id and text, and the labels' doc_id and toxic, are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BEGINNING = 4
 SEED = 42
 #: Features of fewer training rows are left out: they can't earn a weight that holds for other rows.
 SEEN = 3
+#: Words whose hashes a task keeps at hand.
+KNOWN = 100_000
 
 
 class Features:
@@ -54,7 +58,7 @@ class Features:
             begins[word] = xxhash.xxh64_intdigest(letters[:BEGINNING].encode(), SEED + 1) if len(letters) > BEGINNING else known[word]
         h = np.array([known[w] for w in words], np.uint64)
         starts = np.array([begins[w] for w in different], np.uint64)
-        if len(known) > 500_000:
+        if len(known) > KNOWN:
             known.clear()
             begins.clear()
         mixed = lambda a, b, k: ((a * np.uint64(0x9E3779B97F4A7C15)) ^ (a >> np.uint64(31))) + b * np.uint64(2 * k + 0xC2B2AE3D27D4EB4F)
