@@ -56,9 +56,7 @@ def convergence(pairs: DataFrame, step: str, current: str, golden: str, limits:
     """One row: correlation, failed_share (points outside of their tier's tolerance), final_difference, outliers (share of differences over
     three deviations), deviation, and passed. A first share of steps may be skipped; curves are ordered by ``step``."""
     if limits.skipped > 0:
-        first = int(pairs.count() * limits.skipped)
-        low = pairs.orderBy(step).limit(first + 1).agg(F.max(step)).first()[0] if first else None
-        pairs = pairs.where(F.col(step) >= low) if first else pairs
+        pairs = from_place(pairs, step, int(pairs.count() * limits.skipped))
     a, b = F.col(current), F.col(golden)
     tier = None
     for low, tolerance in limits.tiers:
@@ -73,12 +71,24 @@ def convergence(pairs: DataFrame, step: str, current: str, golden: str, limits:
     return one.select(*kept, "outliers").withColumn("passed", passed)
 
 
+def from_place(rows: DataFrame, order: str, place: int) -> DataFrame:
+    """The rows from a 0-based place on in the order of a column without ties: a top-k selection finds where they begin."""
+    if place <= 0:
+        return rows
+    low = rows.select(order).orderBy(order).limit(place + 1).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("low")).first()
+    return rows.where(F.col(order) >= low["low"]) if low["n"] > place else rows.where(F.lit(False))
+
+
+def upto_place(rows: DataFrame, order: str, place: int) -> DataFrame:
+    """The rows before a 0-based place."""
+    high = rows.select(order).orderBy(order).limit(place).agg(F.max(order)).first()[0] if place > 0 else None
+    return rows.where(F.col(order) <= high) if high is not None else rows.where(F.lit(False))
+
+
 def steady_means(series: DataFrame, step: str, values: list[str], skipped: float = 0.1, start: int | None = None, end: int | None = None) -> DataFrame:
     """One row: the means of columns over a stretch of steps without NaN. The stretch begins behind a first share of steps, one at least, or at ``start``."""
-    n = series.count() if start is None else 0
-    first = max(1, int(n * skipped)) if start is None else start
-    kept = series.withColumn("n_", F.row_number().over(Window.orderBy(step)) - 1).where(F.col("n_") >= first)
-    kept = kept if end is None else kept.where(F.col("n_") < end)
+    first = max(1, int(series.count() * skipped)) if start is None else start
+    kept = from_place(series if end is None else upto_place(series, step, end), step, first)
     return kept.agg(*(F.avg(F.when(~F.isnan(v), F.col(v))).alias(v) for v in values))
 
 
@@ -95,8 +105,10 @@ def packed_averages(rows: DataFrame, starts: str, total: Column, order: str, bat
     With ``batch``, rows behind the last whole batch in the order of ``order`` are left out. No rows, or none with a sequence, are an error.
     """
     if batch:
-        n = rows.count() // batch * batch
-        rows = rows.withColumn("n_", F.row_number().over(Window.orderBy(order))).where(F.col("n_") <= n).drop("n_")
+        # The rows behind the last whole batch are fewer than a batch: a top-k selection finds where they begin.
+        extra = rows.count() % batch
+        low = rows.select(order).orderBy(F.desc(order)).limit(extra).agg(F.min(order)).first()[0] if extra else None
+        rows = rows if low is None else rows.where(F.col(order) < low)
     counts, whole = sequence_counts(F.col(starts), total)
     held = rows.select(F.size(starts).alias("n"), whole.alias("t"), F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x * x).alias("q"))
     sums = held.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"))

@@ -112,9 +112,15 @@ def is_parquet_name(name: str) -> bool:
 
 
 def places(numbers: DataFrame, number: str, files: DataFrame) -> DataFrame:
-    """Adds (file, row_in_file) to row numbers over files that follow one another: ``files`` is (file, first, last), a row for each file."""
-    at = numbers.join(F.broadcast(files), F.col(number).between(F.col("first"), F.col("last")))  # one row for each file
-    return at.withColumn("row_in_file", F.col(number) - F.col("first")).drop("first", "last")
+    """Adds (file, row_in_file) to row numbers over files that follow one another: ``files`` is (file, first, last), a row for each file.
+
+    Numbers and files meet in stretches as long as a file in the mean, so each number is compared with the few files of its stretch.
+    """
+    mean = files.agg(F.avg(F.col("last") - F.col("first") + 1)).first()[0]
+    width = max(1, int(mean or 1))
+    held = files.withColumn("stretch_", F.explode(F.sequence(F.expr(f"first div {width}"), F.expr(f"last div {width}"))))
+    at = numbers.withColumn("stretch_", F.expr(f"{number} div {width}")).join(held, "stretch_").where(F.col(number).between(F.col("first"), F.col("last")))
+    return at.withColumn("row_in_file", F.col(number) - F.col("first")).drop("first", "last", "stretch_")
 
 
 def metadata(spark: SparkSession, folder: str, schema: str, extensions: tuple[str, ...], name: str = "meta.json") -> DataFrame:
