@@ -33,8 +33,8 @@ from sparkprep.llm.line_dedup import LOWER, UPPER
 
 #: The directory's depth at most, and the hashes of a bucket that make it split; more where the depth can't hold them.
 MAX_DEPTH, CAPACITY = 20, 200
-#: Hashes that an owner task has in the mean.
-OWNED = 20_000
+#: Hashes that an owner task has in the mean, and owners at most.
+OWNED, MAX_OWNERS = 500, 20_000
 #: Bytes of different texts and ids that a task gathers before it lets its carriers go.
 GATHERED = 64 << 20
 #: Stands for a null doc_id among the ids of a carrier; it is less than any other.
@@ -88,7 +88,7 @@ def build_directory(spark: SparkSession, hashes: DataFrame) -> tuple[DataFrame,
     counts = {r[0]: r[1] for r in hashes.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("p")).count().collect()}  # 2 ** MAX_DEPTH rows at most
     depth, slots = directory(counts, capacity, bits)
     first = {bucket: i for i, bucket in reversed(list(enumerate(slots)))}
-    owners, before, rows, owner = n // OWNED + 1, 0, [], {}
+    owners, before, rows, owner = min(n // OWNED, MAX_OWNERS - 1) + 1, 0, [], {}
     for slot in range(1 << bits):
         bucket = slots[slot >> (bits - depth)]
         # A bucket belongs to the owner in whose share of the hashes it begins.
