@@ -220,3 +220,9 @@ def valid_row(input_ids: Column, loss_mask: Column, starts: Column) -> Column:
     """Whether a packed row holds: equal lengths, the first boundary 0, boundaries rising within the row."""
     rising = F.forall(upto(F.size(starts)), lambda i: F.element_at(starts, i) >= F.element_at(starts, F.greatest(i - 1, F.lit(1))))
     return (F.size(input_ids) == F.size(loss_mask)) & (F.size(starts) > 0) & (F.try_element_at(starts, F.lit(1)) == 0) & rising & (F.try_element_at(starts, F.lit(-1)) < F.size(input_ids))
+
+
+def kinds_of(a: Column, kinds: list[int]) -> tuple[Column, Column]:
+    """How many items are of the given kinds, and which of these there are, in order."""
+    found = F.filter(a, lambda x: x.isin(*kinds))
+    return long(F.size(found)), F.array_sort(F.array_distinct(found))

@@ -105,3 +105,10 @@ def against_golden(golden: DataFrame, current: DataFrame, step: str, value: str)
 def keys_by_file(places: DataFrame, file: str, key: str) -> DataFrame:
     """(file, keys): the keys of each file in order. A file has as many as its index lists, so the lists are bounded by files."""
     return places.groupBy(file).agg(F.array_sort(F.collect_list(key)).alias("keys"))
+
+
+def through_indexes(records: DataFrame, *indexes: tuple[DataFrame, str]) -> DataFrame:
+    """Records with the columns of every index that they have an entry in by its key; records that one lacks go."""
+    for index, key in indexes:
+        records = records.join(index, key)
+    return records

@@ -225,3 +225,14 @@ def whole_norm(parameters: DataFrame, name: str, value: Column, expert: Column,
     an expert counts for each rank that holds its own."""
     held = parameters.withColumns({"g_": F.when(expert, "expert").otherwise("dense"), "r_": F.when(expert, F.col(rank))}).groupBy("g_", name, "r_").agg(F.max(value).alias("v"))
     return held.rollup(F.col("g_").alias("group")).agg(F.sum(F.col("v") * F.col("v")).alias("squares")).withColumn("norm", F.sqrt("squares"))
+
+
+def rank_extents(rows: DataFrame, group: str, value: Column, ran: Column) -> DataFrame:
+    """(group, largest, all_ran, least, median) over what ranks report; nulls are ranks that report nothing. The median is the lower of two middles."""
+    held = rows.select(group, value.alias("v_"), ran.alias("ran_"))
+    return held.groupBy(group).agg(F.max("v_").alias("largest"), F.bool_and("ran_").alias("all_ran"), F.min("v_").alias("least"), F.expr("percentile_disc(0.5) within group (order by v_)").alias("median"))
+
+
+def encoded_max(value: Column, none: int = -1) -> Column:
+    """Aggregate: the largest value over ranks where ``none`` stands for no value; null if no rank has one."""
+    return F.max(F.when(value != none, value))

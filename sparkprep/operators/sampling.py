@@ -205,3 +205,35 @@ def blended(spark: SparkSession, weights: list[float], total: int) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def top_of_each(rows: DataFrame, group: str, k: int, *order: Column | str) -> DataFrame:
+    """The first ``k`` rows of each group; the planner keeps so many before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("rank_", rank).where(F.col("rank_") <= k).drop("rank_")
+
+
+def extremes(scores: DataFrame, key: str, score: str, k: int = 3) -> DataFrame:
+    """(key, worst, best): the ``k`` lowest and highest scores by two top-k selections, without a sort of all."""
+    low = scores.orderBy(score, key).limit(k).select(key, F.lit(True).alias("worst"), F.lit(False).alias("best"))
+    high = scores.orderBy(F.desc(score), key).limit(k).select(key, F.lit(False).alias("worst"), F.lit(True).alias("best"))
+    return low.unionByName(high).groupBy(key).agg(F.max("worst").alias("worst"), F.max("best").alias("best"))
+
+
+def parsed_blend(values: list[str]) -> tuple[list[str], list[float] | None]:
+    """Paths and weights of a blend given as weight, path, weight, path, or as paths alone (no weights)."""
+    if len(values) % 2 == 0:
+        try:
+            return values[1::2], [float(x) for x in values[::2]]
+        except ValueError:
+            pass
+    return list(values), None
+
+
+def blends(one: list[str] | None = None, by_split: dict[str, list[str]] | None = None) -> dict[str, tuple[list[str], list[float] | None]]:
+    """The blend of all splits under None, or those of each split; both are an error, and neither means invented data."""
+    if one and by_split:
+        raise ValueError("either one blend or one for each split")
+    if by_split:
+        return {name: parsed_blend(by_split[name]) for name in ("train", "validation", "test") if by_split.get(name)}
+    return {None: parsed_blend(one)} if one else {}

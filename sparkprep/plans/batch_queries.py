@@ -179,10 +179,7 @@ def lettered(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "nation").select("n_nationkey", M.lettered(F.array("n_name", F.lit("none"))).alias("options"))
 
 
-@query("sort_natural_top_k", "SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 5")
+@query("sort_top_k", "SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 5")
 def top_k(spark: SparkSession, folder: str) -> DataFrame:
-    """The five largest of each group; the planner keeps five rows a group before the shuffle."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
-    return read(spark, folder, "customer").withColumn("r", rank).where("r <= 5").select("c_nationkey", "c_custkey", "c_acctbal")
+    """The five largest of each group."""
+    return S.top_of_each(read(spark, folder, "customer"), "c_nationkey", 5, F.desc("c_acctbal"), "c_custkey").select("c_nationkey", "c_custkey", "c_acctbal")

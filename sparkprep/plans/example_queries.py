@@ -153,5 +153,7 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
 @query("filter_answer_tokens", D + "SELECT id, len(list_filter(ids, lambda x: x IN (2, 4))) AS special, list_sort(list_distinct(list_filter(ids, lambda x: x IN (2, 4)))) AS kinds FROM d")
 def special_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of a fixed vocabulary in each document."""
-    found = F.filter("ids", lambda x: x.isin(2, 4))
-    return tokens(spark, folder).select("id", F.size(found).cast("long").alias("special"), F.array_sort(F.array_distinct(found)).alias("kinds"))
+    from sparkprep.functions.arrays import kinds_of
+
+    n, kinds = kinds_of(F.col("ids"), [2, 4])
+    return tokens(spark, folder).select("id", n.alias("special"), kinds.alias("kinds"))

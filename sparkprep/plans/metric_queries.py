@@ -103,7 +103,13 @@ def islands(spark: SparkSession, folder: str) -> DataFrame:
 @query("metric_rank_extents", "SELECT l_returnflag, max(l_quantity) AS largest, bool_and(l_quantity >= 1) AS all_ran, min(l_quantity) AS least, quantile_disc(l_quantity, 0.5) AS median FROM lineitem GROUP BY 1")
 def rank_extents(spark: SparkSession, folder: str) -> DataFrame:
     q = F.col("l_quantity")
-    return read(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.max(q).alias("largest"), F.bool_and(q >= 1).alias("all_ran"), F.min(q).alias("least"), F.expr("percentile_disc(0.5) within group (order by l_quantity)").alias("median"))
+    return M.rank_extents(read(spark, folder, "lineitem"), "l_returnflag", q, q >= 1)
+
+
+@query("metric_encoded_max", "SELECT l_returnflag, max(CASE WHEN l_linenumber > 3 THEN l_suppkey END) AS largest FROM lineitem GROUP BY 1")
+def encoded_max(spark: SparkSession, folder: str) -> DataFrame:
+    reported = F.when(F.col("l_linenumber") > 3, F.col("l_suppkey")).otherwise(-1)
+    return read(spark, folder, "lineitem").groupBy("l_returnflag").agg(M.encoded_max(reported).alias("largest"))
 
 
 @query("metric_distinct_per_group", "SELECT c_nationkey, count(DISTINCT c_mktsegment) AS segments, list_sort(list(DISTINCT c_mktsegment)) AS names, count(DISTINCT c_mktsegment) > 1 AS mixed FROM customer GROUP BY 1")

@@ -169,7 +169,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 @query("join_two_indexes", "SELECT d.doc_id, d.source, l.quality, b.item_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id JOIN benchmark b ON b.item_id = d.doc_id % 40")
 def two_indexes(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "source", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(read(spark, folder, "labels").select("doc_id", "quality"), "doc_id").join(read(spark, folder, "benchmark").select("item_id"), "item_id").select("doc_id", "source", "quality", "item_id")
+    found = J.through_indexes(docs, (read(spark, folder, "labels").select("doc_id", "quality"), "doc_id"), (read(spark, folder, "benchmark").select("item_id"), "item_id"))
+    return found.select("doc_id", "source", "quality", "item_id")
 
 
 @query("join_existing_media", "SELECT d.doc_id, d.lang FROM documents d WHERE (d.doc_id % 2 = 1 OR d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AND (d.doc_id % 3 <> 0 OR d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))")

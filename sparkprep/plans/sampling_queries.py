@@ -175,8 +175,6 @@ def average_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sample_rank_extremes", "WITH r AS (SELECT user_id, sum(value) AS score FROM events GROUP BY user_id), o AS (SELECT *, row_number() OVER (ORDER BY score, user_id) AS low, row_number() OVER (ORDER BY score DESC, user_id) AS high FROM r) SELECT user_id, low <= 3 AS worst, high <= 3 AS best FROM o WHERE low <= 3 OR high <= 3")
 def rank_extremes(spark: SparkSession, folder: str) -> DataFrame:
-    """The three best and the three worst scores: two top-k selections, no global sort."""
+    """The three best and the three worst scores."""
     scores = read(spark, folder, "events").groupBy("user_id").agg(F.sum("value").alias("score"))
-    worst = scores.orderBy("score", "user_id").limit(3).select("user_id", F.lit(True).alias("worst"), F.lit(False).alias("best"))
-    best = scores.orderBy(F.desc("score"), "user_id").limit(3).select("user_id", F.lit(False).alias("worst"), F.lit(True).alias("best"))
-    return worst.unionByName(best).groupBy("user_id").agg(F.max("worst").alias("worst"), F.max("best").alias("best"))
+    return S.extremes(scores, "user_id", "score")

@@ -259,6 +259,10 @@ def test_loaders(spark):
     assert sorted(r.position for r in mapping.collect()) == list(range(24)) and S.position(mapping, 24, -1) == mapping.where("position = 23").first()["sample"]
     with pytest.raises(IndexError):
         S.position(mapping, 24, 24)
+    assert S.blends(["0.3", "a", "0.7", "b"]) == {None: (["a", "b"], [0.3, 0.7])} and S.parsed_blend(["a", "b"]) == (["a", "b"], None)
+    assert S.blends(None, {"train": ["a"], "test": ["1", "b"]}) == {"train": (["a"], None), "test": (["b"], [1.0])} and S.blends() == {}
+    with pytest.raises(ValueError, match="either one"):
+        S.blends(["a"], {"train": ["b"]})
     plain = S.block_mapping(spark, 10, 10, 4, 1, shuffle=False)
     assert [r["sample"] for r in S.positions(plain, 10, None, None, -3).orderBy("nth").collect()] == [9, 6, 3, 0] and S.positions(plain, 10, 5, 5).count() == 0
 
