@@ -24,7 +24,7 @@ from sparkprep.llm.common import materialise
 ROUNDS = 6
 SEED = 42
 #: Rows of a range in the mean, and ranges at most. A range sorts on disk if it has to.
-RANGE_ROWS, MAX_RANGES = 500_000, 20_000
+RANGE_ROWS, MAX_RANGES = 50_000, 20_000
 #: Cycle walks that are made without looking whether one is needed.
 WALKS = 64
 
