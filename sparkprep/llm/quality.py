@@ -6,7 +6,7 @@ so merging is adding counts. It is built by a partial aggregation for each (lang
 to the whole, and a group of fewer than ``MIN_ROWS`` rows takes its parent's sketch. Its size is bounded by the buckets, not
 by the rows. Rows that fail the base rules take no part in it.
 
-A rule's limit is ``q75 + SPREAD * max(q75 - q25, one)``: quartiles of the group's rates, so junk in up to a quarter of a group
+A rule's limit is ``q75 + spreads * max(q75 - q25, one)``: quartiles of the group's rates, so junk in up to a quarter of a group
 can't raise its own limit, and ``one``, the rate that one occurrence makes in the group's median document. The latter keeps
 the spread of a rate that most documents don't show at all from being 0; it follows the sizes of the group's documents.
 
@@ -30,9 +30,9 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 0.5
 #: A group's own sketch is used from so many rows.
 MIN_ROWS = 100
-SPREAD = 8
-#: A rule's rate is a count in 10,000 of a size; an occurrence changes the count by so much at least.
-RULES = {"symbol_rate": ("n_symbols", "n_words", 1), "bang_rate": ("n_bangs", "n_words", 1), "upper_rate": ("n_upper", "word_chars", 1), "dup_line_rate": ("n_dup_lines", "n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 6)}
+#: A rule's rate is a count in 10,000 of a size; an occurrence changes the count by so much at least; spreads of a limit. Lines are few
+#: in a document, so a line is much of a rate, and fewer spreads are far.
+RULES = {"symbol_rate": ("n_symbols", "n_words", 1, 16), "bang_rate": ("n_bangs", "n_words", 1, 16), "upper_rate": ("n_upper", "word_chars", 1, 16), "dup_line_rate": ("n_dup_lines", "n_lines", 1, 5), "repeat_rate": ("n_repeat_words", "n_words", 6, 16)}
 SIZES = ["n_words", "word_chars", "n_lines"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COLUMNS = [*BASE, "n_lines", "n_upper", "n_bangs"]
@@ -100,7 +100,7 @@ def failed() -> F.Column:
 
 def rates() -> dict[str, F.Column]:
     """The adaptive rules' measures as whole parts of 10,000."""
-    return {name: F.floor(F.lit(10_000) * F.col(a) / F.greatest(F.col(b), F.lit(1))) for name, (a, b, _) in RULES.items()}
+    return {name: F.floor(F.lit(10_000) * F.col(a) / F.greatest(F.col(b), F.lit(1))) for name, (a, b, *_) in RULES.items()}
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -126,9 +126,9 @@ def limits(rows: DataFrame) -> DataFrame:
     quartiles = held.select(*group, "rows", *(rank(q).alias(f"q{q}") for q in (25, 50, 75)))
     of = lambda metric, q: F.max(F.when(F.col("metric") == metric, F.col(f"q{q}")))
     limit = {}
-    for name, (_, size, least) in RULES.items():
+    for name, (_, size, least, spreads) in RULES.items():
         one = F.floor(F.lit(10_000 * least) / F.greatest(of(size, 50), F.lit(1)))
-        limit[f"{name}_limit"] = of(name, 75) + SPREAD * F.greatest(of(name, 75) - of(name, 25), one)
+        limit[f"{name}_limit"] = of(name, 75) + spreads * F.greatest(of(name, 75) - of(name, 25), one)
     return quartiles.groupBy("lang", "source", "level").agg(F.max("rows").alias("rows"), *(x.cast("long").alias(name) for name, x in limit.items()))
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-RATES = """symbol_rate n_symbols n_words 10000
-bang_rate n_bangs n_words 10000
-upper_rate n_upper word_chars 10000
-dup_line_rate n_dup_lines n_lines 10000
-repeat_rate n_repeat_words n_words 60000"""
+RATES = """symbol_rate n_symbols n_words 10000 16
+bang_rate n_bangs n_words 10000 16
+upper_rate n_upper word_chars 10000 16
+dup_line_rate n_dup_lines n_lines 10000 5
+repeat_rate n_repeat_words n_words 60000 16"""
 
 
 def quality_sql() -> str:
     rules = [x.split() for x in RATES.splitlines()]
-    rates = ", ".join(f"(10000 * {a} // greatest({b}, 1))::BIGINT AS {name}" for name, a, b, _ in rules)
+    rates = ", ".join(f"(10000 * {a} // greatest({b}, 1))::BIGINT AS {name}" for name, a, b, *_ in rules)
     cells = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS metric, {name} AS v FROM rated WHERE NOT base_failed" for name in [r[0] for r in rules] + ["n_words", "word_chars", "n_lines"])
     of = lambda metric, q: f"max(CASE WHEN metric = '{metric}' THEN q{q} END)"
-    wide = ", ".join(f"{of(name, 75)} + 8 * greatest({of(name, 75)} - {of(name, 25)}, {one} // greatest({of(size, 50)}, 1)) AS {name}" for name, _, size, one in rules)
+    wide = ", ".join(f"{of(name, 75)} + {spreads} * greatest({of(name, 75)} - {of(name, 25)}, {one} // greatest({of(size, 50)}, 1)) AS {name}" for name, _, size, one, spreads in rules)
     pick = ", ".join(f"CASE WHEN a.n >= 100 THEN a.{name} WHEN a.n IS NOT NULL AND b.n >= 100 THEN b.{name} WHEN a.n IS NOT NULL THEN c.{name} END AS {name}_limit" for name, *_ in rules)
     over = " OR ".join(f"coalesce({name} > {name}_limit, false)" for name, *_ in rules)
     return f"""

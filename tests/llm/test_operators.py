@@ -169,14 +169,14 @@ def test_quality_limits_follow_exact_quantiles(spark):
     found = quality.limits(measured_rows(spark, [("en", "s", {"n_symbols": x}) for x in counts])).where("level = 0").first()
     low, _, high = (sorted(x * 100 for x in counts)[n] for n in (249, 499, 749))
     limit = found.symbol_rate_limit
-    assert abs(limit - (high + 8 * (high - low))) <= 0.04 * limit
-    assert found.bang_rate_limit == 8 * (10_000 // 100) and found.repeat_rate_limit == 8 * (60_000 // 100)
+    assert abs(limit - (high + 16 * (high - low))) <= 0.04 * limit
+    assert found.bang_rate_limit == 16 * (10_000 // 100) and found.repeat_rate_limit == 16 * (60_000 // 100)
 
 
 def test_quality_limits_differ_by_group_and_bear_junk_in_a_quarter(spark):
     rows = [("en", "prose", {"n_symbols": int(i % 5 == 0) * 90}) for i in range(500)] + [("en", "code", {"n_symbols": 10 + i % 10}) for i in range(500)] + [("en", "few", {})] * 20
     found = {r.source: r.symbol_rate_limit for r in quality.limits(measured_rows(spark, rows)).where("level = 0").collect()}
-    assert found["prose"] == 800 and found["code"] > 3000
+    assert found["prose"] == 1600 and found["code"] > 3000
     words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
     texts = [(i, words(i, 300), "en", "prose") for i in range(200)] + [(1000 + i, words(i, 300) + " #" * (20 + i % 20), "en", "code") for i in range(200)]
     same = words(7, 300) + " #" * 45
@@ -429,6 +429,14 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.toxicity(docs, held.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_with_clashing_columns_and_labels_that_repeat(spark):
+    rows = [(i, "idiot scum moron here" if i % 3 == 0 else f"fine words w{i % 7} of sense", 0.5, True, 1) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean, toxic int")
+    held = spark.createDataFrame([(i, int(i % 3 == 0), "x") for i in range(120)] * 2 + [(None, 1, "x"), (5, None, "x")], "doc_id long, toxic int, text string")
+    found = toxicity.toxicity(docs, held).collect()
+    assert len(found) == 120 and sum(r.predicted == int(r.doc_id % 3 == 0) for r in found) >= 118
+
+
 def test_license_scan(docs, rows, spark, empty):
     notice = license_scan.NOTICES[0][1].split()
     more = [(900, "Apache-License,\nVERSION 2 and cc by nc"), (901, " ".join(["so"] + notice[:9] + ["really"] + notice[9:])), (902, "GNU General Public License"), (903, "under the mit licenses")]
