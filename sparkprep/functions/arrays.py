@@ -80,17 +80,22 @@ def masked_labels(labels: Column, mask: Column, ignore: int = IGNORE) -> Column:
     return F.zip_with(labels, mask, lambda x, m: F.when(m == 0, F.lit(ignore).cast("long")).otherwise(x))
 
 
+def stands_at(needle: Column, haystack: Column, place: Column) -> Column:
+    """Whether ``needle`` stands at a 1-based place; its first item is looked at before a piece is cut out. An empty one stands everywhere."""
+    return (F.size(needle) == 0) | (F.get(haystack, place - 1) == F.get(needle, F.lit(0))) & (F.slice(haystack, place, F.size(needle)) == needle)
+
+
 def find_array(needle: Column, haystack: Column) -> Column:
     """First 0-based place of ``needle`` in ``haystack``, -1 if there is none."""
     places = upto(F.size(haystack) - F.size(needle) + 1)
-    hits = F.filter(places, lambda p: F.slice(haystack, p, F.size(needle)) == needle)
+    hits = F.filter(places, lambda p: stands_at(needle, haystack, p))
     return F.when(F.size(needle) > F.size(haystack), F.lit(-1).cast("long")).otherwise(long(F.coalesce(F.try_element_at(hits, F.lit(1)) - 1, F.lit(-1))))
 
 
 def find_array_last(needle: Column, haystack: Column) -> Column:
     """Last 0-based place of ``needle`` in ``haystack``, -1 if there is none."""
     places = upto(F.size(haystack) - F.size(needle) + 1)
-    hits = F.filter(places, lambda p: F.slice(haystack, p, F.size(needle)) == needle)
+    hits = F.filter(places, lambda p: stands_at(needle, haystack, p))
     return F.when(F.size(needle) > F.size(haystack), F.lit(-1).cast("long")).otherwise(long(F.coalesce(F.try_element_at(hits, F.lit(-1)) - 1, F.lit(-1))))
 
 
@@ -147,7 +152,7 @@ def replace_with_copies(a: Column, token: int, counts: Column) -> Column:
 
 def find_array_from(needle: Column, haystack: Column, start: Column) -> Column:
     """struct<begin, end> of the first place of ``needle`` from place ``start`` on, end exclusive; both -1 without one, or for an empty needle."""
-    places = F.filter(upto(F.size(haystack) - F.size(needle) + 1), lambda p: (p > start) & (F.slice(haystack, p, F.size(needle)) == needle))
+    places = F.filter(upto(F.size(haystack) - F.size(needle) + 1), lambda p: (p > start) & stands_at(needle, haystack, p))
     at = long(F.coalesce(F.try_element_at(places, F.lit(1)) - 1, F.lit(-1)))
     found = F.when(F.size(needle) > 0, at).otherwise(F.lit(-1).cast("long"))
     return F.struct(found.alias("begin"), F.when(found >= 0, found + F.size(needle)).otherwise(F.lit(-1)).cast("long").alias("end"))

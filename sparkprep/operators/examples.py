@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.arrays import upto
+from sparkprep.functions.arrays import stands_at, upto
 from sparkprep.functions.text import before_last, closed_box_from, final_answer, unboxed
 
 
@@ -112,7 +112,7 @@ def searched_mask(ids: Column, answers: Column) -> Column:
 
     def step(state: Column, answer: Column) -> Column:
         n = F.size(answer)
-        hits = F.filter(upto(F.size(ids) - n + 1), lambda p: (p > state["at"]) & (F.slice(ids, p, n) == answer))
+        hits = F.filter(upto(F.size(ids) - n + 1), lambda p: (p > state["at"]) & stands_at(answer, ids, p))
         place = F.try_element_at(hits, F.lit(1)).cast("long")
         found = place.isNotNull() & (n > 0)
         span = F.array(F.struct(place.alias("a"), (place + n - 1).alias("b")))
@@ -131,7 +131,7 @@ def searched_mask_of_variants(ids: Column, answers: Column, skipped: list[int] |
 
     def place(v: Column, at: Column) -> Column:
         n = F.size(v)
-        return F.when(n > 0, F.try_element_at(F.filter(upto(F.size(ids) - n + 1), lambda p: (p > at) & (F.slice(ids, p, n) == v)), F.lit(1)).cast("long"))
+        return F.when(n > 0, F.try_element_at(F.filter(upto(F.size(ids) - n + 1), lambda p: (p > at) & stands_at(v, ids, p)), F.lit(1)).cast("long"))
 
     def step(state: Column, variants: Column) -> Column:
         found = F.filter(F.transform(variants, lambda v: F.struct(place(v, state["at"]).alias("a"), F.size(v).cast("long").alias("n"))), lambda x: x["a"].isNotNull())

@@ -109,7 +109,7 @@ def test_array_edges(spark):
     assert one(spark, A.find_array(longs(1, 3), longs(2, 3, 1, 3))) == 2
     assert one(spark, A.find_array(longs(3, 2), longs(2, 3, 1, 3))) == -1
     assert one(spark, A.find_array(longs(1, 2, 3), longs(1))) == -1
-    assert one(spark, A.find_array_last(longs(3), longs(3, 1, 3))) == 2
+    assert one(spark, A.find_array_last(longs(3), longs(3, 1, 3))) == 2 and one(spark, A.find_array(longs(), longs(4))) == 0
     assert one(spark, A.cut_at_padding(longs(0, 5, 9, -1, -1))) == [0, 5, 9]
     assert one(spark, A.positions_by_segment(longs(0, 2, 5))) == [0, 1, 0, 1, 2]
     assert [one(spark, A.ceil_to_power_of_two(F.lit(n))) for n in (0, 1, 2, 3, 8, 9)] == [1, 1, 2, 4, 8, 16]
