@@ -6,7 +6,7 @@ points found in at least ``min_docs`` documents lose all their lines except in t
 Lines travel once, as two 64-bit hashes of their keys with document and position. They are range-partitioned by hash and
 sorted by (hash, document descending, position), so the occurrences of a line form one run whose first document is the
 survivor. A window over that order streams each run: it counts documents at their first occurrences, and all lines but the
-survivor's go if there are enough. Ranges are spans of the hash's first bits; a span with more than ``SPAN`` lines, such as one with a line
+survivor's go if there are enough. Ranges are spans of the hash's first bits; a span with more than its share of lines, such as one with a line
 that a third of all rows hold, is cut further by document, and the parts of a run that such a cut makes are reconciled by
 one row for each part. What returns is a compressed bitmap for each document: words of 64 lines, only those that drop a line.
 
@@ -25,8 +25,8 @@ from sparkprep.llm.common import discard, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\u000b\u000c\r"
-#: Lines of a span of hashes; a span with more is cut by document.
-SPAN = 1_000_000
+#: Lines of a span of hashes at most, or a 64th of all lines if that is less; a span with more is cut by document.
+SPAN, SPANS = 1_000_000, 64
 
 
 def lines_of(text: F.Column) -> F.Column:
@@ -48,6 +48,7 @@ def texts(docs: DataFrame) -> DataFrame:
 def spread(lines: DataFrame, span: int) -> DataFrame:
     """``lines`` with ``range``, a span of the hash's first bits, and ``part``, 0 but where a span of over ``span`` lines is cut by document."""
     n = lines.count()
+    span = min(span, max(n // SPANS, 1000))
     bits = min(24, max(1, (4 * n // span).bit_length()))
     ranged = lines.withColumn("range", F.shiftrightunsigned("h1", 64 - bits).cast("int"))
     full = ranged.groupBy("range").count().where(F.col("count") > span).select("range", F.ceil(F.col("count") / span).cast("int").alias("parts"))
