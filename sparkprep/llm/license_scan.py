@@ -137,7 +137,7 @@ def nearest(words: list[bytes], template: list[bytes]) -> tuple[int, int, int]:
             else:
                 cost[j], start[j] = cost[j - 1] + 1, start[j - 1]
             begun = before
-        if cost[n] < best[0]:
+        if cost[n] <= best[0]:  # of equally good spans the last, which holds a word put in before the template's last
             best = (cost[n], start[n], at)
     return best
 
