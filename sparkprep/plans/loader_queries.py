@@ -176,7 +176,7 @@ def steady_regression(spark: SparkSession, folder: str) -> DataFrame:
     "metric_packed_averages",
     D
     + """, k AS (SELECT id, len(ids) AS n, row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS total FROM d), h AS (SELECT n, n // 3 - 1 AS a, n - n // 3 - 1 AS b FROM k WHERE r <= total // 16 * 16)
-    SELECT 2.0 AS sequences_per_row, round(avg(n - 2), 6) AS tokens_per_row, round(sum(a * a + b * b) / (2.0 * count(*)), 4) AS squared_length, round(sum(a * a + b * b) / count(*), 4) AS squares_per_row FROM h""",
+    SELECT 2.0::DOUBLE AS sequences_per_row, round(avg(n - 2), 6) AS tokens_per_row, round(sum(a * a + b * b) / (2.0 * count(*)), 4) AS squared_length, round(sum(a * a + b * b) / count(*), 4) AS squares_per_row FROM h""",
 )
 def packed_averages(spark: SparkSession, folder: str) -> DataFrame:
     rows = tokens(spark, folder).withColumn("starts", F.array(F.lit(0).cast("long"), F.floor(F.size("ids") / 3)))
