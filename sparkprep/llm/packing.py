@@ -30,7 +30,7 @@ from sparkprep.llm.tokens import Encoder
 
 CAPACITY = 2048
 END_ID = 0
-ISLANDS, ROUNDS, OFFSPRING, POPULATION = 6, 4, 6, 4
+ISLANDS, ROUNDS, OFFSPRING, POPULATION = 6, 3, 4, 4
 #: Choices that the search for a bin's best filling sees.
 NODES = 400
 #: A bin is well filled if at most this share of it is free.
