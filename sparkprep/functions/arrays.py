@@ -36,6 +36,21 @@ def ceil_to_power_of_two(n: Column) -> Column:
     return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.expr("1L").bitwiseOR(F.lit(0)) * long(F.pow(2, F.length(F.bin(n - 1)))))
 
 
+def rounded(a: Column, digits: int) -> Column:
+    """Doubles rounded in binary, as C does it: halves of the product go away from zero, and what is rounded to zero keeps its sign.
+
+    ``F.round`` takes the shortest decimal that a double prints as, which has no negative zero and no binary halves.
+    """
+    scale = 10.0**digits
+
+    def step(x: Column) -> Column:
+        whole = F.rint(x * scale)
+        away = F.when(F.abs(x * scale - whole) == 0.5, x * scale + 0.5 * F.signum(x)).otherwise(whole) / scale
+        return F.when(F.abs(away) < math.inf, away).otherwise(x)
+
+    return F.transform(a, step)
+
+
 def pad_right(a: Column, size: Column | int, pad: int) -> Column:
     """``a`` with ``pad`` put behind until it has ``size`` items; longer arrays stay."""
     size = F.lit(size) if isinstance(size, int) else size

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkprep.functions import arrays as A
 from sparkprep.operators import batches as B
 from sparkprep.operators import builders, packing
 from sparkprep.operators import records as R
@@ -87,8 +88,7 @@ def shared_norm(spark: SparkSession, folder: str) -> DataFrame:
 @query("tensor_zero_centred", "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) - 1, 6)) AS stored, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS loaded FROM embeddings")
 def zero_centred(spark: SparkSession, folder: str) -> DataFrame:
     stored = X.zero_centred(F.transform("embedding", lambda x: x.cast("double")))
-    rounded = lambda a: F.transform(a, lambda x: F.round(x, 6) + 0.0)
-    return read(spark, folder, "embeddings").select("vec_id", rounded(stored).alias("stored"), rounded(X.from_zero_centred(stored)).alias("loaded"))
+    return read(spark, folder, "embeddings").select("vec_id", A.rounded(stored, 6).alias("stored"), A.rounded(X.from_zero_centred(stored), 6).alias("loaded"))
 
 
 @query("metric_memory_regression", "SELECT l_returnflag, round((max(l_extendedprice) - 90000.0) / 90000.0, 6) AS difference, (max(l_extendedprice) - 90000.0) / 90000.0 <= 0.05 AS passed FROM lineitem GROUP BY 1")
